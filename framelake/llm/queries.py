@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_counts, token_shards
+from . import minhash_forest, mixing, packing, token_counts, token_shards
 from .common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -15,6 +15,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -27,9 +31,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_token_counts, op5_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_minhash_dedup, op3_token_counts, op5_packing, op10_mixing)}
 
 SQL = {
+    "op2_minhash_dedup": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) >= 3 then [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]
+                                    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+  from words),
+each as (select doc_id, unnest(s) as g, len(s) as n from sets),
+links as (
+  select x.doc_id as a, y.doc_id as b from each x join each y on x.g = y.g and x.doc_id <> y.doc_id
+  group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach as (
+  select doc_id as a, doc_id as b from documents
+  union select r.a, l.b from reach r join links l on r.b = l.a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+from sets s join (select a, min(b) as component_id from reach group by a) c on s.doc_id = c.a""",
     "op10_mixing": r"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
