@@ -197,3 +197,51 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray,
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches sorted by ``keys`` (long or int columns without nulls), with the n + 1 bounds of the groups.
+
+    A group that runs over several batches is held back until it is complete.
+    """
+    kept: list[pa.RecordBatch] = []
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        new = np.ones(t.num_rows, bool)
+        new[1:] = False
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.append(np.flatnonzero(new), t.num_rows)
+
+    first = last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = [b.column(k)[b.num_rows - 1].as_py() for k in keys]
+        kept.append(b)
+        if first is None:
+            first = [b.column(k)[0].as_py() for k in keys]
+        if first == last:
+            continue
+        t = pa.Table.from_batches(kept)
+        at = bounds(t)
+        yield t.slice(0, at[-2]), at[:-1]
+        kept, first = t.slice(at[-2]).to_batches(), last
+    if kept:
+        t = pa.Table.from_batches(kept)
+        yield t, bounds(t)
+
+
+def vectors(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """A list column without nulls as an array of ``width`` columns of double."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def usable(column: str):
+    """Whether a vector is not null, holds no null and no non-finite component, and isn't zero."""
+    v = F.col(column)
+    fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return v.isNotNull() & F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_forest, mixing, packing, token_counts, token_shards
+from . import embedding_dedup, minhash_forest, mixing, packing, token_counts, token_shards
 from .common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -27,11 +27,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_minhash_dedup, op3_token_counts, op5_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_minhash_dedup, op3_token_counts, op5_packing, op7_embedding_dedup, op10_mixing)}
 
 SQL = {
     "op2_minhash_dedup": r"""
@@ -51,6 +55,21 @@ reach as (
   union select r.a, l.b from reach r join links l on r.b = l.a)
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
 from sets s join (select a, min(b) as component_id from reach group by a) c on s.doc_id = c.a""",
+    "op7_embedding_dedup": r"""
+with recursive good as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select x.vec_id as a, y.vec_id as b from good x join good y
+  on x.label = y.label and x.vec_id <> y.vec_id and len(x.v) = len(y.v)
+  where list_inner_product(x.v, y.v) / (sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(y.v, y.v))) >= 0.93),
+reach as (
+  select vec_id as a, vec_id as b from embeddings
+  union select r.a, l.b from reach r join links l on r.b = l.a)
+select e.vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join (select a, min(b) as component_id from reach group by a) c on e.vec_id = c.a
+left join (select a, count(*) as n from links group by a) n on e.vec_id = n.a""",
     "op10_mixing": r"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
