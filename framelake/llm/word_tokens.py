@@ -1,21 +1,56 @@
 """Token ids of whole texts by a public BPE vocabulary of the tokenizers library.
 
 The library encodes each distinct word once; a text's ids are its words' ids in order. That equals encoding
-the whole text: the vocabulary drops white space and no token, merge or composition crosses it.
+the whole text: the vocabulary drops white space and no token, merge or composition crosses it. Signs after a
+letter are made words of their own, as the pre-tokenizer splits there, too, and ASCII letters are lower-cased first;
+both leave the ids as they are and make far fewer words distinct.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
 
 import numpy as np
 
 from .common import ragged
 
-#: ASCII signs that may be split off a letter: the pre-tokenizer puts a boundary there. No apostrophe (contractions) and none of the signs in the special tokens.
-SIGNS = ".,!?%*$#&:;()\"-"
-MOST_WORDS = 500_000
+#: Signs that are split off a letter before them if white space follows. No apostrophe (contractions) and none of the signs in the special tokens.
+SIGNS = b".,!?%*$#&:;()\"-"
+MOST_WORDS = 600_000
+
+_KIND = np.zeros(256, np.uint8)  # 1 sign, 2 ASCII letter, 4 white space
+_KIND[list(SIGNS)] = 1
+_KIND[65:91] = _KIND[97:123] = 2
+_KIND[[9, 10, 11, 12, 13, 32]] = 4
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _simplified(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk with a space before each run of signs between a letter and white space, and lower-cased ASCII."""
+    if not len(data):
+        return data, off
+    kind = _KIND[data]
+    letter = kind == 2
+    # U+00C0 to U+00FF but for the two signs among them
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    sign = np.zeros(len(data) + 2, bool)
+    sign[1:-1] = kind == 1
+    turn = np.flatnonzero(sign[1:] != sign[:-1])
+    start, end = turn[::2], turn[1::2]
+    inner = np.flatnonzero((start > 0) & (end < len(data)))
+    start, end = start[inner], end[inner]
+    start = start[letter[start - 1] & (kind[end] == 4)]
+    start = start[~np.isin(start, off)]  # the letter is another text's
+    angle = np.flatnonzero(data == 60)
+    if len(angle):  # perhaps a special token, which is case-sensitive
+        doc = np.searchsorted(off, angle, side="right") - 1
+        plain = np.ones(len(off) - 1, bool)
+        plain[doc] = False
+        data = np.where(np.repeat(plain, np.diff(off)), _LOWER[data], data)
+    else:
+        data = _LOWER[data]
+    return np.insert(data, start, 32), off + np.searchsorted(start, off)
 
 
 class WordEncoder:
@@ -26,45 +61,39 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Whether an id ends a word.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.entry: dict[bytes, int] = {}
-        self.flat, self.start, self.length = array("I"), array("q"), array("q")
-
-    def _add(self, key: bytes, ids) -> int:
-        i = self.entry[key] = len(self.start)
-        self.start.append(len(self.flat))
-        self.length.append(len(ids))
-        self.flat.extend(ids)
-        return i
-
-    @staticmethod
-    def _parts(word: bytes) -> list[bytes]:
-        s = word.decode()
-        core = s.strip(SIGNS)
-        if word.isascii() and "<" not in s:
-            s, core = s.lower(), core.lower()
-        if core and core != s and core[0].isalpha() and core[-1].isalpha():
-            i = s.index(core)
-            return [x.encode() for x in (s[:i], core, s[i + len(core) :]) if x]
-        return [s.encode()]
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        parts = {w: self._parts(w) for w in words}
-        new = sorted({p for ps in parts.values() for p in ps if p not in self.entry})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self._add(p, e.ids)
-        for w, ps in parts.items():
-            if w not in self.entry:
-                ids: list[int] = []
-                for p in ps:
-                    i = self.entry[p]
-                    ids.extend(self.flat[self.start[i] : self.start[i] + self.length[i]])
-                self._add(w, ids)
+        """Encodes new words. Those of letters alone go as one text: each is one word of the vocabulary, which marks word ends."""
+        plain, odd = [], []
+        for w in words:
+            t = w.decode()
+            (plain if t.isalpha() and t.lower().isalpha() else odd).append((w, t))
+        flat = np.array(self._ids([" ".join(t for _, t in plain)])[0], np.uint32)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(plain):  # letters to Python, but not to the library
+            plain, odd, flat, ends = [], plain + odd, flat[:0], ends[:0]
+        ids = self._ids([t for _, t in odd])
+        ends = np.append(ends, len(flat) + np.cumsum([len(e) for e in ids], dtype=np.int64))
+        flat = np.append(flat, np.array([x for e in ids for x in e], np.uint32))
+        new = [w for w, _ in plain] + [w for w, _ in odd]
+        self.entry.update(zip(new, range(len(self.ends), len(self.ends) + len(new)), strict=True))
+        self.ends = np.append(self.ends, ends + len(self.flat))
+        self.flat = np.append(self.flat, flat)
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a chunk's texts, one after another, as uint32, and the number of ids of each text, ``end_id`` included."""
+        data, off = _simplified(data, off)
         raw = data.tobytes()
         words: list[bytes] = []
         counts = np.empty(len(off) - 1, np.int64)
@@ -74,24 +103,19 @@ class WordEncoder:
             words += w
         if len(self.entry) > MOST_WORDS:
             self.clear()
-        get = self.entry.get
-        at = [get(w, -1) for w in words]
-        if -1 in at:
-            self._learn({w for w, i in zip(words, at, strict=True) if i < 0})
-            at = [get(w) for w in words]
-        at = np.array(at, np.int64)
-        flat, start, length = np.array(self.flat, np.uint32), np.array(self.start, np.int64), np.array(self.length, np.int64)
-        start, length = np.append(start, len(flat)), np.append(length, 1)
+        new = set(words).difference(self.entry)
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.entry.__getitem__, words), np.int64, len(words))
+        flat, ends = self.flat, self.ends
         if end_id is not None:  # a word of its own after each text
-            flat = np.append(flat, np.uint32(end_id))
-            at = np.insert(at, np.cumsum(counts), len(start) - 1)
+            flat, ends = np.append(flat, np.uint32(end_id)), np.append(ends, len(flat) + 1)
+            at = np.insert(at, np.cumsum(counts), len(ends) - 1)
             counts = counts + 1
-        n = length[at]
+        n = ends[at] - ends[at - 1]
         total = np.append(0, np.cumsum(n))
-        ends = np.cumsum(counts)
-        return flat[ragged(start[at], n)], total[ends] - total[ends - counts]
-
-
+        last = np.cumsum(counts)
+        return flat[ragged(ends[at - 1], n)], total[last] - total[last - counts]
 
 
 _encoders: dict[str, WordEncoder] = {}
