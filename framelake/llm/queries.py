@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, minhash_forest, mixing, neighbours, packing, token_counts, token_shards
+from . import embedding_dedup, minhash_forest, mixing, neighbours, packing, token_counts, token_shards, toxicity
 from .common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -23,6 +23,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -39,7 +43,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_minhash_dedup, op3_token_counts, op5_packing, op7_embedding_dedup, op9_neighbours, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_packing, op7_embedding_dedup, op9_neighbours, op10_mixing)}
 
 SQL = {
     "op2_minhash_dedup": r"""
