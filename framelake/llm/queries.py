@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, minhash_forest, mixing, neighbours, packing, quality, token_counts, token_shards, toxicity
+from . import embedding_dedup, minhash_forest, mixing, neighbours, packing, quality, suffix_dedup, token_counts, token_shards, toxicity
 from .common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_packing, op7_embedding_dedup, op8_quality, op9_neighbours, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_packing, op6_suffix_dedup, op7_embedding_dedup, op8_quality, op9_neighbours, op10_mixing)}
 
 SQL = {
     "op2_minhash_dedup": r"""
