@@ -1,0 +1 @@
+"""Raster frame sequences as DataFrames: storage, transforms, statistics and lossless coding."""

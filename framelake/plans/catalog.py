@@ -1,4 +1,259 @@
-"""Registered queries and their SQL."""
+"""Registered queries: each applies one operator to a whole test table."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import classify, codec, diff, freqs, planes, predict, runs
+from ..operators.sequence import ClipSequence
+from ..schema import is_valid, max_compressed_size
+from ..session import shared_path
+from ..sources import container
+from .inputs import HEIGHT, SIZE, WIDTH, dimensions, event_pixels, sizes, solid_frames, sparse_planes, table
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FRAME = 0
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.residuals(planes.split(event_pixels(spark, sf_dir)), WIDTH)
+
+
+def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freqs.histogram(_residuals(spark, sf_dir), "d")
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.rasters(event_pixels(spark, sf_dir), WIDTH, HEIGHT)
+
+
+def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.compress(_frames(spark, sf_dir)).withColumn("size", F.length("payload"))
+
+
+@query
+def frame_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = event_pixels(spark, sf_dir).groupBy("frame_idx").agg(F.count("*").alias("n_pixels"))
+    return by.select("frame_idx", F.lit(WIDTH).cast("long").alias("width"), F.lit(HEIGHT).cast("long").alias("height"), "n_pixels")
+
+
+@query
+def frame_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A range of the key, so that the scan can skip row groups.
+    events = table(spark, sf_dir, "events").filter(F.col("event_id").between(FRAME * SIZE, FRAME * SIZE + SIZE - 1))
+    return events.selectExpr(f"event_id div {SIZE} as frame_idx", f"event_id % {SIZE} as p", "cast(floor(value) as bigint) & 255 as b", "user_id & 255 as g", "cast(floor(value * 100) as bigint) & 255 as r")
+
+
+@query
+def frame_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = event_pixels(spark, sf_dir)
+    count = table(spark, sf_dir, "events").agg((F.max("event_id")).alias("m")).selectExpr(f"m div {SIZE} + 1 as n")
+    b = planes.flip_swizzle(a, WIDTH, HEIGHT).join(F.broadcast(count)).withColumn("frame_idx", F.col("frame_idx") + F.col("n")).drop("n")  # one row
+    return a.unionByName(b)
+
+
+@query
+def dims_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dimensions(spark, sf_dir).withColumn("valid", is_valid(F.col("width"), F.col("height"), F.col("bpp")))
+    by = d.filter("valid").groupBy("width", "height").agg(F.count("*").alias("clips"), F.count_distinct("bpp").alias("formats"), F.min("clip").alias("first_clip"))
+    return by.select(F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "clips", "formats", "first_clip")
+
+
+@query
+def max_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimensions(spark, sf_dir).select("clip", max_compressed_size(F.col("width"), F.col("height")).alias("max_compressed_size"))
+
+
+@query
+def transcode_rgbx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.transcode(event_pixels(spark, sf_dir), 32)
+
+
+@query
+def transcode_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.transcode(planes.transcode(event_pixels(spark, sf_dir), 32), 24)
+
+
+@query
+def flip_swizzle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.flip_swizzle(event_pixels(spark, sf_dir), WIDTH, HEIGHT)
+
+
+@query
+def decorrelate_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.split(event_pixels(spark, sf_dir))
+
+
+@query
+def recorrelate_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.merge(planes.split(event_pixels(spark, sf_dir)))
+
+
+@query
+def predict_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residuals(spark, sf_dir)
+
+
+@query
+def predict_residual_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even frames 50 wide, odd ones 40."""
+    rows = planes.split(event_pixels(spark, sf_dir)).withColumn("width", F.expr("if(frame_idx % 2 = 0, 50, 40)"))
+    return predict.residuals_mixed(rows)
+
+
+@query
+def predict_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.restore(_residuals(spark, sf_dir), WIDTH)
+
+
+@query
+def restore_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.restore_first_row(_residuals(spark, sf_dir), WIDTH)
+
+
+@query
+def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freqs.byte_histogram(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frequencies(spark, sf_dir)
+
+
+@query
+def freq_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freqs.rescaled(_frequencies(spark, sf_dir))
+
+
+@query
+def freq_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freqs.cumulative(freqs.rescaled(_frequencies(spark, sf_dir)))
+
+
+@query
+def header_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freqs.header_bits(_frequencies(spark, sf_dir))
+
+
+@query
+def header_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.header_counts(codec.headers(_frequencies(spark, sf_dir)))
+
+
+@query
+def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.zero_runs(sparse_planes(spark, sf_dir))
+
+
+@query
+def rle_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.rle_lengths(sparse_planes(spark, sf_dir)).drop("tail")
+
+
+@query
+def rle_level_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.level_choice(sparse_planes(spark, sf_dir))
+
+
+@query
+def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = planes.packed(sparse_planes(spark, sf_dir)).withColumn("level", F.explode(F.array(F.lit(1), F.lit(3))))
+    return planes.exploded(codec.run_decoded(codec.run_encoded(both)), "v", ("frame_idx", "level"))
+
+
+@query
+def range_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codec.range_coded(planes.packed(_residuals(spark, sf_dir), "d"))
+    return planes.exploded(codec.range_decoded(coded), "d")
+
+
+@query
+def channel_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.exploded(codec.uncompacted(codec.compacted(planes.packed(sparse_planes(spark, sf_dir)))))
+
+
+@query
+def solid_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    solid = classify.solid_fill(solid_frames(spark, sf_dir), 16)
+    shift = event_pixels(spark, sf_dir).withColumn("frame_idx", F.col("frame_idx") + 1000)
+    return classify.solid_class(solid.unionByName(shift))
+
+
+@query
+def solid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.solid_fill(solid_frames(spark, sf_dir), 16)
+
+
+@query
+def solid_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of one colour through the codec, with the kinds of their blobs."""
+    rows = codec.rasters(classify.solid_fill(solid_frames(spark, sf_dir), 16), 4, 4)
+    kinds = codec.kinds(codec.compress(rows))
+    return codec.pixels(codec.decompress(kinds), ("frame_idx", "kind"))
+
+
+@query
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.pixels(codec.decompress(codec.compress(_frames(spark, sf_dir))))
+
+
+@query
+def container_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container.container_index(sizes(spark, sf_dir), "clip", "doc_id", "size")
+
+
+@query
+def container_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container.container_stats(sizes(spark, sf_dir), "clip", "size")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    container.register(spark)
+    path = shared_path(spark)
+    ClipSequence(_blobs(spark, sf_dir), WIDTH, HEIGHT, True).save(path)
+    return path
+
+
+@query
+def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, sf_dir)
+    return codec.pixels(ClipSequence.load(spark, path).decoded().frames)
+
+
+@query
+def container_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One frame of a file, found by its index."""
+    path = _written(spark, sf_dir)
+    return codec.pixels(codec.decompress(spark.read.format("clip").option("frame", FRAME).load(path)))
+
+
+@query
+def compressed_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs appended to their own sequence as they are, and decoded at last."""
+    path = _written(spark, sf_dir)
+    clip = ClipSequence.load(spark, path)
+    return codec.pixels(clip.append(clip.frames).decoded().frames)
+
+
+@query
+def compression_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.compression_factor(sizes(spark, sf_dir).withColumn("raw", F.lit(SIZE * 3).cast("long")))
+
+
+@query
+def frame_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = event_pixels(spark, sf_dir)
+    b = a.withColumns({"b": F.expr("if(p % 3 = 0, r, b)"), "r": F.expr("if(p % 3 = 0, b, r)")})
+    return diff.frame_diff(a, b)
