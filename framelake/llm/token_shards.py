@@ -29,28 +29,39 @@ from .word_tokens import encoder
 HEAD = struct.Struct("<4sIIQQI")
 MAGIC = b"FLT1"
 #: Ids after which a shard is closed.
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 #: Lengths of the four ids of each control byte.
-LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
+LENGTHS = (1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)).astype(np.uint8)
 
 
 def encode_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of a shard of documents with these ids."""
-    found, at, many = np.unique(ids, return_inverse=True, return_counts=True)
-    by = np.lexsort((found, -many))
-    rank = np.empty(len(found), np.uint32)
-    rank[by] = np.arange(len(found), dtype=np.uint32)
-    x = rank[at]
-    size = 1 + (x > 0xFF).astype(np.int64) + (x > 0xFFFF) + (x > 0xFFFFFF)
+    if len(ids) and ids.max() < 1 << 22:  # a vocabulary: count into a table rather than sort
+        many = np.bincount(ids)
+        found = np.flatnonzero(many)
+        by = np.argsort(-many[found], kind="stable")
+        rank = np.empty(len(many), np.uint32)
+        rank[found[by]] = np.arange(len(found), dtype=np.uint32)
+        x = rank[ids]
+    else:
+        found, at, many = np.unique(ids, return_inverse=True, return_counts=True)
+        by = np.argsort(-many, kind="stable")
+        rank = np.empty(len(found), np.uint32)
+        rank[by] = np.arange(len(found), dtype=np.uint32)
+        x = rank[at]
     code = np.zeros(-(-len(x) // 4) * 4, np.uint8)
-    code[: len(x)] = size - 1
+    for top in (0xFF, 0xFFFF, 0xFFFFFF):
+        if len(found) > top + 1:
+            code[: len(x)] += x > top
+    size = code[: len(x)] + np.uint8(1)
+    start = np.cumsum(size, dtype=np.int64) - size
+    data = np.zeros(int(size.sum(dtype=np.int64)), np.uint8)
+    data[start] = x.astype(np.uint8)
+    for k in range(1, int(size.max()) if len(x) else 1):
+        has = np.flatnonzero(size > k)
+        data[start[has] + k] = (x[has] >> np.uint32(8 * k)).astype(np.uint8)
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    start = np.cumsum(size) - size
-    data = np.zeros(int(size.sum()), np.uint8)
-    for k in range(4):
-        has = size > k
-        data[start[has] + k] = x[has] >> np.uint32(8 * k) & np.uint32(0xFF)
     body = b"".join([
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), lengths.astype("<u4").tobytes(),
         found[by].astype("<u4").tobytes(), control.astype(np.uint8).tobytes(), data.tobytes(),
@@ -74,11 +85,11 @@ def decode_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     doc_ids, null, lengths, by = take("<i8", docs), take("u1", docs), take("<u4", docs), take("<u4", distinct)
     control, data = take("u1", -(-n // 4)), take("u1", size)
     taken = LENGTHS[control].ravel()[:n]
-    start = np.cumsum(taken) - taken
-    padded = np.append(data, np.zeros(4, np.uint8))
-    x = padded[start].astype(np.uint32)
+    start = np.cumsum(taken, dtype=np.int64) - taken
+    x = data[start].astype(np.uint32)
     for k in range(1, int(taken.max()) if n else 1):
-        x |= np.where(taken > k, padded[start + k], 0).astype(np.uint32) << np.uint32(8 * k)
+        has = np.flatnonzero(taken > k)
+        x[has] |= data[start[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], lengths, by[x] if n else x
 
 

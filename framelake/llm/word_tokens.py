@@ -16,7 +16,7 @@ from .common import ragged
 
 #: Signs that are split off a letter before them if white space follows. No apostrophe (contractions) and none of the signs in the special tokens.
 SIGNS = b".,!?%*$#&:;()\"-"
-MOST_WORDS = 600_000
+MOST_WORDS = 1_000_000
 
 _KIND = np.zeros(256, np.uint8)  # 1 sign, 2 ASCII letter, 4 white space
 _KIND[list(SIGNS)] = 1
