@@ -20,6 +20,8 @@ from .common import WORD, Scratch
 SEED = 17
 #: Hexadecimal digits of the bucket in which a source's order is cut: 4096 buckets.
 DIGITS = 3
+#: Sources up to which their targets are broadcast.
+MOST_SOURCES = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0) -> DataFrame:
@@ -72,6 +74,15 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), e
     goal = goal.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_g"), "source_size", "target", "_whole", "_need", "_bucket", "_edge")
     extra = F.when(F.col("_need") <= 0, False).when(F.col("_bucket").isNull(), F.col("_need") > 0).otherwise((bucket < F.col("_bucket")) | F.coalesce((bucket == F.col("_bucket")) & (F.struct("_key", "_row") <= F.col("_edge")), F.lit(False)))
     times = F.col("_whole") + extra.cast("long")
+    goal = scratch.cut(goal)
+    if goal.count() <= MOST_SOURCES:  # a row for each source; with more of them, Spark shuffles and splits skewed ones
+        goal = F.broadcast(goal)
     return sized.join(goal, F.col("source").eqNullSafe(F.col("_g"))).select(
         "doc_id", *[c for c in keep if c != "doc_id"], "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times")
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0) -> DataFrame:
+    """The documents, each as many times as the mix takes it, with their columns."""
+    rows = mix_sources(docs, weights, epochs, tuple(docs.columns))
+    return rows.filter("times > 0").withColumn("_time", F.explode(F.expr("sequence(1L, times)"))).select(*docs.columns)
