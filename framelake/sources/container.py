@@ -72,31 +72,27 @@ def parse(path: str) -> tuple[int, int, list[tuple[int, int]]]:
 
 @dataclass
 class Frames(InputPartition):
-    """A range of frames of a file."""
+    """Some frames of a file: number, payload offset and size."""
 
-    first: int
-    places: list[tuple[int, int]]
+    frames: list[tuple[int, int, int]]
 
 
 class ClipReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.path, self.columns = _local(options["path"]), schema.names
-        self.width, self.height, places = parse(self.path)
-        chosen = range(len(places))
-        if options.get("frame") is not None:  # one frame: the others are not read
-            k = int(options["frame"])
-            chosen = range(k, k + 1) if 0 <= k < len(places) else range(0)
-        step = max(1, int(options.get("framesPerPartition", "64")))
-        self.parts = [Frames(s, [places[i] for i in chosen[s - chosen.start : s - chosen.start + step]]) for s in range(chosen.start, chosen.stop, step)] or [Frames(0, [])]
+        self.width, self.height, self.places = parse(self.path)
+        self.chosen = range(len(self.places)) if options.get("frame") is None else [int(options["frame"])]  # one frame: the others are not read
+        self.step = max(1, int(options.get("framesPerPartition", "64")))
 
     def partitions(self) -> list[InputPartition]:
-        return self.parts
+        frames = [(k, *self.places[k]) for k in self.chosen if 0 <= k < len(self.places)]
+        return [Frames(frames[s : s + self.step]) for s in range(0, len(frames), self.step)] or [Frames([])]
 
     def read(self, partition: Frames) -> Iterator[tuple]:
         with open(self.path, "rb") as f:
-            for i, (at, size) in enumerate(partition.places):
+            for k, at, size in partition.frames:
                 f.seek(at)
-                yield (partition.first + i, self.width, self.height, size, f.read(size))
+                yield (k, self.width, self.height, size, f.read(size))
 
 
 @dataclass
@@ -150,7 +146,11 @@ class ClipWriter(DataSourceWriter):
 
 
 class ClipSource(DataSource):
-    """``spark.read.format("clip")``; options: frame, framesPerPartition; to write: width and height."""
+    """``spark.read.format("clip")``; options: frame, framesPerPartition; to write: width and height.
+
+    Filters are not pushed to the reader: Spark 4.1 keeps what was pushed for later queries of the same DataFrame,
+    which then miss rows. ``frame`` reads one frame instead.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -155,3 +155,12 @@ def test_flip_is_its_own_inverse(spark):
     twice = planes.flip_swizzle(planes.flip_swizzle(px, 4, 3), 4, 3)
     assert twice.exceptAll(px).isEmpty()
     assert planes.transcode(planes.transcode(px, 32), 24).columns == px.columns
+
+
+def test_images(spark, tmp_path):
+    from framelake.sources.images import read_images, write_images
+
+    rows, data = frames(spark, 3, 5, 4)
+    write_images(rows, f"{tmp_path}/png")
+    got = read_images(spark, f"{tmp_path}/png").orderBy("frame_idx").collect()
+    assert [bytes(r.payload) for r in got] == data and [(r.width, r.height) for r in got] == [(5, 4)] * 3
