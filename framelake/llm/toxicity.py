@@ -22,14 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, crc_mod, mix
 
 ORDER = 6
-SAMPLE = 4000
+SAMPLE = 1500
+THRESHOLD = 0.3
 FOLDS = 3
 TOP = (1, 3)
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
 #: Bytes around a word, which no word has.
 BEGIN, END = 2, 3
 _M = np.uint64(0x9FB21C651E98DF25)
@@ -58,45 +60,46 @@ class Model:
     def __init__(self, words: list[bytes], counts: np.ndarray):
         """counts: for each word, its number of texts in the ordinary and in the toxic class."""
         data, place, _ = _laid(words)
-        weight = counts[np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])].astype(np.float64)
+        weight = np.repeat(counts, [len(w) + 2 for w in words], axis=0).astype(np.float32)
         keys, shares, contexts = [], [], []
-        grams = list(_grams(data))
+        grams = _grams(data)
+        shorter, now, longer = None, next(grams), None
         for n in range(1, ORDER + 1):
-            here = np.flatnonzero(place >= n - 1) if n > 1 else np.flatnonzero(place >= 1)
-            key, first, at = np.unique(grams[n - 1][here], return_index=True, return_inverse=True)
-            raw = np.column_stack([np.bincount(at, weight[here, c], len(key)) for c in (0, 1)])
+            longer = next(grams) if n < ORDER else None
+            here = np.flatnonzero(place >= max(1, n - 1))
+            key, first, at = np.unique(now[here], return_index=True, return_inverse=True)
+            count = np.column_stack([np.bincount(at, weight[here, c], len(key)) for c in (0, 1)])
+            del at
             if n < ORDER:  # in how many longer ones it ends, unless it begins a word
-                longer = here[place[here] >= n]
-                whole, pick, back = np.unique(grams[n][longer], return_index=True, return_inverse=True)
-                seen = np.column_stack([np.bincount(back, weight[longer, c], len(whole)) > 0 for c in (0, 1)])
-                short = np.searchsorted(key, grams[n - 1][longer[pick]])
-                kept = np.column_stack([np.bincount(short, seen[:, c], len(key)) for c in (0, 1)])
-                count = np.where((place[here[first]] == n - 1)[:, None] & (n > 1), raw, kept)
-            else:
-                count = raw
-            context = grams[n - 2][here[first] - 1] if n > 1 else np.zeros(len(key), np.uint64)
+                more = here[place[here] >= n]
+                whole, pick, back = np.unique(longer[more], return_index=True, return_inverse=True)
+                short = np.searchsorted(key, now[more[pick]])
+                kept = np.column_stack([np.bincount(short, np.bincount(back, weight[more, c], len(whole)) > 0, len(key)) for c in (0, 1)])
+                del whole, pick, back, more, short
+                count = np.where((place[here[first]] == n - 1)[:, None] & (n > 1), count, kept)
+            context = shorter[here[first] - 1] if n > 1 else np.zeros(len(key), np.uint64)
             names, to = np.unique(context, return_inverse=True)
             total = np.column_stack([np.bincount(to, count[:, c], len(names)) for c in (0, 1)])
             kinds = np.column_stack([np.bincount(to, count[:, c] > 0, len(names)) for c in (0, 1)])
             one, two = (count == 1).sum(0), (count == 2).sum(0)
-            discount = np.where(one + two > 0, one / np.maximum(one + 2 * two, 1), 0.5)
-            discount = np.clip(discount, 0.1, 0.9)
+            discount = np.clip(np.where(one + two > 0, one / np.maximum(one + 2 * two, 1), 0.5), 0.1, 0.9)
             with np.errstate(divide="ignore", invalid="ignore"):
-                share = np.where(total[to] > 0, np.maximum(count - discount, 0) / total[to], 0)
-                back = np.where(total > 0, discount * kinds / total, 1)
+                share = np.where(total[to] > 0, np.maximum(count - discount, 0) / total[to], 0).astype(np.float32)
+                back = np.where(total > 0, discount * kinds / total, 1).astype(np.float32)
             keys.append(key)
             shares.append(share)
             contexts.append((names, back))
+            shorter, now = now, longer
         self.root = contexts[0][1][0]
-        self.key = np.concatenate(keys)
+        known = np.concatenate(keys)
+        only = np.setdiff1d(np.concatenate([names for names, _ in contexts[1:]]), known)  # contexts that are nothing else, as BEGIN alone
+        self.key = np.concatenate([known, only])
         order = np.argsort(self.key)
         self.key = self.key[order]
-        share = np.concatenate(shares)[order].astype(np.float32)
+        share = np.concatenate([*shares, np.zeros((len(only), 2), np.float32)])[order]
         back = np.ones_like(share)
         for names, b in contexts[1:]:
-            at = np.searchsorted(self.key, names)
-            hit = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] == names)
-            back[at[hit]] = b[hit]
+            back[np.searchsorted(self.key, names)] = b
         self.value = np.concatenate([np.concatenate([share, back], 1), [[0, 0, 1, 1]]]).astype(np.float32)  # the last row is for unknown ones
         self._index()
 
@@ -214,18 +217,18 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Scorer | float:
         return 0.0
     if toxic.all():
         return 1.0
-    lists = [words_of(t) for t in texts]
     names: dict[bytes, int] = {}
-    ids = [np.array(sorted({names.setdefault(w, len(names)) for w in ws}), np.int64) for ws in lists]
-    all_ids = [np.array([names[w] for w in ws], np.int64) for ws in lists]
+    all_ids = [np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int32) for t in texts]
+    ids = [np.unique(x) for x in all_ids]
     words = list(names)
+    del names
     order = np.arange(len(texts))
     fold = np.zeros(len(texts), np.int64)
     for c in (0, 1):  # texts come in hashed order
         fold[toxic == c] = np.arange((toxic == c).sum()) % FOLDS
 
     def model(chosen: np.ndarray) -> Model:
-        counts = np.column_stack([np.bincount(np.concatenate([ids[i] for i in order[chosen & (toxic == c)]] or [np.zeros(0, np.int64)]), minlength=len(words)) for c in (0, 1)])
+        counts = np.column_stack([np.bincount(np.concatenate([ids[i] for i in order[chosen & (toxic == c)]] or [np.zeros(0, np.int32)]), minlength=len(words)) for c in (0, 1)])
         some = np.flatnonzero(counts.sum(1))
         return Model([words[i] for i in some], counts[some])
 
@@ -233,8 +236,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Scorer | float:
     for k in range(FOLDS):
         m, test = model(fold != k), np.flatnonzero(fold == k)
         lots = [all_ids[i] for i in test]
-        used = np.unique(np.concatenate(lots)) if lots else np.zeros(0, np.int64)
-        evidence = m.evidence([words[i] for i in used])
+        used = np.unique(np.concatenate(lots)) if lots else np.zeros(0, np.int32)
+        evidence = np.concatenate([m.evidence([words[i] for i in used[s : s + 20_000]]) for s in range(0, len(used), 20_000)]) if len(used) else np.zeros((0, 2))
         if len(used):
             x[test] = features(evidence[np.searchsorted(used, np.concatenate(lots))], np.array([len(y) for y in lots], np.int64))
     mean, scale, w = _logistic(x, toxic)
@@ -253,16 +256,17 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, out: i
     chosen = F.broadcast(picked[0].union(picked[1]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("text", "y", "h", "doc_id").toArrow()
     order = np.lexsort((rows.column("doc_id").to_numpy(), rows.column("h").to_numpy()))
-    texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
+    texts = [t or b"" for t in rows.column("text").cast("binary").to_pylist()]
     y = rows.column("y").to_numpy()
     total = sum(counts.values())
     return [texts[i] for i in order], y[order], counts.get(1, 0) / total if total else 0.0
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted for each document; rows of remainder 2 by 4 are never learnt from."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(*sampled(docs, labels, "toxic", 4, 2, SAMPLE)))
+def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """``docs`` with all its columns and a column of scores, of 0 to 1, under a name it doesn't have."""
+    if name in docs.columns:
+        raise ValueError(f"the documents have a column {name}")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(*sampled(docs, labels, "toxic", 4, 2, SAMPLE)))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
@@ -282,8 +286,18 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
                 values = np.concatenate([values, *[scorer.model.evidence(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]])
                 at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 p = scorer.probability(features(values[at], np.array([len(w) for w in lists], np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, name])
+
+    return docs.mapInArrow(go, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, score double")
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score and predicted for each document; rows of remainder 2 by 4 are never learnt from."""
+    known = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return known.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with their columns."""
+    return scored(docs, labels, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
