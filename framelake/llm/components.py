@@ -1,35 +1,74 @@
-"""Connected components of a graph of links, by alternating large and small stars in DataFrame joins."""
+"""Connected components of a graph of links, by joining stars.
+
+In each round the links of both directions meet by node; each task unites what it holds, in bounded lots, and gives each
+node the smallest node that it reaches there; then each node takes the least of what tasks gave it. Rounds end when
+nothing changes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Links that a task unites at once.
+LOT = 1_000_000
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def united() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        node, root = roots(t.column("a").to_numpy(), t.column("b").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "component"])
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with the least of u and all its neighbours; sums up before it shuffles, and joins a row for each u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("least"))
-    return pairs.join(least, "u").withColumn("least", F.least("u", "least"))
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= LOT:
+            yield united()
+            held = []
+    if held:
+        yield united()
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of the links (a, b); a component's name is its smallest node."""
-    edges = scratch.cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    stars = links.select("a", "b").mapInArrow(_stars, "node long, component long")
     state = None
     while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        both = both.union(both.select("v", "u"))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()  # each u has v < u
-        small = _with_least(large)
-        small = small.select(F.col("v").alias("a"), F.col("least").alias("b")).union(small.select("u", "least")).filter("a <> b").distinct()
-        new = scratch.cut(small)
-        r = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(7)))).first()
-        scratch.drop(edges)
-        edges = new
-        if tuple(r) == state:
-            break
+        # Each node's least, and links from the other names it was given.
+        least = F.min("component").over(Window.partitionBy("node"))
+        given = stars.withColumn("least", least)
+        to = lambda c: F.struct(F.col(c).alias("a"), F.col("least").alias("b"))
+        both = F.when(F.col("component") == F.col("least"), F.array(to("node"))).otherwise(F.array(to("node"), to("component")))
+        joined = given.select(F.explode(both).alias("x")).select("x.a", "x.b").distinct()
+        edges = scratch.cut(joined)
+        inner = edges.filter("a <> b")
+        r = inner.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(7)))).first()
+        if tuple(r) == state or not r[0]:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = tuple(r)
-    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.union(edges.select("b", "b")).distinct()
+        both = inner.union(inner.select("b", "a"))
+        stars = both.repartition("a").mapInArrow(_stars, "node long, component long")

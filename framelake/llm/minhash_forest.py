@@ -1,11 +1,11 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Documents with equal shingle sets form a class and only classes are compared. Each tree of the forest sorts the
-signatures by its own part of the hash values; candidates are neighbours in that order with a common prefix. A
-region (a common prefix) of few signatures is compared in full; a larger one is resolved at a greater depth, where its
-parts are small, and otherwise gives only next neighbours, which hold its copies together. What that leaves out in a
-large region - pairs not yet in one component - a second pass compares in full, so no cap drops a link. All
-candidates are confirmed on the full sets.
+signatures by its own part of the hash values; candidates are neighbours in that order with a common prefix. In
+regions (common prefixes) of few signatures, whatever their depth, all are candidates to each other; a larger region is held
+together by its next neighbours. Documents that candidates connect form a group, whose full sets are then compared:
+every document with all that links have not joined to it yet, in blocks where a group is large. So no cap drops a link, and all
+links are those of full sets.
 
 Defined results: documents without words have an empty set and link with nothing; a null id links with nothing and
 is kept, with a null component; rows that repeat an id are compared by their own texts, and where such rows stand
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, mix, shingles
+from .common import Scratch, chunks, mix, ragged, shingles, whole_groups
 from .components import connected_components
 
 #: Trees, hash values of each tree's order, and values that candidates share at least. At similarity 0.8 a pair misses all trees with chance (1 - 0.64) ** 12 < 5e-6.
@@ -30,6 +30,8 @@ TREES, DEPTH, LEAST = 12, 5, 2
 VALUES = TREES * DEPTH
 #: Regions up to this size are compared in full.
 FULL = 8
+#: Documents of a group that one task compares in full; beyond it the group is split into blocks of this size.
+BLOCK = 2048
 #: Standard deviations below the expected number of equal hash values at which a candidate is not confirmed.
 MARGIN = 5.5
 
@@ -89,15 +91,14 @@ def _near(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: in
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Runs of whole regions from rows sorted by (tree, prefix), as arrays; rows alone in their region are left out."""
-    names = ("rep", "n", "order", "low", "component")
+    names = ("rep", "n", "order", "low")
 
     def arrays(b: pa.RecordBatch) -> dict[str, np.ndarray]:
         width = {"order": 4 * DEPTH, "low": VALUES}
         out = {}
         for k in names:
-            if k in b.schema.names:
-                col = b.column(k)
-                out[k] = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width[k]) if k in width else col.to_numpy(zero_copy_only=False)
+            col = b.column(k)
+            out[k] = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width[k]) if k in width else col.to_numpy(zero_copy_only=False)
         tree = b.column("tree").to_numpy(zero_copy_only=False)
         out["values"] = out.pop("order").copy().view(">u4").astype(np.uint32)
         out["key"] = np.column_stack([tree.astype(np.uint32), out["values"][:, :LEAST]])
@@ -142,17 +143,14 @@ def _sizes(values: np.ndarray, key: np.ndarray, depth: int) -> tuple[np.ndarray,
     return at, np.bincount(at)[at]
 
 
-def _pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    a, b = x["rep"][i], x["rep"][j]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
-
-
 def candidates(trees: DataFrame, percent: int) -> DataFrame:
-    """Pairs of neighbours in the trees' orders: all within small regions, of whatever depth, else the next one."""
+    """Neighbours in the trees' orders as pairs (a, b): in small regions, of whatever depth, all that may be similar
+    enough; in larger ones each with the next, which holds the region together."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _regions(batches):
             depths = [_sizes(x["values"], x["key"], d) for d in range(LEAST, DEPTH + 1)]
+            whole, size_of = depths[0]
             n = len(x["rep"])
             for step in range(1, min(FULL, n)):
                 i = np.arange(n - step)
@@ -160,67 +158,97 @@ def candidates(trees: DataFrame, percent: int) -> DataFrame:
                 for at, size in depths:
                     take |= (at[:-step] == at[step:]) & (size[:-step] <= FULL)
                 if step == 1:
-                    take |= depths[0][0][:-1] == depths[0][0][1:]
+                    take |= whole[:-1] == whole[1:]
                 i = i[take]
-                i = i[_near(x, i, i + step, percent)]
+                i = i[_near(x, i, i + step, percent) | (step == 1) & (size_of[i] > FULL)]
                 if len(i):
-                    yield _pairs(x, i, i + step)
-
-    return trees.repartition("tree", "prefix").sortWithinPartitions("tree", "order", "rep").mapInArrow(find, "a long, b long").distinct()
-
-
-def rest(trees: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large regions that are not in one component yet."""
-    known = trees.join(components, trees["rep"] == components["node"], "left").select(*trees.columns, F.coalesce("component", "rep").alias("component"))
-    open_ = known.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = open_.filter((F.col("size") > FULL) & (F.col("lo") < F.col("hi"))).select("tree", "prefix")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _regions(batches):
-            at, _ = _sizes(x["values"], x["key"], LEAST)
-            ends = np.append(np.flatnonzero(np.diff(at)) + 1, len(at))
-            begin = 0
-            for end in ends.tolist():
-                component = x["component"][begin:end]
-                for k in range(end - begin - 1):
-                    j = begin + k + 1 + np.flatnonzero(component[k + 1 :] != component[k])
-                    if len(j):
-                        i = np.full(len(j), begin + k)
-                        ok = _near(x, i, j, percent)
-                        if ok.any():
-                            yield _pairs(x, i[ok], j[ok])
-                begin = end
-
-    return known.join(open_, ["tree", "prefix"]).repartition("tree", "prefix").sortWithinPartitions("tree", "order", "rep").mapInArrow(find, "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
+                    yield pa.RecordBatch.from_arrays([pa.array(x["rep"][i]), pa.array(x["rep"][i + step])], ["a", "b"])
+
+    return trees.repartition("tree", "prefix").sortWithinPartitions("tree", "order", "rep").mapInArrow(find, "a long, b long")
+
+
+def _linked(hashes: list[np.ndarray], half: np.ndarray | None, percent: int) -> np.ndarray:
+    """For each document of a group its component in it, as the place of the component's first document.
+
+    Documents are compared, until they are in the largest component, with all of other components, by counting in
+    lists of the documents that have each shingle. half: if given, only documents of different halves are compared.
+    """
+    n = np.array([len(h) for h in hashes], np.int64)
+    component = np.arange(len(n))
+    if len(n) == 2:
+        both = np.sort(np.concatenate(hashes), kind="stable")
+        shared = int((both[1:] == both[:-1]).sum())
+        return np.zeros(2, np.int64) if 100 * shared >= percent * (n.sum() - shared) and n.all() else component
+    _, code = np.unique(np.concatenate(hashes), return_inverse=True)
+    posted = np.repeat(np.arange(len(n)), n)[np.argsort(code, kind="stable")]
+    many = np.bincount(code)
+    begin, first = np.cumsum(many) - many, np.cumsum(n) - n
+    size, done = np.ones(len(n), np.int64), n == 0
+    while True:
+        left = np.flatnonzero(~done & (component != size.argmax()))
+        if not len(left):
+            return component
+        for x in left.tolist():
+            if component[x] == size.argmax():
+                continue
+            done[x] = True
+            mine = code[first[x] : first[x] + n[x]]
+            mine = mine[many[mine] > 1]
+            shared = np.bincount(posted[ragged(begin[mine], many[mine])], minlength=len(n))
+            hit = (100 * shared >= percent * (n + n[x] - shared)) & (component != component[x]) & (n > 0)
+            if half is not None:
+                hit &= half != half[x]
+            if hit.any():
+                joined = np.isin(component, np.append(component[hit], component[x]))
+                name = component[joined].min()
+                size[component[joined]] = 0
+                component[joined] = name
+                size[name] = joined.sum()
+
+
+def links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of the documents that candidates hold together, by their full sets.
+
+    Documents that candidates connect form a group; a group's sets meet in one task, or, beyond BLOCK documents, in pairs
+    of blocks, whose components are then joined.
+    """
+    groups = connected_components(pairs, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("held"))
+    blocks = scratch.cut(groups.groupBy("held").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"))
+    split = not blocks.isEmpty()
+    # Few groups are that large: as many as there are documents in all by BLOCK, at most.
+    groups = groups.join(blocks, "held", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if split else groups.withColumn("blocks", F.lit(1))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in _sets(data, off, size)], pa.binary())], ["doc_id", "hashes"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y)
-                z = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((z[1:] == z[:-1]).sum())
-                hit.append(100 * shared >= percent * (both - shared))
-            out = batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
-            if out.num_rows:
-                yield out
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    full = scratch.cut(wanted.mapInArrow(sets, "doc_id long, hashes binary"))
-    x, y = full.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), full.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    out = scratch.cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
-    scratch.drop(full)
-    return out
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held"), part.column("blocks"), pa.array([x.tobytes() for x in _sets(data, off, size)], pa.binary())], ["doc_id", "held", "blocks", "hashes"])
+
+    # The groups' ids grow with the documents: hashed on both sides, whatever their number.
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "held", "blocks")
+    full = full.mapInArrow(sets, "doc_id long, held long, blocks int, hashes binary")
+    full = full.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    if split:
+        full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    else:
+        full = full.withColumn("other", F.lit(0))
+    full = full.select("doc_id", "held", "hashes", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    group = ["held", "lo", "hi"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, group):
+            ids, block, lo, hi = (t.column(c).to_numpy() for c in ("doc_id", "block", "lo", "hi"))
+            hashes = t.column("hashes").combine_chunks()
+            node, root = [], []
+            for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if e - b > 1:
+                    sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in hashes[b:e]]
+                    component = _linked(sets, block[b:e] if lo[b] != hi[b] else None, percent)
+                    node.append(ids[b:e])
+                    root.append(ids[b:e][component])
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(root))], ["node", "component"])
+
+    out = full.repartition(*group).sortWithinPartitions(*group, "doc_id").mapInArrow(find, "node long, component long")
+    return connected_components(out.select(F.col("node").alias("a"), F.col("component").alias("b")), scratch) if split else out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -231,14 +259,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = scratch.cut(named.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "sig", "low")).alias("x")).select("s1", "s2", "n_shingles", F.col("x.doc_id").alias("rep"), "x.sig", "x.low"))
     trees = classes.select("rep", F.col("n_shingles").alias("n"), "sig", "low", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     trees = trees.withColumn("order", F.expr(f"substring(sig, {4 * DEPTH} * tree + 1, {4 * DEPTH})")).withColumn("prefix", F.expr(f"substring(order, 1, {4 * LEAST})")).drop("sig")
-    first = scratch.cut(candidates(trees, percent))
-    links = confirmed(first, docs, size, percent, scratch)
-    components = scratch.cut(connected_components(links, scratch))
-    second = scratch.cut(rest(trees, components, percent))
-    if not second.isEmpty():
-        links = links.union(confirmed(second, docs, size, percent, scratch))
-        components = scratch.cut(connected_components(links, scratch))
+    pairs = scratch.cut(candidates(trees, percent))
+    components = scratch.cut(links(pairs, docs, size, percent, scratch).filter("node <> component").distinct())
     named_classes = classes.select("s1", "s2", "n_shingles", "rep").join(components, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(named_classes, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each group of near-duplicates, the one with the smallest id. Rows without an id stay; of rows equal in id and text one stays."""
+    found = Scratch(docs.sparkSession).cut(near_duplicates(docs, size, percent))
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    repeated = not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if repeated:
+        nameless = docs.filter("doc_id is null")
+        docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(nameless)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
