@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import coder
 from .planes import FRAME
 
 
@@ -36,6 +37,25 @@ def byte_histogram(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key).cast("long"), F.col(text)).mapInArrow(go, "key long, symbol int, freq long").withColumnRenamed("key", key)
 
 
+def clamped(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """Frequencies of planes whose total is above the coder's limit, scaled down to it; others as they are.
+
+    Scaled in double precision and truncated, but not to zero; the difference to the limit then goes one by one round the symbols
+    that still count more than one. A plane's at most 256 rows meet for that.
+    """
+
+    def go(t: pa.Table) -> pa.Table:
+        counts = np.zeros(256, np.int64)
+        symbol = t.column("symbol").to_numpy()
+        counts[symbol] = t.column("freq").to_numpy()
+        at = t.schema.get_field_index("freq")
+        return t.set_column(at, "freq", pa.array(coder.clamped(counts)[symbol]))
+
+    kinds = dict(freqs.dtypes)
+    names = [*keys, "ch", "symbol", "freq"]
+    return freqs.select(*names).groupBy(*keys, "ch").applyInArrow(go, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
 def rescaled(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """Frequencies whose total is the least power of two not below their own.
 
@@ -56,10 +76,10 @@ def rescaled(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
 
 
 def dense(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
-    """All 256 symbols of each plane, those that don't occur with freq 0."""
-    each = freqs.select(*keys, "ch", "symbol", "freq")
-    zero = freqs.select(*keys, "ch").distinct().select(*keys, "ch", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("symbol"), F.lit(0).cast("long").alias("freq"))
-    return each.union(zero).groupBy(*keys, "ch", "symbol").agg(F.sum("freq").alias("freq"))
+    """All 256 symbols of each plane, those that don't occur with freq 0. A plane's few rows meet in one, where they already are."""
+    one = freqs.groupBy(*keys, "ch").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "freq"))).alias("_m"))
+    each = one.select(*keys, "ch", "_m", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("symbol"))
+    return each.select(*keys, "ch", "symbol", F.coalesce(F.try_element_at("_m", F.col("symbol")), F.lit(0).cast("long")).alias("freq"))
 
 
 def cumulative(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
@@ -80,7 +100,7 @@ def header_bits(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     w = Window.partitionBy(*keys, "ch").orderBy("symbol")
     zeros = F.col("symbol") - F.sum((F.col("freq") == 0).cast("int")).over(w)
     runs = dense(freqs, keys).withColumn("_i", F.when(F.col("freq") == 0, zeros))
-    zero = runs.filter("freq = 0").groupBy(*keys, "ch", "_i").agg(F.count("*").alias("n")).select(*keys, "ch", (F.lit(2) + code_bits(F.col("n"))).alias("bits"))
-    some = freqs.filter("freq > 0").select(*keys, "ch", code_bits(F.col("freq") + 1).alias("bits"))
-    total = some.union(zero).groupBy(*keys, "ch").agg(F.sum("bits").alias("bits"))
+    each = F.when(F.col("freq") > 0, code_bits(F.col("freq") + 1))
+    parts = runs.groupBy(*keys, "ch", "_i").agg(F.sum(each).alias("bits"), F.count("*").alias("n"))
+    total = parts.groupBy(*keys, "ch").agg(F.sum(F.coalesce("bits", F.lit(2) + code_bits(F.col("n")))).alias("bits"))
     return total.select(*keys, "ch", "bits", F.expr("(bits + 7) div 8").alias("bytes"))

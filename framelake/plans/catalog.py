@@ -132,6 +132,15 @@ def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequencies(spark, sf_dir)
 
 
+@query
+def freq_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the documents of each language, as one plane."""
+    docs = table(spark, sf_dir, "documents")
+    by_doc = freqs.byte_histogram(docs, "doc_id", "text")
+    rows = by_doc.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "symbol").agg(F.sum("freq").alias("freq"))
+    return freqs.clamped(rows.withColumn("ch", F.lit(0)), ("lang",))
+
+
 @query
 def freq_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freqs.rescaled(_frequencies(spark, sf_dir))

@@ -53,6 +53,13 @@ select frame_idx, ch, p, (v - (case when p = 0 then 0 when p < w then l when p =
     "restore_first_row": f"with {_PL} select * from pl where p < 50",
     "byte_histogram": "select doc_id, cast('0x' || h as integer) as symbol, count(*) as freq from (select doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents) group by all",
     "residual_histogram": f"with {_FQ} select * from fq",
+    "freq_clamp": """with b as (select lang, unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents),
+fq as (select lang, cast('0x' || h as integer) as symbol, count(*) as freq from b group by all),
+n as (select *, sum(freq) over (partition by lang) as n from fq),
+f as (select *, case when n <= 524288 then freq else greatest(1, cast(floor(freq * (524288 / cast(n as double))) as bigint)) end as f from n),
+k as (select *, case when n > 524288 then 524288 - sum(f) over (partition by lang) else 0 end as rest, count(*) filter (f > 1) over (partition by lang) as m,
+  count(*) filter (f > 1) over (partition by lang order by symbol) as j from f)
+select lang, cast(0 as integer) as ch, symbol, cast(f + case when f > 1 and rest > 0 then rest // m + case when j <= rest % m then 1 else 0 end else 0 end as bigint) as freq from k""",
     "freq_rescale": f"with {_RS} select * from rs",
     "freq_cumulative": f"with {_RS}, dn as ({_DENSE.format('rs')}) select frame_idx, ch, symbol, freq, cast(coalesce(sum(freq) over (partition by frame_idx, ch order by symbol rows between unbounded preceding and 1 preceding), 0) as bigint) as cum from dn",
     "header_bits": f"""with {_FQ}, dn as ({_DENSE.format('fq')}), z as (select frame_idx, ch, symbol - row_number() over (partition by frame_idx, ch order by symbol) as i from dn where freq = 0),
