@@ -39,8 +39,17 @@ CHUNK, PIECE, BUCKET = 4 << 20, 1 << 20, 2 << 20
 KEY = 6
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a).tobytes())
+def _pack(a: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level).compress(np.ascontiguousarray(a).tobytes())
+
+
+def _pack_steps(a: np.ndarray) -> bytes:
+    """Integers of less than 32 bits as their differences, which compress well where they are small."""
+    return _pack(np.diff(a, prepend=0).astype(np.int32))
+
+
+def _unpack_steps(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, np.int32), dtype=np.int64)
 
 
 def _unpack(b: bytes, kind: type | str) -> np.ndarray:
@@ -61,7 +70,7 @@ def _chunked(docs: DataFrame, keep: list[str]) -> DataFrame:
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, t.schema) as w:
                 w.write_table(t)
-            row = {"chunk": base + number, "raw": len(data), "text": _pack(data), "off": _pack(off), "rest": zstandard.ZstdCompressor(1).compress(sink.getvalue())}
+            row = {"chunk": base + number, "raw": len(data), "text": _pack(data, 3), "off": _pack(off), "rest": zstandard.ZstdCompressor(1).compress(sink.getvalue())}
             number, size = number + 1, 0
             held.clear()
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("chunk", pa.int64()), ("raw", pa.int64()), ("text", pa.binary()), ("off", pa.binary()), ("rest", pa.binary())]))
@@ -122,7 +131,7 @@ class _Chunk:
             ends = ok.copy()
             ends[:-1] &= ~ok[1:] | (x[1:] != x[:-1])
             b, e = np.flatnonzero(begins), np.flatnonzero(ends)
-            found.append((x[b], b + s, e - b + 1))
+            found.append((mix(x[b]), b + s, e - b + 1))  # mixed again, as least values crowd near zero
         if not found:
             z = np.zeros(0, np.int64)
             return z.astype(np.uint64), z, z, z
@@ -179,11 +188,12 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """The rows of each value of a column that the batches are sorted by."""
     held: list[dict] = []
     for b in batches:
-        for row in b.to_pylist():
-            if held and held[0][key] != row[key]:
-                yield held
-                held = []
-            held.append(row)
+        for s in range(0, b.num_rows, 64):  # few at once, as rows are large
+            for row in b.slice(s, 64).to_pylist():
+                if held and held[0][key] != row[key]:
+                    yield held
+                    held = []
+                held.append(row)
     if held:
         yield held
 
@@ -194,9 +204,12 @@ def _shared(asked: DataFrame, parts: int) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "bucket"):
             alone, several = [_bytes_key(r["alone"]) for r in rows], [_bytes_key(r["several"]) for r in rows]
-            key, many = np.unique(np.concatenate(alone + several), return_counts=True)
-            common = np.union1d(key[many > 1], np.concatenate(several))
-            out = [np.concatenate([x[np.isin(x, common)], y]) for x, y in zip(alone, several, strict=True)]
+            n = np.array([len(x) for x in alone], np.int64)
+            _, at, many = np.unique(np.concatenate(alone + several), return_inverse=True, return_counts=True)
+            common = many > 1
+            common[at[n.sum() :]] = True
+            hit, ends = common[at[: n.sum()]], np.cumsum(n)
+            out = [np.concatenate([x[hit[e - k : e]], y]) for x, y, e, k in zip(alone, several, ends.tolist(), n.tolist(), strict=True)]
             pick = [i for i, x in enumerate(out) if len(x)]
             if pick:
                 yield pa.RecordBatch.from_arrays([pa.array([rows[i]["chunk"] for i in pick], pa.int64()), pa.array([rows[i]["bucket"] for i in pick], pa.int64()), pa.array([_key_bytes(out[i]) for i in pick], pa.binary())], ["chunk", "bucket", "keys"])
@@ -204,12 +217,12 @@ def _shared(asked: DataFrame, parts: int) -> DataFrame:
     return asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(go, "chunk long, bucket long, keys binary")
 
 
-SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("third", pa.binary())])
+SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("numbers", pa.binary()), ("first", pa.binary()), ("second", pa.binary()), ("third", pa.binary())])
 
 
 def _sent(chunked: DataFrame, shared: DataFrame, least: int, buckets: int) -> DataFrame:
     """Each chunk's distinct segments of shared keys, by bucket: their bytes, lengths and smallest ids. In bucket -1,
-    where they occur: for each occurrence the segment's number and its place in the chunk."""
+    where they occur: for each occurrence, in the order of the text, the segment's number and its place in the chunk."""
 
     def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
@@ -227,24 +240,26 @@ def _sent(chunked: DataFrame, shared: DataFrame, least: int, buckets: int) -> Da
         for b, lo, hi in zip(sorted(lists), *map(np.ndarray.tolist, edges), strict=True):
             at = by[lo:hi]
             take[at] = np.isin(short[at], lists[b])
-        at = by[take[by]]
+        at = np.flatnonzero(take)  # in the order of the text
         bucket, doc, first, many = bucket[at], doc[at], first[at], many[at]
         raw = c.data.tobytes()
-        out, numbers, count = [], np.empty(len(at), np.int64), 0
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(at) else np.zeros(0, np.int64)
-        for s, e in zip(cut.tolist(), np.append(cut[1:], len(at)).tolist(), strict=True):
-            names: dict[bytes, int] = {}
-            local = np.array([names.setdefault(raw[f : f + m + least - 1], len(names)) for f, m in zip(first[s:e].tolist(), many[s:e].tolist(), strict=True)], np.int64)
-            owner = np.full(len(names), np.iinfo(np.int64).max)
-            np.minimum.at(owner, local, c.ids[doc[s:e]])
-            numbers[s:e] = local + count
-            count += len(names)
-            out.append((int(bucket[s]), _pack(np.frombuffer(b"".join(names), np.uint8)), _pack(np.array([len(x) for x in names], np.int64)), _pack(owner)))
-        out.append((-1, _pack(numbers), _pack(first), _pack(np.zeros(0, np.int64))))
-        b, x, y, z = zip(*out, strict=True)
-        return pa.Table.from_arrays([pa.array(b, pa.int64()), pa.array([rows[0]["chunk"]] * len(out), pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(z, pa.binary())], schema=SENT)
-
-    return chunked.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(go, "bucket long, chunk long, first binary, second binary, third binary")
+        names: dict[bytes, int] = {}
+        number = np.array([names.setdefault(raw[f : f + m + least - 1], len(names)) for f, m in zip(first.tolist(), many.tolist(), strict=True)], np.int64)
+        owner = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(owner, number, c.ids[doc])
+        home = np.empty(len(names), np.int64)
+        home[number] = bucket
+        texts, by = list(names), np.argsort(home, kind="stable")
+        cut = np.flatnonzero(np.append(True, home[by][1:] != home[by][:-1])) if len(by) else np.zeros(0, np.int64)
+        out = [(-1, _pack_steps(number), _pack_steps(first), b"", b"")]
+        for s, e in zip(cut.tolist(), np.append(cut[1:], len(by)).tolist(), strict=True):
+            mine = by[s:e]
+            parts = [texts[i] for i in mine.tolist()]
+            out.append((int(home[mine[0]]), _pack_steps(mine), _pack(np.frombuffer(b"".join(parts), np.uint8)), _pack(np.array([len(x) for x in parts], np.int32)), _pack(owner[mine])))
+        b, w, x, y, z = zip(*out, strict=True)
+        return pa.Table.from_arrays([pa.array(b, pa.int64()), pa.array([rows[0]["chunk"]] * len(out), pa.int64()), *[pa.array(v, pa.binary()) for v in (w, x, y, z)]], schema=SENT)
+
+    return chunked.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(go, "bucket long, chunk long, numbers binary, first binary, second binary, third binary")
 
 
 def smallest_owners(segments: list[bytes], owners: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,8 +287,8 @@ def _answered(sent: DataFrame, least: int, parts: int) -> DataFrame:
             names: dict[bytes, int] = {}
             own, local = [], []
             for r in rows:
-                raw, n = _unpack(r["first"], np.uint8).tobytes(), _unpack(r["second"], np.int64)
-                ends = np.cumsum(n)
+                raw, n = _unpack(r["first"], np.uint8).tobytes(), _unpack(r["second"], np.int32)
+                ends = np.cumsum(n, dtype=np.int64)
                 local.append(np.array([names.setdefault(raw[e - k : e], len(names)) for e, k in zip(ends.tolist(), n.tolist(), strict=True)], np.int64))
                 own.append(_unpack(r["third"], np.int64))
             owner = np.full(len(names), np.iinfo(np.int64).max)
@@ -281,9 +296,9 @@ def _answered(sent: DataFrame, least: int, parts: int) -> DataFrame:
             low, windows = smallest_owners(list(names), owner, least)
             at = np.cumsum(windows) - windows
             for r, number in zip(rows, local, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()), pa.array([r["bucket"]], pa.int64()), pa.array([_pack(low[ragged(at[number], windows[number])])], pa.binary()), pa.array([_pack(windows[number])], pa.binary())], ["chunk", "bucket", "low", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()), pa.array([r["bucket"]], pa.int64()), pa.array([r["numbers"]], pa.binary()), pa.array([_pack(low[ragged(at[number], windows[number])])], pa.binary()), pa.array([_pack(windows[number].astype(np.int32))], pa.binary())], ["chunk", "bucket", "numbers", "low", "windows"])
 
-    return sent.filter("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(go, "chunk long, bucket long, low binary, windows binary")
+    return sent.filter("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(go, "chunk long, bucket long, numbers binary, low binary, windows binary")
 
 
 def without_repeats(docs: DataFrame, least: int = 50, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
@@ -298,12 +313,13 @@ def without_repeats(docs: DataFrame, least: int = 50, keep: list[str] | None = N
     parts = max(8, buckets // 2)
     shared = scratch.cut(_shared(_asked(chunked, least, buckets), parts))
     sent = scratch.cut(_sent(chunked, shared, least, buckets))
+    scratch.drop(shared)
     answered = _answered(sent, least, parts)
     none = [F.lit(None).cast("binary").alias(c) for c in ("numbers", "places", "low", "windows")]
     left = chunked.select("chunk", F.lit(0).cast("long").alias("bucket"), "text", "off", "rest", *none)
     empty = [F.lit(None).cast("binary").alias(c) for c in ("text", "off", "rest")]
-    places = sent.filter("bucket = -1").select("chunk", "bucket", *empty, F.col("first").alias("numbers"), F.col("second").alias("places"), *none[2:])
-    right = answered.select("chunk", (F.col("bucket") + 1).alias("bucket"), *empty, *none[:2], "low", "windows")
+    places = sent.filter("bucket = -1").select("chunk", "bucket", *empty, "numbers", F.col("first").alias("places"), *none[2:])
+    right = answered.select("chunk", (F.col("bucket") + 1).alias("bucket"), *empty, "numbers", none[1], "low", "windows")
     fields = [T.StructField("doc_id", T.LongType()), *[T.StructField(f"k_{c}", docs.schema[c].dataType) for c in keep]]
     fields += [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * with_text
 
@@ -313,11 +329,13 @@ def without_repeats(docs: DataFrame, least: int = 50, keep: list[str] | None = N
             hit = np.zeros(len(c.data) + 1, bool)
             where = [r for r in rows if r["bucket"] == -1]
             if where:
-                parts = sorted((r for r in rows if r["low"] is not None), key=lambda r: r["bucket"])
+                parts = [r for r in rows if r["low"] is not None]
                 low = np.concatenate([_unpack(r["low"], np.int64) for r in parts])
-                windows = np.concatenate([_unpack(r["windows"], np.int64) for r in parts])
-                at = np.cumsum(windows) - windows
-                number, place = _unpack(where[0]["numbers"], np.int64), _unpack(where[0]["places"], np.int64)
+                number, place = _unpack_steps(where[0]["numbers"]), _unpack_steps(where[0]["places"])
+                named = np.concatenate([_unpack_steps(r["numbers"]) for r in parts])
+                given = np.concatenate([_unpack(r["windows"], np.int32) for r in parts]).astype(np.int64)
+                windows, at = np.zeros(len(named), np.int64), np.zeros(len(named), np.int64)
+                windows[named], at[named] = given, np.cumsum(given) - given
                 own = c.ids[np.searchsorted(c.off, place, side="right") - 1]
                 for s in range(0, len(number), 50_000):
                     k, p = number[s : s + 50_000], place[s : s + 50_000]
