@@ -8,6 +8,7 @@ import numpy as np
 
 from . import coder, codes, rle
 
+# Fixed values of the format: first bytes of frames.
 GENERAL, GREY, COLOUR = 4, 5, 6
 #: First byte of a channel whose bytes after the first are all zero.
 SOLID = 0xFF

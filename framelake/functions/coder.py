@@ -6,6 +6,7 @@ import bisect
 
 import numpy as np
 
+# Fixed values of the format.
 #: Totals above this are scaled down before coding.
 MOST = 1 << 19
 TOP, BOTTOM, SHIFT = 1 << 31, 1 << 23, 23

@@ -23,6 +23,7 @@ from pyspark.sql.types import Row, StructType
 
 from ..schema import FRAMES, padded
 
+# Fixed values of the format: frames a second, bytes before the first frame, code of the codec, flags of the file and of a frame.
 FPS, HEADER, CODEC = 60, 224, b"LAGS"
 INDEXED, KEY_FRAME = 0x810, 0x10
 
