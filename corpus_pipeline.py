@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from framelake.llm import minhash_forest, mixing, packing, suffix_dedup, toxicity
 from framelake.llm.common import Scratch, table
@@ -26,9 +25,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the bytes of 50-byte strings that a document with a smaller id has; n_chars is counted anew."""
-    keep = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = suffix_dedup.without_repeats(docs, keep=keep, with_text=True)
-    return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return suffix_dedup.cleaned(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

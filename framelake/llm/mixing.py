@@ -45,11 +45,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epoc
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0, keep: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted), times (whole repetitions of the document).
 
-    ``keep`` names further columns of the input to carry along.
+    ``keep`` names further columns of the input to carry along, in a struct ``kept``.
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(
-        F.col("doc_id"), F.col("source").alias("source"), *[F.col(c) for c in keep if c not in ("doc_id", "source")],
+        F.col("doc_id"), F.col("source"), *([F.struct(*keep).alias("kept")] if keep else []),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))), F.lit(str(seed)))).alias("_key"),
         F.monotonically_increasing_id().alias("_row"),
@@ -78,11 +78,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), e
     if goal.count() <= MOST_SOURCES:  # a row for each source; with more of them, Spark shuffles and splits skewed ones
         goal = F.broadcast(goal)
     return sized.join(goal, F.col("source").eqNullSafe(F.col("_g"))).select(
-        "doc_id", *[c for c in keep if c != "doc_id"], "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times")
+        "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), *(["kept"] if keep else [])
     )
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0) -> DataFrame:
     """The documents, each as many times as the mix takes it, with their columns."""
     rows = mix_sources(docs, weights, epochs, tuple(docs.columns))
-    return rows.filter("times > 0").withColumn("_time", F.explode(F.expr("sequence(1L, times)"))).select(*docs.columns)
+    return rows.filter("times > 0").select("kept", F.explode(F.expr("sequence(1L, times)"))).select("kept.*")

@@ -35,6 +35,8 @@ from .common import Scratch, chunks, mix, ragged
 SHORT = 16
 #: Bytes of text of a chunk, of a piece hashed at once, and of all text to a bucket.
 CHUNK, PIECE, BUCKET = 4 << 20, 1 << 20, 2 << 20
+#: Tasks that deal with buckets, at most; a task goes through its buckets one by one.
+MOST_PARTS = 20_000
 #: Bytes of a key that tell a bucket's keys apart.
 KEY = 6
 
@@ -301,16 +303,13 @@ def _answered(sent: DataFrame, least: int, parts: int) -> DataFrame:
     return sent.filter("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(go, "chunk long, bucket long, numbers binary, low binary, windows binary")
 
 
-def without_repeats(docs: DataFrame, least: int = 50, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document, further columns by name, and the kept text.
-
-    Of a kept text, bytes of characters that were cut through are dropped, too.
-    """
-    scratch, keep = Scratch(docs.sparkSession), list(keep or [])
+def _processed(docs: DataFrame, least: int, keep: list[str], with_text: bool) -> DataFrame:
+    """The results of ``without_repeats``, with further columns under names that begin with k_."""
+    scratch = Scratch(docs.sparkSession)
     chunked = scratch.cut(_chunked(docs, keep))
     total = chunked.agg(F.sum("raw")).first()[0] or 0
     buckets = int(max(16, total // BUCKET))
-    parts = max(8, buckets // 2)
+    parts = max(8, min(buckets // 2, MOST_PARTS))
     shared = scratch.cut(_shared(_asked(chunked, least, buckets), parts))
     sent = scratch.cut(_sent(chunked, shared, least, buckets))
     scratch.drop(shared)
@@ -358,5 +357,20 @@ def without_repeats(docs: DataFrame, least: int = 50, keep: list[str] | None = N
             yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out.values()], list(out))
 
     met = left.unionByName(places).unionByName(right)
-    out = met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(go, T.StructType(fields))
-    return out.select("doc_id", *[F.col(f"k_{c}").alias(c) for c in keep], *[f.name for f in fields[1 + len(keep) :]])
+    return met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(go, T.StructType(fields))
+
+
+def without_repeats(docs: DataFrame, least: int = 50, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document, and if asked for the kept text.
+
+    Of a kept text, bytes of characters that were cut through are dropped, too.
+    """
+    return _processed(docs, least, [], with_text)
+
+
+def cleaned(docs: DataFrame, least: int = 50) -> DataFrame:
+    """The documents, all of them, with what is left of their texts (and n_chars, if there, counted anew)."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    rows = _processed(docs, least, others, True)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return rows.select(*[(own[c] if c in own else F.col(f"k_{c}")).alias(c) for c in docs.columns])

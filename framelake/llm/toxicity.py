@@ -105,9 +105,8 @@ class Model:
 
     def _index(self) -> None:
         """Where each leading part of the keys begins, so that a look-up takes a few steps."""
-        self.bits = max(8, int(len(self.key)).bit_length() + 1)
-        self.first = np.searchsorted(self.key, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int64)
-        self.first = np.append(self.first, len(self.key))
+        self.bits = max(8, int(len(self.key)).bit_length())
+        self.first = np.searchsorted(self.key, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("first", "bits")}
@@ -117,7 +116,7 @@ class Model:
         self._index()
 
     def _find(self, key: np.ndarray) -> np.ndarray:
-        at = self.first[(key >> np.uint64(64 - self.bits)).astype(np.int64)]
+        at = self.first[(key >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
         todo = np.arange(len(key))
         out = np.full(len(key), len(self.key))
         while len(todo):
@@ -300,4 +299,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with their columns."""
-    return scored(docs, labels, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = "_toxicity"
+    while name in docs.columns:
+        name = f"_{name}"
+    return scored(docs, labels, name).filter(F.col(name) < threshold).drop(name)

@@ -225,18 +225,18 @@ def test_mixing(spark, seed):
     for _, t, s, *_ in rows:
         sizes[s] = sizes.get(s, 0) + size(t)
     want = plain_targets(sizes, (1, 2, 3), 3)
-    assert sorted((r.doc_id or -1, r.size, r.source or "") for r in got) == sorted((i or -1, size(t), s or "") for i, t, s, *_ in rows)
+    assert sorted((r.doc_id or -1, r.size, r.kept.source or "") for r in got) == sorted((i or -1, size(t), s or "") for i, t, s, *_ in rows)
     for s in sizes:
-        mine = [r for r in got if r.source == s]
+        mine = [r for r in got if r.kept.source == s]
         assert all(r.source_size == sizes[s] and r.target == pytest.approx(float(want[s])) and r.taken in [k * r.size for k in range(4)] for r in mine)
         assert abs(sum(r.taken for r in mine) - want[s]) <= max(r.size for r in mine) / 2 + 1e-6
     again = mixing.mix_sources(df.repartition(5), keep=("source",)).collect()
-    key = lambda r: (r.doc_id or -1, r.size, r.source or "", r.taken)
+    key = lambda r: (r.doc_id or -1, r.size, r.kept.source or "", r.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
 def test_mixed_rows_repeat(spark):
-    df = spark.createDataFrame([(1, "a b c", "x"), (2, "d e", "y"), (3, "f", "y"), (4, "", "y")], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(1, "a b c", "x", 1, 2), (2, "d e", "y", 3, 4), (3, "f", "y", 5, 6), (4, "", "y", 7, 8)], "doc_id long, text string, source string, size int, times int")
     times = {r.doc_id: r.times for r in mixing.mix_sources(df).collect()}
     rows = mixing.mixed(df)
     assert rows.columns == df.columns

@@ -8,10 +8,12 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from framelake.llm.common import Scratch
 
 from .test_duplicates import near_groups, plain_removal
 from .test_models import BAD
@@ -100,3 +102,20 @@ def test_registered():
     assert "pipeline" in names
     sql = __spark_entry__.oracle_sql()
     assert {"op2_minhash_dedup", "op7_embedding_dedup", "op10_mixing"} <= set(sql) and set(sql) <= names
+
+
+def test_stages_keep_other_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    extra = ["_toxicity", "score", "kept", "size", "target", "times", "n_bytes", "kept_text", "k_lang", "h", "y"]
+    docs = docs.withColumns({c: F.col("doc_id") for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = Scratch(spark).cut(stage(spark, docs, sf_dir))
+        assert docs.columns == COLUMNS + extra, name
+        assert all(r[c] == r.doc_id for r in docs.collect() for c in extra)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0
+
+
+def test_stages_of_nothing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
