@@ -325,31 +325,44 @@ def _processed(docs: DataFrame, least: int, keep: list[str], with_text: bool) ->
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "chunk"):
             c = _Chunk(next(r for r in rows if r["text"] is not None))
-            hit = np.zeros(len(c.data) + 1, bool)
+            hit = np.zeros(len(c.data) + 1, bool)  # windows that a smaller id has, by their first bytes
             where = [r for r in rows if r["bucket"] == -1]
             if where:
                 parts = [r for r in rows if r["low"] is not None]
-                low = np.concatenate([_unpack(r["low"], np.int64) for r in parts])
-                number, place = _unpack_steps(where[0]["numbers"]), _unpack_steps(where[0]["places"])
                 named = np.concatenate([_unpack_steps(r["numbers"]) for r in parts])
                 given = np.concatenate([_unpack(r["windows"], np.int32) for r in parts]).astype(np.int64)
                 windows, at = np.zeros(len(named), np.int64), np.zeros(len(named), np.int64)
                 windows[named], at[named] = given, np.cumsum(given) - given
+                low, end = np.empty(int(given.sum()), np.int64), 0
+                for r in parts:
+                    part = _unpack(r["low"], np.int64)
+                    low[end : end + len(part)] = part
+                    end += len(part)
+                number, place = _unpack_steps(where[0]["numbers"]), _unpack_steps(where[0]["places"])
                 own = c.ids[np.searchsorted(c.off, place, side="right") - 1]
-                for s in range(0, len(number), 50_000):
-                    k, p = number[s : s + 50_000], place[s : s + 50_000]
-                    lost = low[ragged(at[k], windows[k])] < np.repeat(own[s : s + 50_000], windows[k])
+                for s in range(0, len(number), 20_000):
+                    k, p = number[s : s + 20_000], place[s : s + 20_000]
+                    lost = low[ragged(at[k], windows[k])] < np.repeat(own[s : s + 20_000], windows[k])
                     hit[ragged(p, windows[k])[lost]] = True
-            many = np.append(0, np.cumsum(hit[:-1], dtype=np.int32))
-            gone = many[1:] - np.concatenate([np.zeros(min(least, len(c.data)), np.int32), many[1 : len(c.data) - least + 1]]) > 0
+                del low
+            gone, width = hit[:-1], 1  # bytes of any window that begins within the last ``width`` bytes, to ``least`` of them
+            while width < least:
+                step = min(width, least - width)
+                wider = gone.copy()
+                wider[step:] |= gone[:-step]
+                gone, width = wider, width + step
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
             inner = c.off[:-1][c.off[:-1] < len(gone)]
             edge[inner] = gone[inner]
-            lost, spans = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(edge))
+            some = np.flatnonzero(np.diff(c.off))
+            lost, spans = np.zeros(len(c.off) - 1, np.int64), np.zeros(len(c.off) - 1, np.int64)
+            if len(some):
+                lost[some] = np.add.reduceat(gone, c.off[:-1][some], dtype=np.int64)
+                spans[some] = np.add.reduceat(edge, c.off[:-1][some], dtype=np.int64)
             out = {"doc_id": c.rest.column("_id").combine_chunks(), **{f"k_{k}": c.rest.column(f"k_{k}").combine_chunks() for k in keep}}
             out["n_bytes"] = pa.array(np.diff(c.off))
-            out["n_removed"], out["n_spans"] = pa.array(np.diff(lost[c.off])), pa.array(np.diff(spans[c.off]))
+            out["n_removed"], out["n_spans"] = pa.array(lost), pa.array(spans)
             left = [c.data[b:e][~gone[b:e]].tobytes() for b, e in zip(c.off[:-1].tolist(), c.off[1:].tolist(), strict=True)]
             out["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())
             if with_text:
