@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; the same bytes that ``bytes.split()`` splits at.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +56,21 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(p)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
+    @contextlib.contextmanager
+    def small_batches(self) -> Iterator[None]:
+        """Arrow batches of few rows for what is written meanwhile, as rows hold texts or blobs."""
+        before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(min(int(before), 1000)))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(BATCH, before)
+
     def cut(self, df: DataFrame) -> DataFrame:
         """``df``, written and read back: its lineage ends here."""
         p = self.path()
-        df.write.option("compression", "zstd").parquet(p)
+        with self.small_batches():
+            df.write.option("compression", "zstd").parquet(p)
         return self.spark.read.schema(df.schema).parquet(p)
 
     def drop(self, *frames: DataFrame) -> None:
@@ -135,6 +148,7 @@ _BYTE = _table_rng.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: As _BYTE, but A-Z count as a-z.
 _BYTE_LOW = _BYTE.copy()
 _BYTE_LOW[65:91] = _BYTE[97:123]
+_OTHER = _table_rng.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 
@@ -149,17 +163,71 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _pow: list[np.ndarray] = [_powers(_R, 1), _powers(_R_INV, 1)]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the byte ranges, equal for equal bytes (A-Z as a-z if ``lower``)."""
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     n = len(data)
     if len(_pow[0]) < n + 1:
         _pow[0], _pow[1] = _powers(_R, n + 1), _powers(_R_INV, n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum((_BYTE_LOW if lower else _BYTE)[data] * _pow[0][:n], out=total[1:])
+    np.cumsum(values[data] * _pow[0][:n], out=total[1:])
     return mix((total[ends] - total[starts]) * _pow[1][starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of the byte ranges, equal for equal bytes (A-Z as a-z if ``lower``)."""
+    return _hashes(data, starts, ends, _BYTE_LOW if lower else _BYTE)
+
+
+class WordTable:
+    """Numbers for distinct words, known by two 64-bit hashes: a hash table in arrays, without an object for each word."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.mask = (1 << (2 * most).bit_length()) - 1
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        self.keys = np.zeros((1024, 2), np.uint64)
+        self.count = 0
+
+    @staticmethod
+    def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return np.column_stack([_hashes(data, starts, ends, _BYTE), _hashes(data, starts, ends, _OTHER)])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The words' numbers; -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        at = (keys[:, 0] & np.uint64(self.mask)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            found = self.slots[at]
+            some = found >= 0
+            todo, at, found = todo[some], at[some], found[some]
+            hit = (self.keys[found] == keys[todo]).all(1)
+            out[todo[hit]] = found[hit]
+            todo, at = todo[~hit], at[~hit] + 1 & self.mask
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Numbers new, distinct words on from those known."""
+        n = len(keys)
+        if self.count + n > len(self.keys):
+            self.keys = np.concatenate([self.keys, np.zeros((max(len(self.keys), n), 2), np.uint64)])
+        self.keys[self.count : self.count + n] = keys
+        if 2 * (self.count + n) > self.mask:  # more than foreseen
+            self.mask = 2 * self.mask + 1
+            self.slots = np.full(self.mask + 1, -1, np.int32)
+            keys, first = self.keys[: self.count + n], 0
+        else:
+            first = self.count
+        at = (keys[:, 0] & np.uint64(self.mask)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = np.flatnonzero(self.slots[at] < 0)
+            self.slots[at[free]] = todo[free] + first  # of several for one slot the last stays
+            left = self.slots[at] != todo + first
+            todo, at = todo[left], at[left] + 1 & self.mask
+        self.count += n
+
+
 def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of each document of a chunk, with repeats, and their number for each document.
 

@@ -124,7 +124,8 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_order"))
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_order").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_order")
-    ranged.select("doc_id", "text").mapInArrow(encode, "task int, shard int, before long, n_ids long, blob binary").write.parquet(out)
+    with Scratch(docs.sparkSession).small_batches():
+        ranged.select("doc_id", "text").mapInArrow(encode, "task int, shard int, before long, n_ids long, blob binary").write.parquet(out)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

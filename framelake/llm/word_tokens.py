@@ -12,11 +12,11 @@ import os
 
 import numpy as np
 
-from .common import ragged
+from .common import WordTable, ragged, words_of
 
 #: Signs that are split off a letter before them if white space follows. No apostrophe (contractions) and none of the signs in the special tokens.
 SIGNS = b".,!?%*$#&:;()\"-"
-MOST_WORDS = 1_000_000
+MOST_WORDS = 300_000
 
 _KIND = np.zeros(256, np.uint8)  # 1 sign, 2 ASCII letter, 4 white space
 _KIND[list(SIGNS)] = 1
@@ -67,47 +67,46 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.entry: dict[bytes, int] = {}
+        self.table = WordTable(MOST_WORDS)
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
         """Encodes new words. Those of letters alone go as one text: each is one word of the vocabulary, which marks word ends."""
-        plain, odd = [], []
-        for w in words:
-            t = w.decode()
-            (plain if t.isalpha() and t.lower().isalpha() else odd).append((w, t))
-        flat = np.array(self._ids([" ".join(t for _, t in plain)])[0], np.uint32)
+        texts = [w.decode() for w in words]
+        letters = np.array([t.isalpha() and t.lower().isalpha() for t in texts], bool)
+        plain, odd = np.flatnonzero(letters), np.flatnonzero(~letters)
+        flat = np.array(self._ids([" ".join(texts[i] for i in plain.tolist())])[0], np.uint32)
         ends = np.flatnonzero(self.last[flat]) + 1
         if len(ends) != len(plain):  # letters to Python, but not to the library
-            plain, odd, flat, ends = [], plain + odd, flat[:0], ends[:0]
-        ids = self._ids([t for _, t in odd])
+            plain, odd, flat, ends = plain[:0], np.arange(len(texts)), flat[:0], ends[:0]
+        ids = self._ids([texts[i] for i in odd.tolist()])
         ends = np.append(ends, len(flat) + np.cumsum([len(e) for e in ids], dtype=np.int64))
         flat = np.append(flat, np.array([x for e in ids for x in e], np.uint32))
-        new = [w for w, _ in plain] + [w for w, _ in odd]
-        self.entry.update(zip(new, range(len(self.ends), len(self.ends) + len(new)), strict=True))
+        self.table.add(keys[np.append(plain, odd)])
         self.ends = np.append(self.ends, ends + len(self.flat))
         self.flat = np.append(self.flat, flat)
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a chunk's texts, one after another, as uint32, and the number of ids of each text, ``end_id`` included."""
         data, off = _simplified(data, off)
-        raw = data.tobytes()
-        words: list[bytes] = []
-        counts = np.empty(len(off) - 1, np.int64)
-        for k in range(len(off) - 1):
-            w = raw[off[k] : off[k + 1]].split()
-            counts[k] = len(w)
-            words += w
-        if len(self.entry) > MOST_WORDS:
+        start, end, counts = words_of(data, off)
+        if self.table.count > MOST_WORDS:
             self.clear()
-        new = set(words).difference(self.entry)
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.entry.__getitem__, words), np.int64, len(words))
+        keys = WordTable.hashes(data, start, end)
+        at = self.table.find(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            raw = data.tobytes()
+            while len(new):
+                first = new[np.unique(keys[new, 0], return_index=True)[1]]
+                self._learn([raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], keys[first])
+                at[new] = self.table.find(keys[new])
+                new = new[at[new] < 0]
         flat, ends = self.flat, self.ends
+        at += 1
         if end_id is not None:  # a word of its own after each text
             flat, ends = np.append(flat, np.uint32(end_id)), np.append(ends, len(flat) + 1)
             at = np.insert(at, np.cumsum(counts), len(ends) - 1)
