@@ -38,7 +38,7 @@ class ClipSequence:
 
     def save(self, path: str) -> None:
         """Writes a container; a sequence without frames has none."""
-        if not self.count():
+        if self.frames.isEmpty():  # looks at the first frames only
             raise ValueError("a container has one frame at least")
         rows = self.encoded().frames
         rows.write.format("clip").option("width", self.width).option("height", self.height).mode("overwrite").save(path)
