@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FRAMES, LARGEST_SIDE
+from ..sources.container import NO_FRAMES
 from . import codec
 
 
@@ -38,10 +39,13 @@ class ClipSequence:
 
     def save(self, path: str) -> None:
         """Writes a container; a sequence without frames has none."""
-        if self.frames.isEmpty():  # looks at the first frames only
-            raise ValueError("a container has one frame at least")
         rows = self.encoded().frames
-        rows.write.format("clip").option("width", self.width).option("height", self.height).mode("overwrite").save(path)
+        try:
+            rows.write.format("clip").option("width", self.width).option("height", self.height).mode("overwrite").save(path)
+        except Exception as e:
+            if NO_FRAMES in str(e):  # found when the write is committed, so frames are encoded once
+                raise ValueError(NO_FRAMES) from e
+            raise
 
     def count(self) -> int:
         return self.frames.count()

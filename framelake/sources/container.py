@@ -26,6 +26,7 @@ from ..schema import FRAMES, padded
 # Fixed values of the format: frames a second, bytes before the first frame, code of the codec, flags of the file and of a frame.
 FPS, HEADER, CODEC = 60, 224, b"LAGS"
 INDEXED, KEY_FRAME = 0x810, 0x10
+NO_FRAMES = "a container has one frame at least"
 
 
 def _local(path: str) -> str:
@@ -126,7 +127,9 @@ class ClipWriter(DataSourceWriter):
         try:
             if os.path.exists(self.path) and not self.overwrite:
                 raise FileExistsError(self.path)
-            if [p[0] for p in places] != list(range(len(places))) or not places:
+            if not places:
+                raise ValueError(NO_FRAMES)
+            if [p[0] for p in places] != list(range(len(places))):
                 raise ValueError("frames are not numbered from 0 on, each once")
             sizes, offset, index = [p[3] for p in places], 4, []
             with open(f"{self.beside}/whole", "wb") as out:
