@@ -1,14 +1,9 @@
-"""Approximate nearest neighbours by inner product: NN-descent graphs, searched greedily.
+"""Exact nearest neighbours by inner product: every query meets every point, in blocks of matrix products.
 
-Equal vectors form one point. Points are dealt into shards of bounded size by a hash; within its shard, each point
-gets a list of near neighbours, first from buckets of random hyperplanes, then by NN-descent: Spark joins bring together
-the neighbours (and reverse neighbours) of each point, which are neighbours of neighbours to each other, and each keeps
-the best it meets. Queries go through every shard's graph, in blocks: a best-first search from its entry points expands the best
-points found until none of the best ``width`` is unexpanded. The graph is built on vectors rounded to 8 bits; the results'
-scores are those of the original vectors in double precision.
-
-What is approximate is which points a search meets: lists of neighbours and of reverse neighbours are bounded, as the
-method has it. All rows are indexed. Recall on the given tables is measured in the tests and stated in the README.
+Equal vectors form one point. Points are dealt into shards of bounded size by a hash, and queries into blocks; each pair of
+a shard and a block meets in one task, which keeps each query's best points of the shard, and the best of all shards are the
+result. No point is passed over, so results depend neither on the size of a shard nor on how points cluster. The work
+is the product of points and queries; a task holds a shard, a block, and the products of a few queries.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and null ids take no part; vectors
 of different lengths don't meet; equal vectors are all candidates, smallest ids first; repeated ids are rows that
@@ -18,42 +13,18 @@ count one by one; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, usable, vectors, whole_groups
+from .common import Scratch, usable, vectors
 
-#: Points of a shard at most, shards at least (so that small inputs use several tasks), and queries of a block.
+#: Points of a shard at most (as expected), shards at least (so that small inputs use several tasks), and queries of a block.
 SHARD, SHARDS, QUERIES = 65_536, 8, 8192
-#: Neighbours and reverse neighbours (as expected) of a point, hyperplane tables, points of a bucket compared at once, and rounds.
-NEAR, REVERSE, TABLES, BUCKET, ROUNDS = 20, 20, 4, 256, 3
-#: Best points kept in a search, points expanded at once, and random points at which it begins.
-WIDTH, EXPAND, ENTRIES = 120, 24, 48
-FOUND = "u long, ids array<long>, scores array<float>"
-
-
-def _lists(u: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    """Rows of FOUND from (u, id, score) sorted by u."""
-    new = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
-    off = pa.array(np.append(new, len(u)).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(u[new]), pa.ListArray.from_arrays(off, pa.array(ids)), pa.ListArray.from_arrays(off, pa.array(scores.astype(np.float32)))], ["u", "ids", "scores"])
-
-
-def _rounded(x: np.ndarray) -> list[bytes]:
-    """Each vector as a float32 scale and signed bytes."""
-    scale = np.abs(x).max(1) / 127
-    q = np.rint(x / scale[:, None]).astype(np.int8)
-    head = scale.astype("<f4")
-    return [h.tobytes() + r.tobytes() for h, r in zip(head, q, strict=True)]
-
-
-def _unrounded(column: pa.ChunkedArray | pa.Array, begin: int, end: int) -> np.ndarray:
-    raw = [x.as_buffer() for x in column[begin:end]]
-    return np.stack([np.frombuffer(r, np.int8, offset=4).astype(np.float32) * np.frombuffer(r, "<f4", 1)[0] for r in raw])
+#: Products held at once.
+PRODUCTS = 1 << 22
 
 
 def _points(rows: DataFrame, most: int) -> DataFrame:
@@ -63,179 +34,66 @@ def _points(rows: DataFrame, most: int) -> DataFrame:
     return few.groupBy("v").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("members"))
 
 
-def _prepared(points: DataFrame, shards: int, bits: int) -> DataFrame:
-    """rep, width, shard, v, members, rounded vector, and a bucket in each hyperplane table."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            widths = b.column("width").to_numpy()
-            for w in np.unique(widths):
-                part = b.filter(pa.array(widths == w))
-                x = vectors(part.column("v"), int(w))
-                planes = np.random.default_rng([int(w), bits, 3]).normal(size=(int(w), TABLES * bits))
-                side = (x @ planes > 0).reshape(len(x), TABLES, bits)
-                cell = (side << np.arange(bits)).sum(2) if bits else np.zeros((len(x), TABLES), np.int64)
-                cells = pa.FixedSizeListArray.from_arrays(pa.array(cell.ravel().astype(np.int64)), TABLES).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("width"), part.column("shard"), part.column("v"), part.column("members"), pa.array(_rounded(x), pa.binary()), cells], ["rep", "width", "shard", "v", "members", "q", "cells"])
-
-    kind = points.schema["v"].dataType.simpleString()
-    points = points.select("rep", F.size("v").alias("width"), F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), "v", "members")
-    return points.mapInArrow(go, f"rep long, width int, shard int, v {kind}, members array<long>, q binary, cells array<long>")
-
-
-def _best_in(ids: np.ndarray, x: np.ndarray, most: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each point its ``most`` nearest others here, if above its ``least``: (u, id, score)."""
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
-    k = min(most, len(ids) - 1)
-    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    score = np.take_along_axis(s, top, 1)
-    keep = score > (-np.inf if least is None else least[:, None])
-    return np.repeat(ids, keep.sum(1)), ids[top[keep]], score[keep]
-
-
-def _joined(groups: DataFrame, keys: list[str], limited: bool) -> DataFrame:
-    """Compares the points of each group and returns what each should know, as FOUND."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in whole_groups(batches, keys):
-            u, q = t.column("u").to_numpy(), t.column("q").combine_chunks()
-            least = t.column("least").to_numpy() if limited else None
-            found = []
-            for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                for s in range(b, e, BUCKET):  # only buckets of the beginning can be larger
-                    f = min(s + BUCKET, e)
-                    ids, first = np.unique(u[s:f], return_index=True)
-                    if len(ids) > 1:
-                        x = _unrounded(q, s, f)[first]
-                        found.append(_best_in(ids, x, NEAR if least is None else NEAR // 2, None if least is None else least[s:f][first]))
-            if found:
-                a, b, c = (np.concatenate(y) for y in zip(*found, strict=True))
-                by = np.argsort(a, kind="stable")
-                yield _lists(a[by], b[by], c[by])
-
-    columns = [*keys, "u", "q"] + ["least"] * limited
-    return groups.select(*dict.fromkeys(columns)).repartition(*keys).sortWithinPartitions(*keys, "u").mapInArrow(go, FOUND)
-
-
-def _merged(found: DataFrame) -> DataFrame:
-    """Each point's best NEAR of all that was found for it."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in whole_groups(batches, ["u"]):
-            ids, scores = t.column("ids").combine_chunks(), t.column("scores").combine_chunks()
-            n = np.diff(ids.offsets.to_numpy())
-            u, c, s = np.repeat(t.column("u").to_numpy(), n), ids.flatten().to_numpy(), scores.flatten().to_numpy()
-            by = np.lexsort((c, -s, u))
-            u, c, s = u[by], c[by], s[by]
-            once = np.lexsort((np.arange(len(u)), c, u))
-            keep = np.zeros(len(u), bool)
-            keep[once] = np.append(True, (u[once][1:] != u[once][:-1]) | (c[once][1:] != c[once][:-1])) if len(u) else keep[once]
-            u, c, s = u[keep], c[keep], s[keep]
-            start = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
-            rank = np.arange(len(u)) - np.repeat(start, np.diff(np.append(start, len(u))))
-            yield _lists(u[rank < NEAR], c[rank < NEAR], s[rank < NEAR])
-
-    return found.repartition("u").sortWithinPartitions("u").mapInArrow(go, FOUND)
-
-
-def _with_reverse(graph: DataFrame, seed: int) -> DataFrame:
-    """(centre, u): each point's neighbours, and about REVERSE of the points it is a neighbour of."""
-    edges = graph.select("u", F.explode("ids").alias("id"))
-    degree = edges.groupBy("id").count()
-    some = F.pmod(F.xxhash64("u", "id", F.lit(seed)), F.lit(1 << 20)) * F.col("count") < REVERSE * (1 << 20)
-    reverse = edges.join(degree, "id").filter(some).select(F.col("id").alias("centre"), "u")
-    return edges.select(F.col("u").alias("centre"), F.col("id").alias("u")).union(reverse)
-
-
-def build(points: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """The index: rep, width, shard, v, members and nbrs of each point."""
+def build(points: DataFrame, scratch: Scratch) -> DataFrame:
+    """rep, width, shard, v and members of each point."""
     points = scratch.cut(points)
-    n = points.count()
-    shards = max(SHARDS, math.ceil(n / SHARD))
-    bits = max(0, math.ceil(math.log2(max(1, n / shards / (BUCKET / 4)))))
-    points = scratch.cut(_prepared(points, shards, bits))
-    cells = points.select(F.col("rep").alias("u"), "q", "width", "shard", F.posexplode("cells").alias("t", "cell"))
-    graph = scratch.cut(_merged(_joined(cells, ["width", "shard", "t", "cell"], False)))
-    for r in range(rounds):
-        least = F.when(F.size("scores") >= NEAR, F.element_at("scores", -1)).otherwise(F.lit(float("-inf"))).cast("float")
-        info = points.select(F.col("rep").alias("u"), "q").join(graph.select("u", least.alias("least")), "u")
-        found = _joined(_with_reverse(graph, r).join(info, "u"), ["centre"], True)
-        new = scratch.cut(_merged(graph.union(found)))
-        scratch.drop(graph)
-        graph = new
-    linked = _with_reverse(graph, rounds).groupBy("centre").agg(F.collect_set("u").alias("nbrs"))
-    return scratch.cut(points.join(linked, F.col("rep") == F.col("centre"), "left").select("rep", "width", "shard", "v", "members", "nbrs"))
-
-
-def greedy(x: np.ndarray, nbrs: np.ndarray, at: np.ndarray, query: np.ndarray, entries: np.ndarray, width: int) -> np.ndarray:
-    """Rows that a best-first search meets as its best ``width``; ``nbrs[at[i]:at[i + 1]]`` are row i's neighbours."""
-    seen, done = np.zeros(len(x), bool), np.zeros(len(x), bool)
-    best = entries
-    seen[best] = True
-    score = x[best] @ query
-    while True:
-        if len(best) > width:
-            top = np.argpartition(-score, width - 1)[:width]
-            best, score = best[top], score[top]
-        ready = np.flatnonzero(~done[best])
-        if not len(ready):
-            return best
-        if len(ready) > EXPAND:
-            ready = ready[np.argpartition(-score[ready], EXPAND - 1)[:EXPAND]]
-        now = best[ready]
-        done[now] = True
-        new = np.unique(np.concatenate([nbrs[at[i] : at[i + 1]] for i in now]))
-        new = new[~seen[new]]
-        seen[new] = True
-        best = np.concatenate([best, new])
-        score = np.concatenate([score, x[new] @ query])
-
-
-def search(index: DataFrame, queries: DataFrame, top: int, width: int = WIDTH) -> DataFrame:
-    """(query, rep, score): about the ``top`` nearest points of each shard for each of the queries (query, v)."""
+    shards = max(SHARDS, math.ceil(points.count() / SHARD))
+    return points.select("rep", F.size("v").alias("width"), F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), "v", "members")
+
+
+def best_of(rep: np.ndarray, x: np.ndarray, q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, rep, score) of the ``top`` best rows of x for each row of q, by score and then by rep."""
+    n, out = len(x), []
+    # Sums taken in another order differ by less than this times the norm of the query.
+    slack = 4 * np.finfo(np.float64).eps * x.shape[1] * np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0))
+    step = max(1, PRODUCTS // max(1, n))
+    for s in range(0, len(q), step):
+        products = q[s : s + step] @ x.T
+        if top < n:
+            least = np.partition(products, n - top, axis=1)[:, n - top]
+        else:
+            least = np.full(len(products), -np.inf)
+        for i, row in enumerate(products):
+            v = q[s + i]
+            met = np.flatnonzero(row >= least[i] - slack * np.sqrt(v @ v))
+            score = np.einsum("ij,j->i", x[met], v)
+            by = np.lexsort((rep[met], -score))[:top]
+            out.append((np.full(len(by), s + i), rep[met[by]], score[by]))
+    a, b, c = (np.concatenate(y) for y in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return a, b, c
+
+
+def search(index: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """(query, rep, score): the ``top`` nearest points of each shard for each of the queries (query, v)."""
 
     def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         w = key[0].as_py()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        name = right.column("query").to_numpy()
         if left.num_rows and right.num_rows:
-            left = left.sort_by("rep")
-            rep = left.column("rep").to_numpy()
-            exact = vectors(left.column("v"), w)
-            x = exact.astype(np.float32)
-            lists = left.column("nbrs").combine_chunks()
-            if lists.null_count:
-                lists = lists.fill_null([])
-            nbrs, at = np.searchsorted(rep, lists.flatten().to_numpy()), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-            q = vectors(right.column("qv"), w)
-            entries = np.random.default_rng(len(rep)).permutation(len(rep))[:ENTRIES]
-            for name, v in zip(right.column("query").to_numpy(), q, strict=True):
-                met = greedy(x, nbrs, at, v.astype(np.float32), entries, width)
-                s = np.einsum("ij,j->i", exact[met], v)
-                by = np.lexsort((rep[met], -s))[:top]
-                out.append((np.full(len(by), name), rep[met[by]], s[by]))
-        a, b, c = (np.concatenate(y) for y in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query": a, "rep": b, "score": c})
+            a, b, c = best_of(left.column("rep").to_numpy(), vectors(left.column("v"), w), vectors(right.column("qv"), w), top)
+        else:
+            a, b, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return pa.table({"query": name[a], "rep": b, "score": c})
 
     n = queries.count()
     blocks = max(1, math.ceil(n / QUERIES))
     shards = index.select("width", "shard").distinct()
-    left = index.select("rep", "width", "shard", "v", "nbrs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    left = index.select("rep", "width", "shard", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = queries.select("query", "v", F.size("v").alias("width"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")).join(shards, "width")
     keys = ["width", "shard", "block"]
     right = right.select("query", F.col("v").alias("qv"), *[F.col(k).alias(f"q_{k}") for k in keys])
     return left.groupBy(*keys).cogroup(right.groupBy(*[f"q_{k}" for k in keys])).applyInArrow(go, "query long, rep long, score double")
 
 
-def nearest(rows: DataFrame, every: int = 20, top: int = 20, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
+def nearest(rows: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score: the ``top`` nearest rows of each row whose id is divisible by ``every``."""
     scratch = Scratch(rows.sparkSession)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).filter(usable("v") & F.col("vec_id").isNotNull())
-    index = build(_points(rows, top + 1), scratch, rounds)
+    index = build(_points(rows, top + 1), scratch)
     asked = scratch.cut(rows.filter(F.col("vec_id") % every == 0).join(index.select("v", "rep"), "v").select("vec_id", "rep"))
     wanted = asked.select("rep").distinct().join(index.select("rep", "v"), "rep").select(F.col("rep").alias("query"), "v")
     wanted = scratch.cut(wanted)
-    met = search(index, wanted, top + 1, width)
+    met = search(index, wanted, top + 1)
 
     def best(frame: DataFrame, by: str, most: int) -> DataFrame:
         order = Window.partitionBy(by).orderBy(F.col("score").desc(), "vec_id")

@@ -10,6 +10,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,33 @@ def test_neighbours(spark):
         assert [(-s, i) for i, s in found] == sorted((-s, i) for i, s in found)
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_neighbours_of_a_large_table_are_exact(spark, clusters):
+    rng = np.random.default_rng(clusters)
+    x = rng.normal(size=(24_000, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(x))] + 0.02 * x
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}))
+    got = neighbours.nearest(df, every=200).orderBy("query_id", "rank").toPandas()
+    exact = x.astype(np.float64)
+    for q, found in got.groupby("query_id"):
+        s = exact @ exact[q]
+        s[q] = -np.inf
+        assert found.vec_id.tolist() == np.argsort(-s, kind="stable")[:20].tolist()
+    assert got.query_id.nunique() == 120
+
+
+def test_neighbours_of_a_full_shard_are_exact():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(neighbours.SHARD, 64))
+    x[1000:] = x[rng.integers(0, 50, len(x) - 1000)] + 0.02 * x[1000:]
+    rep = rng.permutation(len(x)) * 3
+    row, met, _ = neighbours.best_of(rep, x, x[:100], 21)
+    want = np.argsort(-(x[:100] @ x.T), axis=1)[:, :21]
+    assert [sorted(met[row == k].tolist()) for k in range(100)] == [sorted(rep[w].tolist()) for w in want]
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (40, [1.0, 0.0]), (3, [0.0, 1.0]), (60, [1.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(df).collect())
