@@ -6,8 +6,9 @@ that under the ordinary one, and the same divided by its length; a text's featur
 words and over its most toxic words, and its length. A logistic function, fitted to features of texts that the models had not
 seen, turns them into a probability.
 
-The models are fitted to a bounded sample of labelled rows: at most ``SAMPLE`` of each class, those with the smallest
-hash. Every text is scored whole, each word where it first occurs in a worker.
+The models count the n-grams of all learnable rows: tasks count those of their texts, Spark sums them, and the driver has one
+row for each distinct n-gram. Only the logistic function is fitted to a bounded sample: at most ``SAMPLE`` rows of each class, those
+with the smallest hash. Every text is scored whole, each word where it first occurs in a worker.
 
 Defined results: a null or empty text, or one without words, scores as a text without evidence; null labels and null ids
 are not learnt from; repeated ids are rows like others; if labels of a class are missing, all scores are 0 (no toxic ones) or 1; an
@@ -27,11 +28,16 @@ from pyspark.sql import types as T
 from .common import chunks, crc_mod, mix
 
 ORDER = 6
-SAMPLE = 1500
+SAMPLE = 4000
 THRESHOLD = 0.3
 FOLDS = 3
 TOP = (1, 3)
 MOST_WORDS = 300_000
+#: Distinct words of which n-grams are counted at once.
+COUNTED_WORDS = 100_000
+#: Counts of an n-gram: by class, rows outside the sample and those of each fold.
+CELLS = 2 * (FOLDS + 1)
+GRAMS = "n int, key long, suffix long, context long, begins boolean, " + ", ".join(f"c{i} long" for i in range(CELLS))
 #: Bytes around a word, which no word has.
 BEGIN, END = 2, 3
 _M = np.uint64(0x9FB21C651E98DF25)
@@ -54,30 +60,42 @@ def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
         yield key
 
 
+def counted(words: list[bytes], counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 1 .. ORDER: keys of the distinct n-grams, of their last and of their first n - 1 bytes, whether they begin a word, and the sums of ``counts``."""
+    data, place, _ = _laid(words)
+    weight = np.repeat(counts, [len(w) + 2 for w in words], axis=0)
+    shorter = np.zeros(len(data), np.uint64)
+    for n, now in enumerate(_grams(data), 1):
+        here = np.flatnonzero(place >= max(1, n - 1))
+        key, first, at = np.unique(now[here], return_index=True, return_inverse=True)
+        count = np.column_stack([np.bincount(at, weight[here, c], len(key)) for c in range(counts.shape[1])])
+        some = here[first]
+        yield key, shorter[some], shorter[some - 1], place[some] == n - 1, count
+        shorter = now
+
+
 class Model:
     """Both classes' Kneser-Ney models in one table by n-gram: shares, and back-off weights as a context."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         """counts: for each word, its number of texts in the ordinary and in the toxic class."""
-        data, place, _ = _laid(words)
-        weight = np.repeat(counts, [len(w) + 2 for w in words], axis=0).astype(np.float32)
+        self._estimate(list(counted(words, counts)))
+
+    @classmethod
+    def of(cls, grams: list[tuple], counts: list[np.ndarray]) -> Model:
+        """From what ``counted`` gives, with other counts: for each n, two columns."""
+        model = cls.__new__(cls)
+        model._estimate([(*g[:4], c) for g, c in zip(grams, counts, strict=True)])
+        return model
+
+    def _estimate(self, grams: list[tuple]) -> None:
         keys, shares, contexts = [], [], []
-        grams = _grams(data)
-        shorter, now, longer = None, next(grams), None
-        for n in range(1, ORDER + 1):
-            longer = next(grams) if n < ORDER else None
-            here = np.flatnonzero(place >= max(1, n - 1))
-            key, first, at = np.unique(now[here], return_index=True, return_inverse=True)
-            count = np.column_stack([np.bincount(at, weight[here, c], len(key)) for c in (0, 1)])
-            del at
+        for n, (key, _, context, begins, count) in enumerate(grams, 1):
             if n < ORDER:  # in how many longer ones it ends, unless it begins a word
-                more = here[place[here] >= n]
-                whole, pick, back = np.unique(longer[more], return_index=True, return_inverse=True)
-                short = np.searchsorted(key, now[more[pick]])
-                kept = np.column_stack([np.bincount(short, np.bincount(back, weight[more, c], len(whole)) > 0, len(key)) for c in (0, 1)])
-                del whole, pick, back, more, short
-                count = np.where((place[here[first]] == n - 1)[:, None] & (n > 1), count, kept)
-            context = shorter[here[first] - 1] if n > 1 else np.zeros(len(key), np.uint64)
+                _, suffix, _, _, longer = grams[n]
+                short = np.searchsorted(key, suffix)
+                kept = np.column_stack([np.bincount(short, longer[:, c] > 0, len(key)) for c in (0, 1)])
+                count = np.where(begins[:, None] & (n > 1), count, kept)
             names, to = np.unique(context, return_inverse=True)
             total = np.column_stack([np.bincount(to, count[:, c], len(names)) for c in (0, 1)])
             kinds = np.column_stack([np.bincount(to, count[:, c] > 0, len(names)) for c in (0, 1)])
@@ -89,8 +107,7 @@ class Model:
             keys.append(key)
             shares.append(share)
             contexts.append((names, back))
-            shorter, now = now, longer
-        self.root = contexts[0][1][0]
+        self.root = contexts[0][1][0] if len(contexts[0][0]) else np.ones(2, np.float32)
         known = np.concatenate(keys)
         only = np.setdiff1d(np.concatenate([names for names, _ in contexts[1:]]), known)  # contexts that are nothing else, as BEGIN alone
         self.key = np.concatenate([known, only])
@@ -209,63 +226,113 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mean, scale, w
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Scorer | float:
-    """share: of toxic ones among all labelled rows, to which the probabilities are set."""
+def fit(grams: list[tuple], texts: list[bytes], toxic: np.ndarray, fold: np.ndarray, share: float) -> Scorer:
+    """grams: counts of all learnable rows, with CELLS columns. Texts, labels and folds are those of the sample; share: of toxic
+    ones among all labelled rows, to which the probabilities are set."""
     toxic = np.asarray(toxic, np.int64)
-    if not toxic.any():
-        return 0.0
-    if toxic.all():
-        return 1.0
-    names: dict[bytes, int] = {}
-    all_ids = [np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int32) for t in texts]
-    ids = [np.unique(x) for x in all_ids]
-    words = list(names)
-    del names
-    order = np.arange(len(texts))
-    fold = np.zeros(len(texts), np.int64)
-    for c in (0, 1):  # texts come in hashed order
-        fold[toxic == c] = np.arange((toxic == c).sum()) % FOLDS
-
-    def model(chosen: np.ndarray) -> Model:
-        counts = np.column_stack([np.bincount(np.concatenate([ids[i] for i in order[chosen & (toxic == c)]] or [np.zeros(0, np.int32)]), minlength=len(words)) for c in (0, 1)])
-        some = np.flatnonzero(counts.sum(1))
-        return Model([words[i] for i in some], counts[some])
+
+    def model(without: int | None) -> Model:
+        counts = []
+        for g in grams:
+            cells = g[4].reshape(len(g[4]), 2, FOLDS + 1)
+            counts.append(cells.sum(2) if without is None else cells.sum(2) - cells[:, :, without + 1])
+        return Model.of(grams, counts)
 
     x = np.zeros((len(texts), 2 + 2 * len(TOP)))
     for k in range(FOLDS):
-        m, test = model(fold != k), np.flatnonzero(fold == k)
-        lots = [all_ids[i] for i in test]
-        used = np.unique(np.concatenate(lots)) if lots else np.zeros(0, np.int32)
-        evidence = np.concatenate([m.evidence([words[i] for i in used[s : s + 20_000]]) for s in range(0, len(used), 20_000)]) if len(used) else np.zeros((0, 2))
-        if len(used):
-            x[test] = features(evidence[np.searchsorted(used, np.concatenate(lots))], np.array([len(y) for y in lots], np.int64))
+        m, test = model(k), np.flatnonzero(fold == k)
+        for s in range(0, len(test), 500):
+            lots = [words_of(texts[i]) for i in test[s : s + 500]]
+            names: dict[bytes, int] = {}
+            at = np.array([names.setdefault(w, len(names)) for ws in lots for w in ws], np.int64)
+            words = list(names)
+            evidence = np.concatenate([np.zeros((0, 2), np.float32), *[m.evidence(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]])
+            x[test[s : s + 500]] = features(evidence[at], np.array([len(ws) for ws in lots], np.int64))
     mean, scale, w = _logistic(x, toxic)
     here = toxic.mean()
     w[0] += np.log(share / (1 - share)) - np.log(here / (1 - here))
-    return Scorer(model(np.ones(len(texts), bool)), mean, scale, w)
+    return Scorer(model(None), mean, scale, w)
+
+
+def learnable(labels: DataFrame, label: str, modulus: int, out: int) -> DataFrame:
+    """doc_id, y and the id's hash h of labelled rows that may be learnt from."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).filter("y in (0, 1) and doc_id is not null").filter(crc_mod("doc_id", modulus) != out)
+    return known.withColumn("h", F.xxhash64("doc_id"))
+
+
+def gram_counts(docs: DataFrame, labels: DataFrame, most: list[int]) -> list[tuple]:
+    """What ``counted`` gives for all learnable rows, with CELLS columns. most: for each class, the largest hash of the sample's rows."""
+    sample = F.col("h") <= F.when(F.col("y") == 1, F.lit(most[1])).otherwise(F.lit(most[0]))
+    cell = F.col("y") * (FOLDS + 1) + F.when(sample, F.pmod("h", F.lit(FOLDS)) + 1).otherwise(F.lit(0))
+    known = learnable(labels, "toxic", 4, 2).select("doc_id", cell.cast("int").alias("cell"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(crc_mod("doc_id", 4) != 2).join(known.hint("shuffle_hash"), "doc_id").select("text", "cell")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[bytes, int] = {}
+        counts = np.zeros((0, CELLS), np.int64)
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for n, (key, suffix, context, begins, count) in enumerate(counted(list(names), counts) if names else (), 1):
+                columns = [np.full(len(key), n, np.int32), *[a.view(np.int64) for a in (key, suffix, context)], begins, *count.astype(np.int64).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in columns], [f.split()[0] for f in GRAMS.split(", ")])
+
+        for part, data, off in chunks(batches):
+            raw = data.tobytes().lower().translate(_LETTERS)
+            cells = part.column("cell").to_numpy()
+            lots = [[names.setdefault(w, len(names)) for w in set(raw[off[k] : off[k + 1]].split())] for k in range(len(cells))]
+            cells = np.repeat(cells, [len(x) for x in lots])
+            at = np.fromiter((i for x in lots for i in x), np.int64, len(cells))
+            counts = np.concatenate([counts, np.zeros((len(names) - len(counts), CELLS), np.int64)])
+            counts += np.bincount(at * CELLS + cells, minlength=counts.size).reshape(counts.shape)
+            if len(names) > COUNTED_WORDS:
+                yield from found()
+                names, counts = {}, counts[:0]
+        yield from found()
+
+    sums = rows.mapInArrow(go, GRAMS).groupBy("n", "key", "suffix", "context", "begins").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(CELLS)])
+    t = sums.toArrow()
+    n, (key, suffix, context) = t.column("n").to_numpy(), (t.column(c).to_numpy().view(np.uint64) for c in ("key", "suffix", "context"))
+    begins, count = t.column("begins").to_numpy(), np.column_stack([t.column(f"c{i}").to_numpy() for i in range(CELLS)])
+    by = np.lexsort((key, n))
+    ends = np.searchsorted(n[by], np.arange(1, ORDER + 2))
+    return [tuple(a[by[b:e]] for a in (key, suffix, context, begins, count)) for b, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, out: int, most: int) -> tuple[list[bytes], np.ndarray, float]:
     """Texts and labels of at most ``most`` learnable rows of each class, and the share of class 1 among all learnable rows."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).filter("y in (0, 1) and doc_id is not null").filter(crc_mod("doc_id", modulus) != out)
+    texts, y, _, share = _sampled(docs, learnable(labels, label, modulus, out), most)
+    return texts, y, share
+
+
+def _sampled(docs: DataFrame, known: DataFrame, most: int) -> tuple[list[bytes], np.ndarray, np.ndarray, float]:
+    """As ``sampled``, with the ids' hashes."""
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    hashed = known.withColumn("h", F.xxhash64("doc_id"))
-    picked = [hashed.filter(F.col("y") == c).orderBy("h", "doc_id").limit(most) for c in (0, 1)]
+    picked = [known.filter(F.col("y") == c).orderBy("h", "doc_id").limit(most) for c in (0, 1)]
     # At most 2 * most ids.
     chosen = F.broadcast(picked[0].union(picked[1]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("text", "y", "h", "doc_id").toArrow()
     order = np.lexsort((rows.column("doc_id").to_numpy(), rows.column("h").to_numpy()))
     texts = [t or b"" for t in rows.column("text").cast("binary").to_pylist()]
-    y = rows.column("y").to_numpy()
+    y, h = rows.column("y").to_numpy(), rows.column("h").to_numpy()
     total = sum(counts.values())
-    return [texts[i] for i in order], y[order], counts.get(1, 0) / total if total else 0.0
+    return [texts[i] for i in order], y[order], h[order], counts.get(1, 0) / total if total else 0.0
+
+
+def learnt(docs: DataFrame, labels: DataFrame) -> Scorer | float:
+    """A scorer, or the score of all texts if labels of a class are missing."""
+    texts, y, h, share = _sampled(docs, learnable(labels, "toxic", 4, 2), SAMPLE)
+    if not (y == 1).any():
+        return 0.0
+    if (y == 1).all():
+        return 1.0
+    return fit(gram_counts(docs, labels, [int(h[y == c].max()) for c in (0, 1)]), texts, y, h % FOLDS, share)
 
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """``docs`` with all its columns and a column of scores, of 0 to 1, under a name it doesn't have."""
     if name in docs.columns:
         raise ValueError(f"the documents have a column {name}")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(*sampled(docs, labels, "toxic", 4, 2, SAMPLE)))
+    shared = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value

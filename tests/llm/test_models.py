@@ -59,6 +59,20 @@ def test_toxicity(spark, toxic):
     assert len(empty) == 1 and empty.pop() < 0.3
 
 
+def test_toxicity_counts_all_learnable_rows(spark, toxic, monkeypatch):
+    docs, truth, df, lab = toxic
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    monkeypatch.setattr(toxicity, "COUNTED_WORDS", 300)
+    words: dict[bytes, list[int]] = {}
+    for i, t in [*docs, (5, "repeated id")]:
+        if truth.get(i) is not None and not held(i, 4, 2):
+            for w in set(toxicity.words_of(t.encode())):
+                words.setdefault(w, [0, 0])[truth[i]] += 1
+    want = toxicity.Model(list(words), np.array(list(words.values())))
+    got = toxicity.learnt(df, lab).model
+    assert np.array_equal(got.key, want.key) and np.allclose(got.value, want.value, atol=1e-7)
+
+
 def test_toxic_documents_go(spark, toxic):
     docs, truth, df, lab = toxic
     kept = {r.doc_id for r in toxicity.without_toxic(df, lab).collect()}
