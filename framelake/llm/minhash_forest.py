@@ -268,11 +268,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each group of near-duplicates, the one with the smallest id. Rows without an id stay; of rows equal in id and text one stays."""
-    found = Scratch(docs.sparkSession).cut(near_duplicates(docs, size, percent))
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    repeated = not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    if repeated:
-        nameless = docs.filter("doc_id is null")
-        docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(nameless)
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents with one of each group of near-duplicates, the one with the smallest id. Rows without an id stay; of rows equal in id and text one stays, and rows of one id with different texts are documents of their own."""
+    scratch, columns = Scratch(docs.sparkSession), docs.columns
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        gone = scratch.cut(near_duplicates(docs, size, percent)).filter(~F.col("kept")).select("doc_id")
+        return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*columns)
+    row = "row"
+    while row in columns:
+        row = f"_{row}"
+    # Numbers in the order of the ids, one for each document; written, as they depend on how rows were dealt.
+    once = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text")
+    once = scratch.cut(once.withColumn(row, F.monotonically_increasing_id()))
+    found = scratch.cut(near_duplicates(once.select(F.col(row).alias("doc_id"), "text"), size, percent))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(row))
+    return once.join(gone.hint("shuffle_hash"), row, "left_anti").select(*columns).union(docs.filter("doc_id is null"))

@@ -102,6 +102,17 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_of_a_repeated_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, b, 1), (5, b, 1), (5, a, 1), (5, a, 1), (5, c, 1), (7, c + " more", 1), (2, a + " more", 1), (None, b, 1), (9, None, 1), (9, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    kept = minhash_forest.deduplicated(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id or -1, r.text or "") for r in kept.collect())
+    assert got == sorted([(-1, b), (2, a + " more"), (3, b), (5, c), (9, ""), (9, "")])
+    assert [(r.doc_id, r.text) for r in minhash_forest.deduplicated(df.filter(df.text.isin(a, b) & df.doc_id.isNotNull())).orderBy("doc_id").collect()] == [(3, b), (5, a)]
+
+
 @pytest.mark.parametrize("seed", range(200))
 def test_repeats(seed):
     rng = random.Random(seed)
