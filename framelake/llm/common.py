@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -148,7 +149,6 @@ _BYTE = _table_rng.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: As _BYTE, but A-Z count as a-z.
 _BYTE_LOW = _BYTE.copy()
 _BYTE_LOW[65:91] = _BYTE[97:123]
-_OTHER = _table_rng.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 
@@ -178,47 +178,83 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return _hashes(data, starts, ends, _BYTE_LOW if lower else _BYTE)
 
 
+def _lanes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words as 64-bit numbers, the last of each filled up with zeros, and how many each word has."""
+    many = lengths + 7 >> 3
+    step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    at = np.repeat(starts, many) + 8 * step
+    left = np.minimum(np.repeat(lengths, many) - 8 * step, 8)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    each = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,), writeable=False)
+    return each[at] & _MASKS[left], many
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class WordTable:
-    """Numbers for distinct words, known by two 64-bit hashes: a hash table in arrays, without an object for each word."""
+    """Numbers for distinct words: a hash table in arrays, without an object for each word.
+
+    A hash only says where to look; words are the same if all their bytes are.
+    """
 
     def __init__(self, most: int):
         self.most = most
         self.mask = (1 << (2 * most).bit_length()) - 1
         self.slots = np.full(self.mask + 1, -1, np.int32)
-        self.keys = np.zeros((1024, 2), np.uint64)
-        self.count = 0
+        self.keys, self.lengths, self.begins = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.text = np.zeros(1 << 14, np.uint64)
+        self.used = self.count = 0
 
     @staticmethod
     def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return np.column_stack([_hashes(data, starts, ends, _BYTE), _hashes(data, starts, ends, _OTHER)])
+        return _hashes(data, starts, ends, _BYTE)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The words' numbers; -1 for unknown ones."""
         out = np.full(len(keys), -1, np.int64)
-        at = (keys[:, 0] & np.uint64(self.mask)).astype(np.int64)
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
         todo = np.arange(len(keys))
         while len(todo):
             found = self.slots[at]
             some = found >= 0
             todo, at, found = todo[some], at[some], found[some]
-            hit = (self.keys[found] == keys[todo]).all(1)
-            out[todo[hit]] = found[hit]
-            todo, at = todo[~hit], at[~hit] + 1 & self.mask
+            hit = np.flatnonzero((self.keys[found] == keys[todo]) & (self.lengths[found] == ends[todo] - starts[todo]))
+            same = np.zeros(len(todo), bool)
+            for s in range(0, len(hit), 1 << 16):
+                h = hit[s : s + (1 << 16)]
+                same[h] = self._same(data, starts[todo[h]], ends[todo[h]] - starts[todo[h]], found[h])
+            out[todo[same]] = found[same]
+            todo, at = todo[~same], at[~same] + 1 & self.mask
         return out
 
-    def add(self, keys: np.ndarray) -> None:
+    def _same(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        mine, many = _lanes(data, starts, lengths)
+        off = mine != self.text[ragged(self.begins[numbers], many)]
+        if not off.any():
+            return np.ones(len(numbers), bool)
+        return np.bincount(np.repeat(np.arange(len(numbers)), many)[off], minlength=len(numbers)) == 0
+
+    def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
         """Numbers new, distinct words on from those known."""
-        n = len(keys)
-        if self.count + n > len(self.keys):
-            self.keys = np.concatenate([self.keys, np.zeros((max(len(self.keys), n), 2), np.uint64)])
-        self.keys[self.count : self.count + n] = keys
+        n, lengths = len(keys), ends - starts
+        text, many = _lanes(data, starts, lengths)
+        while self.count + n > len(self.keys):
+            self.keys, self.lengths, self.begins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.lengths, self.begins))
+        while self.used + len(text) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        here = slice(self.count, self.count + n)
+        self.keys[here], self.lengths[here], self.begins[here] = keys, lengths, self.used + np.cumsum(many) - many
+        self.text[self.used : self.used + len(text)] = text
+        self.used += len(text)
         if 2 * (self.count + n) > self.mask:  # more than foreseen
-            self.mask = 2 * self.mask + 1
+            while 2 * (self.count + n) > self.mask:
+                self.mask = 2 * self.mask + 1
             self.slots = np.full(self.mask + 1, -1, np.int32)
             keys, first = self.keys[: self.count + n], 0
         else:
             first = self.count
-        at = (keys[:, 0] & np.uint64(self.mask)).astype(np.int64)
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
         todo = np.arange(len(keys))
         while len(todo):
             free = np.flatnonzero(self.slots[at] < 0)
@@ -228,38 +264,71 @@ class WordTable:
         self.count += n
 
 
+#: Bytes of text and words after which a worker forgets the words it knows.
+MOST_WORDS, MOST_TEXT = 300_000, 64 << 20
+
+
+class WordNames:
+    """128-bit names of words (A-Z as a-z), by BLAKE2b: worked out once for each distinct word that a worker meets."""
+
+    def __init__(self):
+        self.table, self.names = WordTable(MOST_WORDS), np.zeros((0, 2), np.uint64)
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A row of two 64-bit numbers for each word."""
+        data = _LOWER[data]
+        if self.table.count > MOST_WORDS or self.table.used > MOST_TEXT >> 3:
+            self.__init__()
+        keys = WordTable.hashes(data, starts, ends)
+        at = self.table.find(data, starts, ends, keys)
+        new = np.flatnonzero(at < 0)
+        while len(new):  # once, unless different words have one hash
+            first = new[np.unique(keys[new], return_index=True)[1]]
+            raw = [data[s:e].tobytes() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            more = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in raw), "<u8").reshape(-1, 2)
+            self.table.add(data, starts[first], ends[first], keys[first])
+            self.names = np.concatenate([self.names, more])
+            at[new] = self.table.find(data, starts[new], ends[new], keys[new])
+            new = new[at[new] < 0]
+        return self.names[at]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_names: list[WordNames] = []
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``WordNames.of`` by this worker's table."""
+    if not _names:
+        _names.append(WordNames())
+    return _names[0].of(data, starts, ends)
+
+
+def _chained(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The names of sequences with one more word: rows of two numbers, neither of which is worked out from the other."""
+    return np.column_stack([mix(h[:, 0] * np.uint64(0x9FB21C651E98DF25) + w[:, 0]), mix(h[:, 1] * np.uint64(0xD6E8FEB86659FD93) + w[:, 1])])
+
+
 def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word shingles of each document of a chunk, with repeats, and their number for each document.
+    """128-bit names of the word shingles of each document of a chunk, with repeats, as rows of two numbers, and how many each has.
 
     A document of fewer words than ``size``, but at least one, has one shingle: all its words.
     """
     starts, ends, counts = words_of(data, off)
-    h = word_hashes(data, starts, ends)
+    h = word_names(data, starts, ends)
     first = np.cumsum(counts) - counts
-    full = np.maximum(counts - size + 1, 0)
-    at = ragged(first, full)
-    out = np.full(len(at), size, np.uint64)
+    length = np.minimum(counts, size)
+    n = np.where(counts >= size, counts - size + 1, counts > 0).astype(np.int64)
+    at, length = ragged(first, n), np.repeat(length, n)
+    out = np.column_stack([length, length]).astype(np.uint64)
     for k in range(size):
-        out = mix(out * np.uint64(0x9FB21C651E98DF25) + h[at + k])
-    short = np.flatnonzero((counts > 0) & (counts < size))
-    if not len(short):
-        return out, full
-    one = np.empty(len(short), np.uint64)
-    for i, d in enumerate(short):
-        v = np.uint64(counts[d])
-        x = np.array([v], np.uint64)
-        for w in h[first[d] : first[d] + counts[d]]:
-            x = mix(x * np.uint64(0x9FB21C651E98DF25) + w)
-        one[i] = x[0]
-    n = full.copy()
-    n[short] = 1
-    at = np.cumsum(n) - n
-    merged = np.empty(int(n.sum()), np.uint64)
-    mask = np.ones(len(merged), bool)
-    mask[at[short]] = False
-    merged[mask] = out
-    merged[at[short]] = one
-    return merged, n
+        on = np.flatnonzero(length > k)
+        if len(on) == len(out):
+            out = _chained(out, h[at + k])
+        elif len(on):
+            out[on] = _chained(out[on], h[at[on] + k])
+    return out, n
 
 
 def crc_mod(column: str, modulus: int):

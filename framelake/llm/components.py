@@ -1,8 +1,11 @@
 """Connected components of a graph of links, by joining stars.
 
-In each round the links of both directions meet by node; each task unites what it holds, in bounded lots, and gives each
-node the smallest node that it reaches there; then each node takes the least of what tasks gave it. Rounds end when
-nothing changes.
+In each round the links of both directions meet by node, those of one node in up to ``SALTS`` tasks; each task unites what it holds,
+in bounded lots, and gives each node the smallest node that it reaches there; then each node takes the least of what tasks gave
+it, and what it was given is linked to that. Rounds end when nothing changes.
+
+Defined results: links without a null, in either direction and repeated, of a node with itself, too (it is a component then);
+without links there are no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from .common import Scratch
 
 #: Links that a task unites at once.
 LOT = 1_000_000
+#: Tasks that the links of one node are dealt to.
+SALTS = 32
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,4 +76,4 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = tuple(r)
         both = inner.union(inner.select("b", "a"))
-        stars = both.repartition("a").mapInArrow(_stars, "node long, component long")
+        stars = both.repartition("a", F.pmod(F.xxhash64("b"), F.lit(SALTS))).mapInArrow(_stars, "node long, component long")

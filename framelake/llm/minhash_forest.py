@@ -1,13 +1,16 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-Documents with equal shingle sets form a class and only classes are compared. Each tree of the forest sorts the
+A shingle is known by 128 bits worked out from BLAKE2b digests of its words, in sets that are confirmed, too; different shingles
+with one name are less likely than a fault of the machine. Documents with equal shingle sets form a class and only
+classes are compared. Each tree of the forest sorts the
 signatures by its own part of the hash values; candidates are neighbours in that order with a common prefix. In
 regions (common prefixes) of few signatures, whatever their depth, all are candidates to each other; a larger region is held
 together by its next neighbours. Documents that candidates connect form a group, whose full sets are then compared:
 every document with all that links have not joined to it yet, in blocks where a group is large. So no cap drops a link, and all
 links are those of full sets.
 
-Defined results: documents without words have an empty set and link with nothing; a null id links with nothing and
+Defined results: documents without words (null, empty, white space) have an empty set and link with nothing; texts of any
+length count whole; a pair exactly at the threshold links; a null id links with nothing and
 is kept, with a null component; rows that repeat an id are compared by their own texts, and where such rows stand
 for their classes the classes count as linked; an empty table gives no rows; further columns are ignored.
 """
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, mix, ragged, shingles, whole_groups
+from .common import Scratch, chunks, ragged, shingles, whole_groups
 from .components import connected_components
 
 #: Trees, hash values of each tree's order, and values that candidates share at least. At similarity 0.8 a pair misses all trees with chance (1 - 0.64) ** 12 < 5e-6.
@@ -30,8 +33,8 @@ TREES, DEPTH, LEAST = 12, 5, 2
 VALUES = TREES * DEPTH
 #: Regions up to this size are compared in full.
 FULL = 8
-#: Documents of a group that one task compares in full; beyond it the group is split into blocks of this size.
-BLOCK = 2048
+#: Documents of a group, and shingles of them all, that one task compares in full; beyond either the group is split into blocks.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Standard deviations below the expected number of equal hash values at which a candidate is not confirmed.
 MARGIN = 5.5
 
@@ -39,16 +42,31 @@ _FACTORS = np.random.default_rng(91).integers(0, 1 << 63, VALUES, dtype=np.uint6
 
 
 def _sets(data: np.ndarray, off: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """The sorted shingle hashes of each document of a chunk."""
+    """The distinct shingles of each document of a chunk, sorted, as rows of two numbers."""
     h, n = shingles(data, off, size)
     ends = np.cumsum(n)
     for b, e in zip((ends - n).tolist(), ends.tolist(), strict=True):
-        x = np.sort(h[b:e])
-        yield x[np.append(True, x[1:] != x[:-1])] if len(x) > 1 else x
+        yield _distinct(h[b:e])
+
+
+def _order(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of rows in which equal ones are neighbours, and which rows in it differ from the one before."""
+    by = np.argsort(h[:, 0], kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[by[1:], 0] != h[by[:-1], 0]
+    if (h[by[1:], 1] != h[by[:-1], 1])[~new[1:]].any():  # equal in one half only
+        by = np.lexsort((h[:, 1], h[:, 0]))
+        new[1:] = (h[by[1:]] != h[by[:-1]]).any(1)
+    return by, new
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    by, new = _order(h)
+    return h[by[new]]
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, the hash values in big-endian order, and their low bytes."""
+    """doc_id, n_shingles, the 128-bit name of the set in two numbers, the hash values in big-endian order, and their low bytes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in chunks(batches):
@@ -60,8 +78,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             if len(some):
                 h = np.concatenate(found)
                 starts = (np.cumsum(n) - n)[some]
-                s1[some] = np.add.reduceat(h, starts)
-                s2[some] = np.add.reduceat(mix(h), starts)
+                s1[some], s2[some] = np.add.reduceat(h, starts).T
+                h = h[:, 0].copy()
                 for k in range(VALUES):
                     values[some, k] = np.minimum.reduceat(h * _FACTORS[k] >> np.uint64(32), starts)
             rows = values.astype(">u4").tobytes()
@@ -175,12 +193,13 @@ def _linked(hashes: list[np.ndarray], half: np.ndarray | None, percent: int) ->
     """
     n = np.array([len(h) for h in hashes], np.int64)
     component = np.arange(len(n))
+    by, new = _order(np.concatenate(hashes))
     if len(n) == 2:
-        both = np.sort(np.concatenate(hashes), kind="stable")
-        shared = int((both[1:] == both[:-1]).sum())
-        return np.zeros(2, np.int64) if 100 * shared >= percent * (n.sum() - shared) and n.all() else component
-    _, code = np.unique(np.concatenate(hashes), return_inverse=True)
-    posted = np.repeat(np.arange(len(n)), n)[np.argsort(code, kind="stable")]
+        union = int(new.sum())
+        return np.zeros(2, np.int64) if 100 * (n.sum() - union) >= percent * union and n.all() else component
+    code = np.empty(len(by), np.int64)
+    code[by] = np.cumsum(new) - 1
+    posted = np.repeat(np.arange(len(n)), n)[by]
     many = np.bincount(code)
     begin, first = np.cumsum(many) - many, np.cumsum(n) - n
     size, done = np.ones(len(n), np.int64), n == 0
@@ -206,21 +225,22 @@ def _linked(hashes: list[np.ndarray], half: np.ndarray | None, percent: int) ->
                 size[name] = joined.sum()
 
 
-def links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """(node, component) of the documents that candidates hold together, by their full sets.
 
     Documents that candidates connect form a group; a group's sets meet in one task, or, beyond BLOCK documents, in pairs
     of blocks, whose components are then joined.
     """
     groups = connected_components(pairs, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("held"))
-    blocks = scratch.cut(groups.groupBy("held").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"))
+    sized = groups.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id")
+    blocks = sized.groupBy("held").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = scratch.cut(blocks.filter("blocks > 1"))
     split = not blocks.isEmpty()
-    # Few groups are that large: as many as there are documents in all by BLOCK, at most.
     groups = groups.join(blocks, "held", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if split else groups.withColumn("blocks", F.lit(1))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held"), part.column("blocks"), pa.array([x.tobytes() for x in _sets(data, off, size)], pa.binary())], ["doc_id", "held", "blocks", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held"), part.column("blocks"), pa.array([x.T.tobytes() for x in _sets(data, off, size)], pa.binary())], ["doc_id", "held", "blocks", "hashes"])
 
     # The groups' ids grow with the documents: hashed on both sides, whatever their number.
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "held", "blocks")
@@ -240,7 +260,7 @@ def links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: S
             node, root = [], []
             for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if e - b > 1:
-                    sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in hashes[b:e]]
+                    sets = [np.frombuffer(h.as_buffer(), np.uint64).reshape(2, -1).T for h in hashes[b:e]]
                     component = _linked(sets, block[b:e] if lo[b] != hi[b] else None, percent)
                     node.append(ids[b:e])
                     root.append(ids[b:e][component])
@@ -260,7 +280,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     trees = classes.select("rep", F.col("n_shingles").alias("n"), "sig", "low", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     trees = trees.withColumn("order", F.expr(f"substring(sig, {4 * DEPTH} * tree + 1, {4 * DEPTH})")).withColumn("prefix", F.expr(f"substring(order, 1, {4 * LEAST})")).drop("sig")
     pairs = scratch.cut(candidates(trees, percent))
-    components = scratch.cut(links(pairs, docs, size, percent, scratch).filter("node <> component").distinct())
+    components = scratch.cut(links(pairs, docs, classes, size, percent, scratch).filter("node <> component").distinct())
     named_classes = classes.select("s1", "s2", "n_shingles", "rep").join(components, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(named_classes, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

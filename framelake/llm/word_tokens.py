@@ -3,7 +3,10 @@
 The library encodes each distinct word once; a text's ids are its words' ids in order. That equals encoding
 the whole text: the vocabulary drops white space and no token, merge or composition crosses it. Signs after a
 letter are made words of their own, as the pre-tokenizer splits there, too, and ASCII letters are lower-cased first;
-both leave the ids as they are and make far fewer words distinct.
+both leave the ids as they are and make far fewer words distinct. A word is known by its bytes, not by a hash.
+
+Defined results: an empty text has no ids (but the end id, where one is asked for); texts and words of any length are
+encoded whole; equal words have equal ids wherever they are.
 """
 
 from __future__ import annotations
@@ -12,11 +15,10 @@ import os
 
 import numpy as np
 
-from .common import WordTable, ragged, words_of
+from .common import MOST_TEXT, MOST_WORDS, WordTable, ragged, words_of
 
 #: Signs that are split off a letter before them if white space follows. No apostrophe (contractions) and none of the signs in the special tokens.
 SIGNS = b".,!?%*$#&:;()\"-"
-MOST_WORDS = 300_000
 
 _KIND = np.zeros(256, np.uint8)  # 1 sign, 2 ASCII letter, 4 white space
 _KIND[list(SIGNS)] = 1
@@ -54,7 +56,7 @@ def _simplified(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class WordEncoder:
-    """Encodes chunks of texts; remembers at most about ``MOST_WORDS`` words, then begins anew."""
+    """Encodes chunks of texts; remembers at most about ``MOST_WORDS`` words of ``MOST_TEXT`` bytes, then begins anew."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -73,8 +75,9 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
-        """Encodes new words. Those of letters alone go as one text: each is one word of the vocabulary, which marks word ends."""
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Encodes new words, and returns the order in which they are numbered. Those of letters alone go as one text: each is
+        one word of the vocabulary, which marks word ends."""
         texts = [w.decode() for w in words]
         letters = np.array([t.isalpha() and t.lower().isalpha() for t in texts], bool)
         plain, odd = np.flatnonzero(letters), np.flatnonzero(~letters)
@@ -85,26 +88,25 @@ class WordEncoder:
         ids = self._ids([texts[i] for i in odd.tolist()])
         ends = np.append(ends, len(flat) + np.cumsum([len(e) for e in ids], dtype=np.int64))
         flat = np.append(flat, np.array([x for e in ids for x in e], np.uint32))
-        self.table.add(keys[np.append(plain, odd)])
         self.ends = np.append(self.ends, ends + len(self.flat))
         self.flat = np.append(self.flat, flat)
+        return np.append(plain, odd)
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a chunk's texts, one after another, as uint32, and the number of ids of each text, ``end_id`` included."""
         data, off = _simplified(data, off)
         start, end, counts = words_of(data, off)
-        if self.table.count > MOST_WORDS:
+        if self.table.count > MOST_WORDS or self.table.used > MOST_TEXT >> 3:
             self.clear()
         keys = WordTable.hashes(data, start, end)
-        at = self.table.find(keys)
+        at = self.table.find(data, start, end, keys)
         new = np.flatnonzero(at < 0)
-        if len(new):
-            raw = data.tobytes()
-            while len(new):
-                first = new[np.unique(keys[new, 0], return_index=True)[1]]
-                self._learn([raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], keys[first])
-                at[new] = self.table.find(keys[new])
-                new = new[at[new] < 0]
+        while len(new):  # once, unless different words have one hash
+            first = new[np.unique(keys[new], return_index=True)[1]]
+            first = first[self._learn([data[s:e].tobytes() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])]
+            self.table.add(data, start[first], end[first], keys[first])
+            at[new] = self.table.find(data, start[new], end[new], keys[new])
+            new = new[at[new] < 0]
         flat, ends = self.flat, self.ends
         at += 1
         if end_id is not None:  # a word of its own after each text

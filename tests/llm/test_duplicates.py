@@ -12,6 +12,8 @@ import pytest
 from framelake.llm import bwt, components, embedding_dedup, minhash_forest, suffix_dedup
 from framelake.llm.common import Scratch
 
+from .test_tokens import thue_morse
+
 
 def named(links, nodes):
     root = {n: n for n in nodes}
@@ -92,6 +94,34 @@ def test_large_groups_lose_no_link(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(df, 3, 85).collect()} == want
 
 
+def test_words_of_equal_hashes_are_no_duplicates(spark):
+    t, u = thue_morse()
+    rows = [(1, f"{t} x y {t}"), (2, f"{u} x y {u}"), (3, t), (4, u), (5, t.upper())]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {1: (2, 1), 2: (2, 2), 3: (1, 3), 4: (1, 4), 5: (1, 3)}
+
+
+def test_near_duplicates_of_very_long_texts(spark, monkeypatch):
+    """Texts of more than 3 MB, whose sets take more than one block."""
+    monkeypatch.setattr(minhash_forest, "BLOCK_SHINGLES", 300_000)
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(60_000)}" for _ in range(450_000)]
+    near, far = list(words), list(words)
+    near[1000:1100] = ["n"] * 100
+    far[:60_000] = [f"f{i}" for i in range(60_000)]
+    docs = [(i, " ".join(w)) for i, w in enumerate((words, near, far, words[:200_000]), 1)]
+    assert len(docs[0][1]) > 3_000_000 - 500_000
+    want, n = near_groups(docs, 3, 85)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(df, 3, 85).collect()} == {i: (n[i], want[i]) for i in n}
+
+
+def test_links_of_a_hot_node_are_dealt_to_several_tasks(spark):
+    links = spark.range(1, 5000).selectExpr("0L as a", "id as b").union(spark.range(5000, 9000).selectExpr("id as a", "4999L as b")).repartition(3)
+    got = components.connected_components(links, Scratch(spark))
+    assert got.count() == 9000 and got.filter("component <> 0").isEmpty()
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from framelake.llm import packing, token_counts, token_shards
+from framelake.llm.common import WordTable
 from framelake.llm.word_tokens import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +55,38 @@ def test_words_encode_like_whole_texts(tokenizer):
             assert ids[b:e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def thue_morse(rounds=10):
+    """Two different words whose polynomial hashes modulo 2^64 are equal whatever the odd base."""
+    t, u = "a", "b"
+    for _ in range(rounds):
+        t, u = t + u, u + t
+    return t, u
+
+
+def test_words_of_equal_hashes_are_told_apart(spark, tokenizer):
+    t, u = thue_morse()
+    raw = np.frombuffer(f"{t} {u}".encode(), np.uint8)
+    keys = WordTable.hashes(raw, np.array([0, len(t) + 1]), np.array([len(t), len(raw)]))
+    assert keys[0] == keys[1] and t != u
+    texts = [t, u, f"{u} {t} {u}", t]
+    rows = {r.doc_id: r.ids_crc32 for r in token_shards.token_output(docs(spark, texts), PATH).collect()}
+    assert rows == {i: crc(ids_of(tokenizer, x, 2)) for i, x in enumerate(texts)}
+    rows = {(r.doc_id, r.piece): r.ids_crc32 for r in packing.pack(docs(spark, texts), PATH, capacity=100_000).collect()}
+    assert rows == {(i, 0): crc(ids_of(tokenizer, x, 0)) for i, x in enumerate(texts)}
+
+
+def test_long_words_and_texts(spark, tokenizer):
+    rng = random.Random(8)
+    letters = "abcdefgh"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 5001))) for _ in range(12)) for _ in range(6)]
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(700_000)), None, "x" * 1_000_000]  # more than 3 MB
+    rows = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_shards.token_output(docs(spark, texts), PATH).collect()}
+    for i, t in enumerate(texts[:-1]):
+        ids = ids_of(tokenizer, t, 2)
+        assert rows[i] == (len(ids), crc(ids))
+    assert rows[8][0] > 1000
+
+
 def test_encoder_begins_anew(monkeypatch, tokenizer):
     from framelake.llm import word_tokens
 
