@@ -6,12 +6,14 @@ that under the ordinary one, and the same divided by its length; a text's featur
 words and over its most toxic words, and its length. A logistic function, fitted to features of texts that the models had not
 seen, turns them into a probability.
 
-The models count the n-grams of all learnable rows: tasks count those of their texts, Spark sums them, and the driver has one
-row for each distinct n-gram. Only the logistic function is fitted to a bounded sample: at most ``SAMPLE`` rows of each class, those
+The models count the n-grams of all learnable rows: Spark sums in how many texts each distinct word is, and the n-grams' counts follow
+from the words'. The driver has one row for each distinct word and, as every worker, the models: they grow with the vocabulary. Only the
+logistic function is fitted to a bounded sample: the features, worked out by the executors, of at most ``SAMPLE`` rows of each class, those
 with the smallest hash. Every text is scored whole, each word where it first occurs in a worker.
 
 Defined results: a null or empty text, or one without words, scores as a text without evidence; null labels and null ids
-are not learnt from; repeated ids are rows like others; if labels of a class are missing, all scores are 0 (no toxic ones) or 1; an
+are not learnt from; repeated ids are rows like others (each is learnt from with each label of its id); of rows with equal hashes those whose texts have
+the smaller hash are in the sample; texts of any length count whole; if labels of a class are missing, all scores are 0 (no toxic ones) or 1; an
 empty table gives no rows; further columns are ignored.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, crc_mod, mix
+from .common import Scratch, chunks, crc_mod, mix
 
 ORDER = 6
 SAMPLE = 4000
@@ -33,11 +35,10 @@ THRESHOLD = 0.3
 FOLDS = 3
 TOP = (1, 3)
 MOST_WORDS = 300_000
-#: Distinct words of which n-grams are counted at once.
+#: Distinct words that a task counts at once.
 COUNTED_WORDS = 100_000
-#: Counts of an n-gram: by class, rows outside the sample and those of each fold.
+#: Counts of a word: by class, rows outside the sample and those of each fold.
 CELLS = 2 * (FOLDS + 1)
-GRAMS = "n int, key long, suffix long, context long, begins boolean, " + ", ".join(f"c{i} long" for i in range(CELLS))
 #: Bytes around a word, which no word has.
 BEGIN, END = 2, 3
 _M = np.uint64(0x9FB21C651E98DF25)
@@ -63,12 +64,12 @@ def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
 def counted(words: list[bytes], counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For n = 1 .. ORDER: keys of the distinct n-grams, of their last and of their first n - 1 bytes, whether they begin a word, and the sums of ``counts``."""
     data, place, _ = _laid(words)
-    weight = np.repeat(counts, [len(w) + 2 for w in words], axis=0)
+    size = np.array([len(w) + 2 for w in words], np.int64)
     shorter = np.zeros(len(data), np.uint64)
     for n, now in enumerate(_grams(data), 1):
         here = np.flatnonzero(place >= max(1, n - 1))
         key, first, at = np.unique(now[here], return_index=True, return_inverse=True)
-        count = np.column_stack([np.bincount(at, weight[here, c], len(key)) for c in range(counts.shape[1])])
+        count = np.column_stack([np.bincount(at, np.repeat(counts[:, c], size)[here], len(key)) for c in range(counts.shape[1])])
         some = here[first]
         yield key, shorter[some], shorter[some - 1], place[some] == n - 1, count
         shorter = now
@@ -79,14 +80,8 @@ class Model:
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         """counts: for each word, its number of texts in the ordinary and in the toxic class."""
-        self._estimate(list(counted(words, counts)))
-
-    @classmethod
-    def of(cls, grams: list[tuple], counts: list[np.ndarray]) -> Model:
-        """From what ``counted`` gives, with other counts: for each n, two columns."""
-        model = cls.__new__(cls)
-        model._estimate([(*g[:4], c) for g, c in zip(grams, counts, strict=True)])
-        return model
+        some = np.flatnonzero(counts.any(1))
+        self._estimate(list(counted([words[i] for i in some.tolist()], counts[some])))
 
     def _estimate(self, grams: list[tuple]) -> None:
         keys, shares, contexts = [], [], []
@@ -226,106 +221,116 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mean, scale, w
 
 
-def fit(grams: list[tuple], texts: list[bytes], toxic: np.ndarray, fold: np.ndarray, share: float) -> Scorer:
-    """grams: counts of all learnable rows, with CELLS columns. Texts, labels and folds are those of the sample; share: of toxic
-    ones among all labelled rows, to which the probabilities are set."""
-    toxic = np.asarray(toxic, np.int64)
-
-    def model(without: int | None) -> Model:
-        counts = []
-        for g in grams:
-            cells = g[4].reshape(len(g[4]), 2, FOLDS + 1)
-            counts.append(cells.sum(2) if without is None else cells.sum(2) - cells[:, :, without + 1])
-        return Model.of(grams, counts)
-
-    x = np.zeros((len(texts), 2 + 2 * len(TOP)))
-    for k in range(FOLDS):
-        m, test = model(k), np.flatnonzero(fold == k)
-        for s in range(0, len(test), 500):
-            lots = [words_of(texts[i]) for i in test[s : s + 500]]
-            names: dict[bytes, int] = {}
-            at = np.array([names.setdefault(w, len(names)) for ws in lots for w in ws], np.int64)
-            words = list(names)
-            evidence = np.concatenate([np.zeros((0, 2), np.float32), *[m.evidence(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]])
-            x[test[s : s + 500]] = features(evidence[at], np.array([len(ws) for ws in lots], np.int64))
-    mean, scale, w = _logistic(x, toxic)
-    here = toxic.mean()
-    w[0] += np.log(share / (1 - share)) - np.log(here / (1 - here))
-    return Scorer(model(None), mean, scale, w)
-
-
 def learnable(labels: DataFrame, label: str, modulus: int, out: int) -> DataFrame:
     """doc_id, y and the id's hash h of labelled rows that may be learnt from."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).filter("y in (0, 1) and doc_id is not null").filter(crc_mod("doc_id", modulus) != out)
     return known.withColumn("h", F.xxhash64("doc_id"))
 
 
-def gram_counts(docs: DataFrame, labels: DataFrame, most: list[int]) -> list[tuple]:
-    """What ``counted`` gives for all learnable rows, with CELLS columns. most: for each class, the largest hash of the sample's rows."""
+def sampled(docs: DataFrame, known: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, float]:
+    """A written table (text, y, h, t) of at most ``most`` learnable rows of each class, and the share of class 1 among all
+    learnable labels. Taken are rows whose ids have the smallest hashes, then those whose texts have (t)."""
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    picked = [known.filter(F.col("y") == c).orderBy("h", "doc_id").limit(most) for c in (0, 1)]
+    chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 * most ids
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "y", "h", F.xxhash64("text").alias("t"))
+    rows = scratch.cut(rows)
+    if rows.groupBy("y").count().filter(F.col("count") > most).count():  # ids that repeat
+        rows = scratch.cut(rows.filter("y = 0").orderBy("h", "t").limit(most).union(rows.filter("y = 1").orderBy("h", "t").limit(most)))
+    total = sum(counts.values())
+    return rows, counts.get(1, 0) / total if total else 0.0
+
+
+def word_counts(docs: DataFrame, labels: DataFrame, most: list[int]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of all learnable rows, and in how many of them each is, by cell. most: for each class, the largest hash of
+    the sample's rows. What is shuffled is each text's distinct words, then one row for each word of a task."""
     sample = F.col("h") <= F.when(F.col("y") == 1, F.lit(most[1])).otherwise(F.lit(most[0]))
     cell = F.col("y") * (FOLDS + 1) + F.when(sample, F.pmod("h", F.lit(FOLDS)) + 1).otherwise(F.lit(0))
     known = learnable(labels, "toxic", 4, 2).select("doc_id", cell.cast("int").alias("cell"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(crc_mod("doc_id", 4) != 2).join(known.hint("shuffle_hash"), "doc_id").select("text", "cell")
+    kind = "word binary, " + ", ".join(f"c{i} long" for i in range(CELLS))
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in chunks(batches):
+            raw = data.tobytes().lower().translate(_LETTERS)
+            words = [b" ".join(dict.fromkeys(raw[b:e].split())) for b, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.binary())], ["doc_id", "words"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[bytes, int] = {}
         counts = np.zeros((0, CELLS), np.int64)
 
-        def found() -> Iterator[pa.RecordBatch]:
-            for n, (key, suffix, context, begins, count) in enumerate(counted(list(names), counts) if names else (), 1):
-                columns = [np.full(len(key), n, np.int32), *[a.view(np.int64) for a in (key, suffix, context)], begins, *count.astype(np.int64).T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in columns], [f.split()[0] for f in GRAMS.split(", ")])
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(names), pa.binary()), *map(pa.array, np.ascontiguousarray(counts.T))], ["word", *[f"c{i}" for i in range(CELLS)]])
 
-        for part, data, off in chunks(batches):
-            raw = data.tobytes().lower().translate(_LETTERS)
-            cells = part.column("cell").to_numpy()
-            lots = [[names.setdefault(w, len(names)) for w in set(raw[off[k] : off[k + 1]].split())] for k in range(len(cells))]
-            cells = np.repeat(cells, [len(x) for x in lots])
+        for b in batches:
+            lots = [[names.setdefault(w, len(names)) for w in ws.split()] for ws in b.column("words").to_pylist()]
+            cells = np.repeat(b.column("cell").to_numpy(), [len(x) for x in lots])
             at = np.fromiter((i for x in lots for i in x), np.int64, len(cells))
             counts = np.concatenate([counts, np.zeros((len(names) - len(counts), CELLS), np.int64)])
             counts += np.bincount(at * CELLS + cells, minlength=counts.size).reshape(counts.shape)
             if len(names) > COUNTED_WORDS:
-                yield from found()
+                yield found()
                 names, counts = {}, counts[:0]
-        yield from found()
+        if names:
+            yield found()
 
-    sums = rows.mapInArrow(go, GRAMS).groupBy("n", "key", "suffix", "context", "begins").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(CELLS)])
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(crc_mod("doc_id", 4) != 2).mapInArrow(distinct, "doc_id long, words binary")
+    sums = few.join(known.hint("shuffle_hash"), "doc_id").select("words", "cell").mapInArrow(count, kind).groupBy("word").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(CELLS)])
     t = sums.toArrow()
-    n, (key, suffix, context) = t.column("n").to_numpy(), (t.column(c).to_numpy().view(np.uint64) for c in ("key", "suffix", "context"))
-    begins, count = t.column("begins").to_numpy(), np.column_stack([t.column(f"c{i}").to_numpy() for i in range(CELLS)])
-    by = np.lexsort((key, n))
-    ends = np.searchsorted(n[by], np.arange(1, ORDER + 2))
-    return [tuple(a[by[b:e]] for a in (key, suffix, context, begins, count)) for b, e in zip(ends[:-1], ends[1:], strict=True)]
+    return t.column("word").to_pylist(), np.column_stack([t.column(f"c{i}").to_numpy() for i in range(CELLS)]).astype(np.int64)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, out: int, most: int) -> tuple[list[bytes], np.ndarray, float]:
-    """Texts and labels of at most ``most`` learnable rows of each class, and the share of class 1 among all learnable rows."""
-    texts, y, _, share = _sampled(docs, learnable(labels, label, modulus, out), most)
-    return texts, y, share
+def _texts_features(model: Model, known: dict[bytes, int], values: list[np.ndarray], data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The features of a chunk's texts; ``known`` and ``values[0]`` keep the evidence of words met before."""
+    raw = data.tobytes().lower().translate(_LETTERS)
+    lists = [raw[b:e].split() for b, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    words = [w for ws in lists for w in ws]
+    if len(known) > MOST_WORDS:
+        known.clear()
+        values[0] = values[0][:0]
+    new = list(dict.fromkeys(w for w in words if w not in known))
+    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+    values[0] = np.concatenate([values[0], *[model.evidence(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]])
+    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    return features(values[0][at], np.array([len(w) for w in lists], np.int64))
 
 
-def _sampled(docs: DataFrame, known: DataFrame, most: int) -> tuple[list[bytes], np.ndarray, np.ndarray, float]:
-    """As ``sampled``, with the ids' hashes."""
-    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    picked = [known.filter(F.col("y") == c).orderBy("h", "doc_id").limit(most) for c in (0, 1)]
-    # At most 2 * most ids.
-    chosen = F.broadcast(picked[0].union(picked[1]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("text", "y", "h", "doc_id").toArrow()
-    order = np.lexsort((rows.column("doc_id").to_numpy(), rows.column("h").to_numpy()))
-    texts = [t or b"" for t in rows.column("text").cast("binary").to_pylist()]
-    y, h = rows.column("y").to_numpy(), rows.column("h").to_numpy()
-    total = sum(counts.values())
-    return [texts[i] for i in order], y[order], h[order], counts.get(1, 0) / total if total else 0.0
+def sample_features(sample: DataFrame, model: Model, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features under a model, and labels, of the sample's rows of one fold, in a fixed order."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        values = [np.zeros((0, 2), np.float32)]
+        for part, data, off in chunks(batches):
+            x = _texts_features(shared.value, known, values, data, off)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in "yht"] + [pa.array(list(x), pa.list_(pa.float64()))], ["y", "h", "t", "x"])
+
+    rows = sample.filter(F.pmod("h", F.lit(FOLDS)) == fold).select("text", F.col("y").cast("int").alias("y"), "h", "t")
+    t = rows.mapInArrow(go, "y int, h long, t long, x array<double>").toArrow().sort_by([("h", "ascending"), ("t", "ascending")])
+    shared.destroy()
+    y = t.column("y").to_numpy()
+    return t.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1), y
 
 
 def learnt(docs: DataFrame, labels: DataFrame) -> Scorer | float:
     """A scorer, or the score of all texts if labels of a class are missing."""
-    texts, y, h, share = _sampled(docs, learnable(labels, "toxic", 4, 2), SAMPLE)
-    if not (y == 1).any():
+    scratch = Scratch(docs.sparkSession)
+    sample, share = sampled(docs, learnable(labels, "toxic", 4, 2), SAMPLE, scratch)
+    most = {r.y: r.h for r in sample.groupBy("y").agg(F.max("h").alias("h")).collect()}
+    if 1 not in most:
         return 0.0
-    if (y == 1).all():
+    if 0 not in most:
         return 1.0
-    return fit(gram_counts(docs, labels, [int(h[y == c].max()) for c in (0, 1)]), texts, y, h % FOLDS, share)
+    words, counts = word_counts(docs, labels, [most[0], most[1]])
+    cells = counts.reshape(len(counts), 2, FOLDS + 1)
+    folds = [sample_features(sample, Model(words, cells.sum(2) - cells[:, :, k + 1]), k) for k in range(FOLDS)]
+    scratch.drop(sample)
+    x, y = (np.concatenate(a) for a in zip(*folds, strict=True))
+    mean, scale, w = _logistic(x, y)
+    here = y.mean()
+    w[0] += np.log(share / (1 - share)) - np.log(here / (1 - here))
+    return Scorer(Model(words, cells.sum(2)), mean, scale, w)
 
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
@@ -337,21 +342,12 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
         known: dict[bytes, int] = {}
-        values = np.zeros((0, 2), np.float32)
+        values = [np.zeros((0, 2), np.float32)]
         for part, data, off in chunks(batches):
             if isinstance(scorer, float):
                 p = np.full(len(off) - 1, scorer)
             else:
-                raw = data.tobytes().lower().translate(_LETTERS)
-                lists = [raw[off[k] : off[k + 1]].split() for k in range(len(off) - 1)]
-                words = [w for ws in lists for w in ws]
-                if len(known) > MOST_WORDS:
-                    known, values = {}, values[:0]
-                new = list(set(words).difference(known))
-                known.update(zip(new, range(len(values), len(values) + len(new)), strict=True))
-                values = np.concatenate([values, *[scorer.model.evidence(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]])
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                p = scorer.probability(features(values[at], np.array([len(w) for w in lists], np.int64)))
+                p = scorer.probability(_texts_features(scorer.model, known, values, data, off))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, name])
 
     return docs.mapInArrow(go, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -63,6 +63,9 @@ def test_toxicity(spark, toxic):
 def test_toxicity_counts_all_learnable_rows(spark, toxic, monkeypatch):
     docs, truth, df, lab = toxic
     monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    plain_logistic = toxicity._logistic
+    seen = []
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y: seen.append((x, y)) or plain_logistic(x, y))
     monkeypatch.setattr(toxicity, "COUNTED_WORDS", 300)
     words: dict[bytes, list[int]] = {}
     for i, t in [*docs, (5, "repeated id")]:
@@ -70,8 +73,27 @@ def test_toxicity_counts_all_learnable_rows(spark, toxic, monkeypatch):
             for w in set(toxicity.words_of(t.encode())):
                 words.setdefault(w, [0, 0])[truth[i]] += 1
     want = toxicity.Model(list(words), np.array(list(words.values())))
-    got = toxicity.learnt(df, lab).model
+    scorer = toxicity.learnt(df, lab)
+    got = scorer.model
     assert np.array_equal(got.key, want.key) and np.allclose(got.value, want.value, atol=1e-7)
+    # The sample is bounded, and each text's features come from a model that has not seen it.
+    x, y = seen[0]
+    assert len(x) <= 40 and 0 < y.sum() <= 20
+
+    def plain_features(text, evidence):
+        words = toxicity.words_of(text.encode())
+        e = [evidence(w) for w in words]
+        tops = [sum(sorted((v[c] for v in e), reverse=True)[:k]) / k if e else 0 for c in (0, 1) for k in toxicity.TOP]
+        return [math.log1p(len(words)), sum(v[1] for v in e) / len(e) if e else 0, *tops]
+
+    known = {w: i for i, w in enumerate(words)}
+    ev = dict(zip(known, want.evidence(list(known)), strict=True))
+    scores = {r.doc_id: r.score for r in toxicity.score(df, lab).collect()}
+    for i, t in docs[:60]:
+        f = plain_features(t, lambda w: ev[w] if w in ev else want.evidence([w])[0])
+        z = sum((a - m) / s * w for a, m, s, w in zip(f, scorer.mean, scorer.scale, scorer.weight[1:], strict=True)) + scorer.weight[0]
+        if i != 5:
+            assert scores[i] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-5)
 
 
 def test_toxic_documents_go(spark, toxic):
@@ -164,6 +186,44 @@ def test_quality(spark):
     assert sum((r.score - truth[r.doc_id]) ** 2 for r in known) / len(known) < 0.05
 
 
+def test_quality_matches_a_plain_version(spark, monkeypatch):
+    """Context vectors summed token by token, means of them, and the network's formula."""
+    monkeypatch.setattr(quality, "SAMPLE", 40)
+    monkeypatch.setattr(quality, "VOCABULARY", 25)
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choices(["a", "Be", "CC", "12", "!", "dd", "a a", "q%d" % (i % 50)], k=rng.randrange(0, 30)))) for i in range(150)]
+    labels = [(i, int(t.count("a") > t.count("dd"))) for i, t in docs]
+    df, lab = spark.createDataFrame(docs + [(None, None)], "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int")
+    net = quality.learnt(df, lab)
+    known = net.known.tolist()
+    assert quality.OTHER < len(known) <= 25 + quality.OTHER + 1
+    of = lambda t: quality.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist()
+    row = lambda n: known.index(n) if n in known else quality.OTHER
+    index = {}
+
+    def vector(n):
+        if n not in index:
+            v = [0] * quality.DIMENSIONS
+            for p, s in zip(*(a[0].tolist() for a in quality.index_vectors(np.array([n], np.uint64))), strict=True):
+                v[p] += s
+            index[n] = np.array(v)
+        return index[n]
+
+    total = np.zeros((len(known), quality.DIMENSIONS))
+    for _, t in docs:
+        names = of(t)
+        for i, n in enumerate(names):
+            for j in range(max(0, i - 2), min(len(names), i + 3)):
+                total[row(n)] += {0: 4, 1: 2, 2: 1}[abs(i - j)] * vector(names[j])
+    unit = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(quality.context_table(df, net.known, Scratch(spark)), unit, atol=1e-6)
+    scores = {r.doc_id: r.score for r in quality.score(df, lab).collect()}
+    for i, t in docs:
+        rows = [net.table[row(n)] for n in of(t)]
+        z = np.tanh((np.mean(rows, 0) if rows else 0) + net.bias) @ net.out + net.shift
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z / net.temperature)))), abs=1e-4)
+
+
 def test_tokens_do_not_depend_on_the_chunk():
     texts = [b"Hello WORLD 12!!\nHello WORLD 12!!\n\nx", b"", b"To To To", b"\n\n", b"End of it"]
     alone = [quality.tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tolist() for t in texts]
