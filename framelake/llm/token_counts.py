@@ -1,13 +1,15 @@
 """Token counts under a unigram model, by dynamic programming shared along a trie.
 
 A pre-token is a word (a longest run of bytes other than ASCII white space) with one space before it. Its
-segmentation is the one with the largest sum of unigram scores over a public byte-level vocabulary, the piece with
-id r scoring ``-log(r + 2)`` (a vocabulary in merge order is close to one in order of falling frequency); of equal
-sums, the one with fewest pieces counts. The distinct pre-tokens of a chunk go into a trie; each of its nodes gets
-its best forward score once, whichever pre-tokens share it, and a terminal node stores its count.
-
-Defined results: a null or empty text, or one of white space alone, has 0 tokens; null and repeated ids are rows like
-others; an empty table gives no rows; further columns of the input are ignored.
+segmentation is the one of largest probability under a unigram model over a public byte-level vocabulary: a vocabulary in merge
+order is close to one in order of falling frequency, so the piece of rank r has the probability ``1 / (r + 2)``, divided by
+the sum of that over all pieces; of equally probable ones, that with fewest pieces counts. The distinct pre-tokens that a worker meets go into
+one trie. Each of its nodes gets its best forward score once, whichever pre-tokens of whichever texts share it, and a
+terminal node stores its pre-token's count.
+
+Defined results: a null or empty text, or one of white space alone, has 0 tokens; bytes that no piece covers can't occur, as each
+byte is a piece; texts and words of any length count whole; null and repeated ids are rows like others; an empty table gives
+no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,78 +23,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import WordTable, chunks, words_of
 
-MOST_WORDS = 500_000
+#: Distinct words, and nodes of the trie, after which a worker begins anew.
+MOST_WORDS, MOST_NODES = 300_000, 600_000
 
 
 class TrieCounter:
-    """Counts pieces of pre-tokens; remembers at most about ``MOST_WORDS`` counts, then begins anew."""
+    """Counts the pieces of pre-tokens on a trie of those met so far. Words are found in it by their bytes."""
 
     def __init__(self, pieces: dict[bytes, int]):
-        self.score = {p: -math.log(r + 2) for p, r in pieces.items()}
+        whole = math.fsum(1 / (r + 2) for r in pieces.values())
+        self.score = {p: -math.log(r + 2) - math.log(whole) for p, r in pieces.items()}
         self.longest = max(map(len, pieces))
-        self.counts: dict[bytes, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = WordTable(MOST_WORDS)
+        self.terminal = np.zeros(0, np.int64)  # of each word of the table
+        self.child: dict[int, int] = {}  # by 256 * node + byte
+        #: Of each node the best forward score, minus its number of pieces; and of terminals the pieces of the pre-token.
+        self.best: list[tuple[float, int]] = [(0.0, 0)]
+        self.counts: dict[int, int] = {}
 
     @classmethod
     def from_file(cls, path: str) -> TrieCounter:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    def learn(self, words: set[bytes]) -> None:
-        """Walks the trie of the words depth first: sorted, a word's path is the common prefix with the one before and new nodes."""
-        score, longest = self.score, self.longest
-        best: list[tuple[float, int]] = [(0.0, 0)]  # along the path: best sum, and minus its number of pieces
-        last = b""
-        for word in sorted(words):
-            token = b" " + word
-            k = 0
-            for a, b in zip(token, last):
-                if a != b:
-                    break
-                k += 1
-            del best[k + 1 :]
-            for end in range(k + 1, len(token) + 1):
+    def insert(self, word: bytes) -> int:
+        """The terminal node of a word's pre-token; only nodes that are new are scored."""
+        token, score, longest, best, child = b" " + word, self.score, self.longest, self.best, self.child
+        path = [0]
+        for end, byte in enumerate(token, 1):
+            key = path[-1] << 8 | byte
+            node = child.get(key)
+            if node is None:
                 top = (-math.inf, 0)
                 for begin in range(max(0, end - longest), end):
                     s = score.get(token[begin:end])
                     if s is not None:
-                        v = best[begin]
+                        v = best[path[begin]]
                         v = (v[0] + s, v[1] - 1)
                         if v > top:
                             top = v
+                node = child[key] = len(best)
                 best.append(top)
-            last = token
-            self.counts[word] = -best[len(token)][1]
-
-    def count(self, words: list[bytes]) -> list[int]:
-        get = self.counts.get
-        n = [get(w, -1) for w in words]
-        if -1 in n:
-            if len(self.counts) > MOST_WORDS:
-                self.counts.clear()
-                self.learn(set(words))
-            else:
-                self.learn({w for w, k in zip(words, n, strict=True) if k < 0})
-            n = [self.counts[w] for w in words]
-        return n
+            path.append(node)
+        self.counts[path[-1]] = -best[path[-1]][1]
+        return path[-1]
+
+    def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of pieces of each word's pre-token."""
+        if self.table.count > MOST_WORDS or len(self.best) > MOST_NODES:
+            self.clear()
+        keys = WordTable.hashes(data, starts, ends)
+        at = self.table.find(data, starts, ends, keys)
+        new = np.flatnonzero(at < 0)
+        while len(new):  # once, unless different words have one hash
+            first = new[np.unique(keys[new], return_index=True)[1]]
+            nodes = [self.insert(data[s:e].tobytes()) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            self.table.add(data, starts[first], ends[first], keys[first])
+            self.terminal = np.append(self.terminal, np.array(nodes, np.int64))
+            at[new] = self.table.find(data, starts[new], ends[new], keys[new])
+            new = new[at[new] < 0]
+        used, back = np.unique(at, return_inverse=True)
+        return np.array([self.counts[n] for n in self.terminal[used].tolist()], np.int64)[back]
 
 
 _counters: dict[str, TrieCounter] = {}
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pretokens and n_tokens of each document. No shuffle: each task builds tries of what it reads."""
+    """doc_id, n_pretokens and n_tokens of each document. No shuffle: each worker builds a trie of what it reads."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counters:
             _counters[path] = TrieCounter.from_file(path)
         counter = _counters[path]
         for part, data, off in chunks(batches):
-            raw = data.tobytes()
-            words = [raw[off[k] : off[k + 1]].split() for k in range(len(off) - 1)]
-            many = np.array([len(w) for w in words], np.int64)
-            total = np.append(0, np.cumsum(np.array(counter.count([x for w in words for x in w]), np.int64)))
+            starts, stops, many = words_of(data, off)
+            total = np.append(0, np.cumsum(counter.count(data, starts, stops)))
             ends = np.cumsum(many)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(many), pa.array(total[ends] - total[ends - many])], ["doc_id", "n_pretokens", "n_tokens"])
 

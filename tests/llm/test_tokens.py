@@ -209,10 +209,28 @@ def test_token_counts(spark):
 
 
 def test_trie_shares_prefixes():
-    score = {bytes([b]): b for b in range(256)} | {b" a": 300, b"ab": 301, b"abc": 302, b" abc": 303, b"c ": 304}
-    counter = token_counts.TrieCounter(score)
+    ranks = {bytes([b]): b for b in range(256)} | {b" a": 300, b"ab": 301, b"abc": 302, b" abc": 303, b"c ": 304}
+    counter = token_counts.TrieCounter(ranks)
+    assert math.fsum(math.exp(v) for v in counter.score.values()) == pytest.approx(1)
     words = [b"abc", b"ab", b"abcd", b"b", b"abd", b"a"]
-    assert counter.count(words) == [plain_count(w, {k: -math.log(v + 2) for k, v in score.items()}) for w in words]
+
+    def count(words):
+        ends = np.cumsum([len(w) for w in words])
+        return counter.count(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends).tolist()
+
+    assert count(words) == [plain_count(w, counter.score) for w in words]
+    prefixes = {(b" " + w)[:k] for w in words for k in range(len(w) + 2)}
+    assert len(counter.best) == len(prefixes)  # one score for each
+    more = [b"abce", b"ab", b"abcef"]  # another chunk
+    assert count(more) == [plain_count(w, counter.score) for w in more]
+    assert len(counter.best) == len(prefixes | {b" abce", b" abcef"}) and len(counter.counts) == 8
+
+
+def test_trie_begins_anew(monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST_NODES", 10)
+    counter = token_counts.TrieCounter({bytes([b]): b for b in range(256)})
+    for w in [b"abcdefghijkl", b"abcdefghijkl", b"x", b"y"]:
+        assert counter.count(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])).tolist() == [len(w) + 1]
 
 
 def test_column_types_are_kept(spark):
