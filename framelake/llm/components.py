@@ -47,6 +47,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def united() -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         node, root = roots(t.column("a").to_numpy(), t.column("b").to_numpy())
+        node, root = node[node != root], root[node != root]
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "component"])
 
     for b in batches:
@@ -60,20 +61,19 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of the links (a, b); a component's name is its smallest node."""
-    stars = links.select("a", "b").mapInArrow(_stars, "node long, component long")
+    links = links.select("a", "b")
+    stars = links.filter("a <> b").mapInArrow(_stars, "node long, component long")
     state = None
     while True:
-        # Each node's least, and links from the other names it was given.
-        least = F.min("component").over(Window.partitionBy("node"))
-        given = stars.withColumn("least", least)
-        to = lambda c: F.struct(F.col(c).alias("a"), F.col("least").alias("b"))
-        both = F.when(F.col("component") == F.col("least"), F.array(to("node"))).otherwise(F.array(to("node"), to("component")))
-        joined = given.select(F.explode(both).alias("x")).select("x.a", "x.b").distinct()
-        edges = scratch.cut(joined)
-        inner = edges.filter("a <> b")
-        r = inner.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(7)))).first()
-        if tuple(r) == state or not r[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = tuple(r)
-        both = inner.union(inner.select("b", "a"))
+        # Each node is linked to the least it was given, and the other names it was given are, too: a link for a row.
+        given = stars.withColumn("least", F.min("component").over(Window.partitionBy("node")))
+        end = F.when(F.col("component") == F.col("least"), F.col("node")).otherwise(F.col("component"))
+        edges = scratch.cut(given.select(end.alias("a"), F.col("least").alias("b")).distinct())
+        r = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(7)))).first())
+        if r == state or not r[0]:
+            break
+        state = r
+        both = edges.union(edges.select("b", "a"))
         stars = both.repartition("a", F.pmod(F.xxhash64("b"), F.lit(SALTS))).mapInArrow(_stars, "node long, component long")
+    named = edges.union(edges.select("b", "b")).union(links.filter("a = b"))
+    return named.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
