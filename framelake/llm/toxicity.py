@@ -3,13 +3,12 @@
 Each class has an interpolated Kneser-Ney model over the characters of words, up to ``ORDER`` long: a rare expression gets
 its probability through the shorter ones it shares. A word's evidence is its log-likelihood under the toxic model less
 that under the ordinary one, and the same divided by its length; a text's features are the length-normalised means over all its
-words and over its most toxic words, and its length. A logistic function, fitted to features of texts that the models had not
-seen, turns them into a probability.
+words and over its most toxic words, and its length. A logistic function turns them into a probability.
 
-The models count the n-grams of all learnable rows: Spark sums in how many texts each distinct word is, and the n-grams' counts follow
-from the words'. The driver has one row for each distinct word and, as every worker, the models: they grow with the vocabulary. Only the
+The models count the n-grams of all learnable rows: Spark sums in how many texts each distinct word is, then the n-grams of the
+words. The driver has one row for each distinct n-gram and, as every worker, the models: they grow with the vocabulary. Only the
 logistic function is fitted to a bounded sample: the features, worked out by the executors, of at most ``SAMPLE`` rows of each class, those
-with the smallest hash. Every text is scored whole, each word where it first occurs in a worker.
+with the smallest hash of one half of the rows, under models of the other half, which have not seen them. Every text is scored whole, each word where it first occurs in a worker.
 
 Defined results: a null or empty text, or one without words, scores as a text without evidence; null labels and null ids
 are not learnt from; repeated ids are rows like others (each is learnt from with each label of its id); of rows with equal hashes those whose texts have
@@ -32,13 +31,13 @@ from .common import Scratch, chunks, crc_mod, mix
 ORDER = 6
 SAMPLE = 4000
 THRESHOLD = 0.3
-FOLDS = 3
 TOP = (1, 3)
 MOST_WORDS = 300_000
 #: Distinct words that a task counts at once.
 COUNTED_WORDS = 100_000
-#: Counts of a word: by class, rows outside the sample and those of each fold.
-CELLS = 2 * (FOLDS + 1)
+#: Counts of an n-gram: by class, rows of either half.
+CELLS = 4
+GRAMS = "n int, key long, suffix long, context long, begins boolean, " + ", ".join(f"c{i} long" for i in range(CELLS))
 #: Bytes around a word, which no word has.
 BEGIN, END = 2, 3
 _M = np.uint64(0x9FB21C651E98DF25)
@@ -80,8 +79,14 @@ class Model:
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         """counts: for each word, its number of texts in the ordinary and in the toxic class."""
-        some = np.flatnonzero(counts.any(1))
-        self._estimate(list(counted([words[i] for i in some.tolist()], counts[some])))
+        self._estimate(list(counted(words, counts)))
+
+    @classmethod
+    def of(cls, grams: list[tuple], counts: list[np.ndarray]) -> Model:
+        """From what ``counted`` gives, with other counts: for each n, two columns."""
+        model = cls.__new__(cls)
+        model._estimate([(*g[:4], c) for g, c in zip(grams, counts, strict=True)])
+        return model
 
     def _estimate(self, grams: list[tuple]) -> None:
         keys, shares, contexts = [], [], []
@@ -221,6 +226,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mean, scale, w
 
 
+def _half(h: str):
+    """0 for rows whose features may be in the sample, as the model they are taken from leaves them out; else 1."""
+    return F.pmod(h, F.lit(2)).cast("int")
+
+
 def learnable(labels: DataFrame, label: str, modulus: int, out: int) -> DataFrame:
     """doc_id, y and the id's hash h of labelled rows that may be learnt from."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).filter("y in (0, 1) and doc_id is not null").filter(crc_mod("doc_id", modulus) != out)
@@ -241,11 +251,10 @@ def sampled(docs: DataFrame, known: DataFrame, most: int, scratch: Scratch) -> t
     return rows, counts.get(1, 0) / total if total else 0.0
 
 
-def word_counts(docs: DataFrame, labels: DataFrame, most: list[int]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of all learnable rows, and in how many of them each is, by cell. most: for each class, the largest hash of
-    the sample's rows. What is shuffled is each text's distinct words, then one row for each word of a task."""
-    sample = F.col("h") <= F.when(F.col("y") == 1, F.lit(most[1])).otherwise(F.lit(most[0]))
-    cell = F.col("y") * (FOLDS + 1) + F.when(sample, F.pmod("h", F.lit(FOLDS)) + 1).otherwise(F.lit(0))
+def gram_counts(docs: DataFrame, labels: DataFrame) -> list[tuple]:
+    """What ``counted`` gives for the words of all learnable rows, with CELLS columns. What is shuffled is each text's distinct words,
+    then one row for each word of a task, then the n-grams of the words that are distinct among all."""
+    cell = 2 * F.col("y") + _half("h")
     known = learnable(labels, "toxic", 4, 2).select("doc_id", cell.cast("int").alias("cell"))
     kind = "word binary, " + ", ".join(f"c{i} long" for i in range(CELLS))
 
@@ -274,10 +283,23 @@ def word_counts(docs: DataFrame, labels: DataFrame, most: list[int]) -> tuple[li
         if names:
             yield found()
 
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = np.column_stack([b.column(f"c{i}").to_numpy() for i in range(CELLS)])
+            for n, (key, suffix, context, begins, count) in enumerate(counted(b.column("word").to_pylist(), counts), 1):
+                columns = [np.full(len(key), n, np.int32), *[a.view(np.int64) for a in (key, suffix, context)], begins, *count.astype(np.int64).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in columns], [f.split()[0] for f in GRAMS.split(", ")])
+
+    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(CELLS)]
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(crc_mod("doc_id", 4) != 2).mapInArrow(distinct, "doc_id long, words binary")
-    sums = few.join(known.hint("shuffle_hash"), "doc_id").select("words", "cell").mapInArrow(count, kind).groupBy("word").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(CELLS)])
-    t = sums.toArrow()
-    return t.column("word").to_pylist(), np.column_stack([t.column(f"c{i}").to_numpy() for i in range(CELLS)]).astype(np.int64)
+    words = few.join(known.hint("shuffle_hash"), "doc_id").select("words", "cell").mapInArrow(count, kind).groupBy("word").agg(*sums)
+    t = words.mapInArrow(grams, GRAMS).groupBy("n", "key", "suffix", "context", "begins").agg(*sums).toArrow()
+    n, (key, suffix, context) = t.column("n").to_numpy(), (t.column(c).to_numpy().view(np.uint64) for c in ("key", "suffix", "context"))
+    begins, counts = t.column("begins").to_numpy(), np.column_stack([t.column(f"c{i}").to_numpy().astype(np.int32) for i in range(CELLS)])
+    del t
+    by = np.lexsort((key, n))
+    ends = np.searchsorted(n[by], np.arange(1, ORDER + 2))
+    return [tuple(a[by[b:e]] for a in (key, suffix, context, begins, counts)) for b, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _texts_features(model: Model, known: dict[bytes, int], values: list[np.ndarray], data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -295,8 +317,8 @@ def _texts_features(model: Model, known: dict[bytes, int], values: list[np.ndarr
     return features(values[0][at], np.array([len(w) for w in lists], np.int64))
 
 
-def sample_features(sample: DataFrame, model: Model, fold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features under a model, and labels, of the sample's rows of one fold, in a fixed order."""
+def sample_features(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Features under a model, and labels, of the sample's rows, in a fixed order."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +328,7 @@ def sample_features(sample: DataFrame, model: Model, fold: int) -> tuple[np.ndar
             x = _texts_features(shared.value, known, values, data, off)
             yield pa.RecordBatch.from_arrays([part.column(c) for c in "yht"] + [pa.array(list(x), pa.list_(pa.float64()))], ["y", "h", "t", "x"])
 
-    rows = sample.filter(F.pmod("h", F.lit(FOLDS)) == fold).select("text", F.col("y").cast("int").alias("y"), "h", "t")
+    rows = sample.select("text", F.col("y").cast("int").alias("y"), "h", "t")
     t = rows.mapInArrow(go, "y int, h long, t long, x array<double>").toArrow().sort_by([("h", "ascending"), ("t", "ascending")])
     shared.destroy()
     y = t.column("y").to_numpy()
@@ -316,21 +338,31 @@ def sample_features(sample: DataFrame, model: Model, fold: int) -> tuple[np.ndar
 def learnt(docs: DataFrame, labels: DataFrame) -> Scorer | float:
     """A scorer, or the score of all texts if labels of a class are missing."""
     scratch = Scratch(docs.sparkSession)
-    sample, share = sampled(docs, learnable(labels, "toxic", 4, 2), SAMPLE, scratch)
-    most = {r.y: r.h for r in sample.groupBy("y").agg(F.max("h").alias("h")).collect()}
-    if 1 not in most:
+    known = learnable(labels, "toxic", 4, 2)
+    classes = {r.y for r in docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id").select("y").distinct().collect()}
+    if 1 not in classes:
         return 0.0
-    if 0 not in most:
+    if 0 not in classes:
         return 1.0
-    words, counts = word_counts(docs, labels, [most[0], most[1]])
-    cells = counts.reshape(len(counts), 2, FOLDS + 1)
-    folds = [sample_features(sample, Model(words, cells.sum(2) - cells[:, :, k + 1]), k) for k in range(FOLDS)]
+    grams = gram_counts(docs, labels)
+    sample, share = sampled(docs, known.filter(_half("h") == 0), SAMPLE, scratch)
+    unseen = sample_features(sample, Model.of(grams, [g[4][:, 1::2] for g in grams]))
     scratch.drop(sample)
-    x, y = (np.concatenate(a) for a in zip(*folds, strict=True))
+    model = Model.of(grams, [g[4][:, ::2] + g[4][:, 1::2] for g in grams])
+    del grams
+    return Scorer(model, *calibrated(*unseen, share))
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A logistic function of features, with its probabilities set to the share of toxic ones among all labelled rows."""
+    if not len(y) or y.all() or not y.any():  # too few labels: the evidence itself, as it is
+        w = np.zeros(3 + 2 * len(TOP))
+        w[2] = 1.0
+        return np.zeros(len(w) - 1), np.ones(len(w) - 1), w
     mean, scale, w = _logistic(x, y)
     here = y.mean()
     w[0] += np.log(share / (1 - share)) - np.log(here / (1 - here))
-    return Scorer(Model(words, cells.sum(2)), mean, scale, w)
+    return mean, scale, w
 
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
