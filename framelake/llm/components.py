@@ -60,7 +60,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for every node of the links (a, b); a component's name is its smallest node."""
+    """(node, component) for every node of the links (a, b), a written table, as it is read twice; a component's name is its smallest node."""
     links = links.select("a", "b")
     stars = links.filter("a <> b").mapInArrow(_stars, "node long, component long")
     state = None

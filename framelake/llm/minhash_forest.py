@@ -268,7 +268,8 @@ def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, perc
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(root))], ["node", "component"])
 
     out = full.repartition(*group).sortWithinPartitions(*group, "doc_id").mapInArrow(find, "node long, component long")
-    return connected_components(out.select(F.col("node").alias("a"), F.col("component").alias("b")), scratch) if split else out
+    # Written, as components are found in several passes over their links.
+    return connected_components(scratch.cut(out.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch) if split else out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
