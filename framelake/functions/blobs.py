@@ -16,6 +16,8 @@ SOLID = 0xFF
 
 def compact(plane: bytes) -> bytes:
     """The smallest of a channel's representations, as the level rule picks them."""
+    if not plane:
+        raise ValueError("a plane without bytes")
     level = rle.choose_level(np.frombuffer(plane, np.uint8))
     if level == -1:
         return bytes([SOLID, plane[0]])
@@ -76,8 +78,31 @@ def restored(residuals: np.ndarray, width: int) -> np.ndarray:
     return v.T.astype(np.uint8)
 
 
-def compress(raster: bytes, width: int) -> bytes:
-    """A frame of interleaved B, G, R bytes as a blob."""
+def transcode(raster: bytes, pixels: int, bpp: int) -> bytes:
+    """A raster of this many pixels with ``bpp`` bits each: 32 bits add the byte X of 255, 24 bits drop X.
+
+    The raster's own form follows from its length; raises ValueError if it has neither.
+    """
+    if len(raster) not in (3 * pixels, 4 * pixels) or bpp not in (24, 32):
+        raise ValueError(f"{len(raster)} bytes are no raster of {pixels} pixels")
+    own = len(raster) // pixels if pixels else bpp // 8
+    if 8 * own == bpp:
+        return raster
+    x = np.frombuffer(raster, np.uint8).reshape(-1, own)
+    if bpp == 24:
+        return x[:, :3].tobytes()
+    return np.column_stack([x, np.full(len(x), 255, np.uint8)]).tobytes()
+
+
+def compress(raster: bytes, width: int, height: int | None = None) -> bytes:
+    """A frame of interleaved B, G, R (with a height also B, G, R, X) bytes as a blob; X is not kept.
+
+    Raises ValueError if the bytes are no raster of these dimensions, or of no pixels.
+    """
+    if height is not None:
+        raster = transcode(raster, width * height, 24)
+    if not raster or len(raster) % (3 * width):
+        raise ValueError(f"{len(raster)} bytes are no raster {width} pixels wide")
     x = np.frombuffer(raster, np.uint8).reshape(-1, 3)
     if (x == x[0]).all():
         b, g, r = x[0].tolist()
@@ -87,8 +112,13 @@ def compress(raster: bytes, width: int) -> bytes:
     return struct.pack("<BII", GENERAL, 9 + len(b), 9 + len(b) + len(g)) + b + g + r
 
 
-def decompress(blob: bytes, width: int, height: int) -> bytes | None:
+def decompress(blob: bytes, width: int, height: int, bpp: int = 24) -> bytes | None:
     """The raster of a blob; None for an empty one, which leaves a frame as it was."""
+    raster = _raster(blob, width, height)
+    return raster if raster is None else transcode(raster, width * height, bpp)
+
+
+def _raster(blob: bytes, width: int, height: int) -> bytes | None:
     n = width * height
     if not blob:
         return None

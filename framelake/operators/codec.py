@@ -1,4 +1,9 @@
-"""Encoding and decoding: rasters, planes and headers, frame by frame in Arrow batches, without state between rows."""
+"""Encoding and decoding: rasters, planes and headers, frame by frame in Arrow batches, without state between rows.
+
+Defined results: null payloads and values stay null; frames that repeat a key are encoded row by row; planes and rasters of
+any size are whole; empty rasters and planes, and payloads that do not fit their dimensions, raise; an empty table gives no
+rows; further columns, whatever their names, are carried along where a row stays a row, and dropped where rows are grouped.
+"""
 
 from __future__ import annotations
 
@@ -14,9 +19,14 @@ from .planes import FRAME
 
 
 def rasters(pixels: DataFrame, width: int, height: int, keys: tuple[str, ...] = FRAME) -> DataFrame:
-    """A row for each frame: width, height and the interleaved bytes. A frame's pixels are bounded by its dimensions."""
-    rows = pixels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "b", "g", "r"))).alias("_s"))
-    flat = F.flatten(F.transform("_s", lambda x: F.array(x["b"], x["g"], x["r"])))
+    """A row for each frame: width, height and the interleaved bytes, with X where pixels have it. A frame's pixels are bounded by its
+    dimensions. Fails if one has pixels missing, repeated, null or outside, as all later ones would move."""
+    form = [c for c in "bgrx" if c in pixels.columns]
+    rows = pixels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", *form))).alias("_s"))
+    whole = (F.size("_s") == width * height) & (F.transform("_s", lambda x: x["p"].cast("long")) == F.sequence(F.lit(0).cast("long"), F.lit(width * height - 1).cast("long")))
+    flat = F.flatten(F.transform("_s", lambda x: F.array(*[x[c] for c in form])))
+    whole = F.coalesce(whole & ~F.exists(flat, lambda v: v.isNull()), F.lit(False))
+    flat = F.when(whole, flat).otherwise(F.raise_error(F.lit(f"a frame does not have each of its {width} x {height} pixels once")))
     rows = rows.select(*keys, F.lit(width).alias("width"), F.lit(height).alias("height"), flat.cast("array<int>").alias("payload"))
     return _mapped(rows, "payload", "binary", lambda v, _: np.asarray(v, np.uint8).tobytes())
 
@@ -38,16 +48,25 @@ def _mapped(rows: DataFrame, column: str, kind: str, f: Callable) -> DataFrame:
 
 
 def compress(frames: DataFrame) -> DataFrame:
-    """Encodes rasters (width, height, payload of 24 bits a pixel); also works on a stream of frames."""
-    return _mapped(frames, "payload", "binary", lambda v, o: blobs.compress(v, o["width"]))
+    """Encodes rasters (width, height, payload of 24 or 32 bits a pixel, told by its length); also works on a stream of frames.
+
+    A null payload stays null; one of another length raises.
+    """
+    return _mapped(frames, "payload", "binary", lambda v, o: blobs.compress(v, o["width"], o["height"]))
+
+
+def transcode(frames: DataFrame, bpp: int) -> DataFrame:
+    """Rasters with ``bpp`` bits a pixel, 24 or 32, whichever they had; null stays null."""
+    return _mapped(frames, "payload", "binary", lambda v, o: blobs.transcode(v, o["width"] * o["height"], bpp))
 
 
-def decompress(frames: DataFrame, strict: bool = True) -> DataFrame:
-    """Decodes blobs. An empty one gives null: the frame is as it was. Damaged ones raise, or give null if not strict."""
+def decompress(frames: DataFrame, strict: bool = True, bpp: int = 24) -> DataFrame:
+    """Decodes blobs to 24 or 32 bits a pixel. An empty one gives null: the frame is as it was. Damaged ones raise, or give
+    null if not strict."""
 
     def one(v: bytes, o: dict) -> bytes | None:
         try:
-            return blobs.decompress(v, o["width"], o["height"])
+            return blobs.decompress(v, o["width"], o["height"], bpp)
         except (ValueError, IndexError, OverflowError, ZeroDivisionError):
             if strict:
                 raise
@@ -56,11 +75,12 @@ def decompress(frames: DataFrame, strict: bool = True) -> DataFrame:
     return _mapped(frames, "payload", "binary", one)
 
 
-def pixels(frames: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
-    """The pixels of rasters."""
+def pixels(frames: DataFrame, keys: tuple[str, ...] = FRAME, bpp: int = 24) -> DataFrame:
+    """The pixels of rasters of ``bpp`` bits a pixel; a null payload has none."""
+    step = bpp // 8
     arrays = _mapped(frames.select(*keys, "payload"), "payload", "array<int>", lambda v, _: np.frombuffer(v, np.uint8).astype(np.int32))
-    rows = arrays.select(*keys, "payload", F.explode(F.sequence(F.lit(0), F.expr("size(payload) div 3 - 1"))).alias("p"))
-    return rows.select(*keys, F.col("p").cast("long").alias("p"), *[F.expr(f"cast(payload[3 * p + {i}] as long)").alias(c) for i, c in enumerate("bgr")])
+    rows = arrays.select(*keys, "payload", F.explode(F.sequence(F.lit(0), F.expr(f"size(payload) div {step} - 1"))).alias("p"))
+    return rows.select(*keys, F.col("p").cast("long").alias("p"), *[F.expr(f"cast(payload[{step} * p + {i}] as long)").alias(c) for i, c in enumerate("bgrx"[:step])])
 
 
 def kinds(frames: DataFrame) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Pixels and planes: splitting into decorrelated channels and back, pixel formats, orientation."""
+"""Pixels and planes: splitting into decorrelated channels and back, pixel formats, orientation.
+
+Defined results: a null channel gives null in what is worked out from it; pixels that repeat a place stay rows of their own, but ``merge``
+takes the largest value of a place and channel, and null where a channel has none; frames of any size do, as ``packed`` alone holds a
+plane in a row; an empty table gives no rows; further columns are dropped by ``split``, ``merge`` and ``packed`` and carried along by the
+others, but ``x`` is the byte of 32 bits.
+"""
 
 from __future__ import annotations
 
@@ -25,6 +31,13 @@ def merge(planes: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     return wide.withColumns({"b": (F.col("b") + F.col("g")).bitwiseAND(255), "r": (F.col("r") + F.col("g")).bitwiseAND(255)})
 
 
+def incomplete(pixels: DataFrame, size: int, keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """Frames that do not have each of their ``size`` pixels once, without nulls: their pixels, and how many places are filled."""
+    one = F.when(F.col("p").between(0, size - 1) & F.col("b").isNotNull() & F.col("g").isNotNull() & F.col("r").isNotNull(), F.col("p"))
+    by = pixels.groupBy(*keys).agg(F.count("*").alias("n_pixels"), F.count_distinct(one).alias("n_places"))
+    return by.filter((F.col("n_pixels") != size) | (F.col("n_places") != size))
+
+
 def transcode(pixels: DataFrame, bpp: int) -> DataFrame:
     """32 bits add the constant byte x; 24 bits drop it."""
     return pixels.withColumn("x", F.lit(255).cast("long")) if bpp == 32 else pixels.drop("x")

@@ -1,4 +1,10 @@
-"""Median prediction within planes, and its inverse."""
+"""Median prediction within planes, and its inverse.
+
+Defined results: planes have their values at p = 0, 1, ... once each (``planes.incomplete`` finds others; what has gaps, repeats or
+nulls there is predicted from the rows that are there, in the order of p); planes of any size and of one row or one column have their
+own rules, as stated; equal frames are keyed apart by ``keys``; a null value gives a null residual; an empty table gives no rows;
+further columns are dropped.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blobs import restored
-from .planes import FRAME, exploded, packed
+from .planes import FRAME, decorrelated, exploded, packed
 
 
 def median(x: Column, y: Column, z: Column) -> Column:
@@ -32,6 +38,19 @@ def residuals(planes: DataFrame, width: int, keys: tuple[str, ...] = FRAME) -> D
     return near.select(*keys, "ch", "p", (F.col("v") - guess).bitwiseAND(255).alias("d"))
 
 
+def pixel_residuals(pixels: DataFrame, width: int, keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """As ``residuals(split(pixels), width)``, but pixels are dealt and sorted before they are split, a third of the rows."""
+    w = Window.partitionBy(*keys).orderBy("p")
+    p, parts = F.col("p"), []
+    near = decorrelated(pixels).select(*keys, "p", *"bgr")
+    near = near.withColumns({f"_{c}{k}": F.lag(c, k).over(w) for c in "bgr" for k in (1, width, width + 1)})
+    for c in "bgr":
+        left, up, corner = (F.col(f"_{c}{k}") for k in (1, width, width + 1))
+        guess = F.when(p == 0, 0).when(p < width, left).when(p == width, up).otherwise(median(left, up, left + up - corner))
+        parts.append((F.col(c) - guess).bitwiseAND(255).alias(f"_{c}"))
+    return near.select(*keys, "p", *parts).select(*keys, "p", F.expr("stack(3, 0, _b, 1, _g, 2, _r) as (ch, d)")).select(*keys, "ch", "p", "d")
+
+
 def residuals_mixed(planes: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """As ``residuals`` for planes with a column ``width`` that may differ between frames: neighbours by place in an array."""
     rows = planes.groupBy(*keys, "ch", "width").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("_s"))

@@ -1,4 +1,8 @@
-"""Runs of zeros in planes, the lengths of their encodings, and the choice of a level."""
+"""Runs of zeros in planes, the lengths of their encodings, and the choice of a level.
+
+Defined results: a null value is no zero and ends a run; values are taken in the order of p, whatever gaps it has; planes
+without zeros have no runs; frames that repeat a key are one; an empty table gives no rows; further columns are dropped.
+"""
 
 from __future__ import annotations
 

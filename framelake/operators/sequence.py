@@ -1,4 +1,9 @@
-"""Frame sequences: a thin facade over a DataFrame of frames with one set of dimensions."""
+"""Frame sequences: a thin facade over a DataFrame of frames with one set of dimensions.
+
+Defined results: frames of other dimensions, of null dimensions, or with a payload that is null, empty or of no known form are
+refused with ValueError; a sequence without frames is a table without rows, which can't be saved; frames that repeat a
+number are taken in any order among themselves; columns beyond those of a frame are dropped.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import blobs
 from ..schema import FRAMES, LARGEST_SIDE
 from ..sources.container import NO_FRAMES
 from . import codec
@@ -14,27 +21,31 @@ from . import codec
 
 @dataclass(frozen=True)
 class ClipSequence:
-    """Frames numbered from 0, as rasters or as encoded blobs. Sequences don't change; each operation gives a new one."""
+    """Frames numbered from 0, as rasters of 24 or 32 bits a pixel or as encoded blobs. Sequences don't change; each operation
+    gives a new one."""
 
     frames: DataFrame
     width: int
     height: int
     compressed: bool = False
+    bpp: int = 24
 
     @classmethod
-    def empty(cls, spark: SparkSession, width: int, height: int, compressed: bool = False) -> ClipSequence:
-        if not (1 <= width <= LARGEST_SIDE and 1 <= height <= LARGEST_SIDE):
+    def empty(cls, spark: SparkSession, width: int, height: int, compressed: bool = False, bpp: int = 24) -> ClipSequence:
+        if not (1 <= width <= LARGEST_SIDE and 1 <= height <= LARGEST_SIDE) or bpp not in (24, 32):
             raise ValueError("no frame has these dimensions")
-        return cls(spark.createDataFrame([], FRAMES), width, height, compressed)
+        return cls(spark.createDataFrame([], FRAMES), width, height, compressed, bpp)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, compressed: bool = True) -> ClipSequence:
-        """A container's frames, as blobs or decoded."""
+    def load(cls, spark: SparkSession, path: str, compressed: bool = True, bpp: int = 24) -> ClipSequence:
+        """A container's frames, as blobs or decoded to ``bpp`` bits a pixel."""
         rows = spark.read.format("clip").load(path)
-        first = rows.select("width", "height").first()
+        first = spark.read.format("clip").option("sizes", True).load(path).select("width", "height").first()
         if first is None:
             raise ValueError(f"{path} has no frames")
-        out = cls(rows, first.width, first.height, True)
+        if bpp not in (24, 32):
+            raise ValueError("no frame has these dimensions")
+        out = cls(rows, first.width, first.height, True, bpp)
         return out if compressed else out.decoded()
 
     def save(self, path: str) -> None:
@@ -50,19 +61,53 @@ class ClipSequence:
     def count(self) -> int:
         return self.frames.count()
 
-    def append(self, frames: DataFrame) -> ClipSequence:
-        """Adds frames of the same form, in the order of their frame_idx; others' dimensions are refused."""
-        if not frames.filter((F.col("width") != self.width) | (F.col("height") != self.height)).isEmpty():
+    def append(self, frames: DataFrame, compressed: bool | None = None) -> ClipSequence:
+        """Adds frames in the order of their frame_idx: rasters of 24 or 32 bits, or blobs if ``compressed`` (unless given, as this
+        sequence's are). They take the form of the sequence: rasters are encoded or transcoded, blobs decoded."""
+        compressed = self.compressed if compressed is None else compressed
+        fits = (F.col("width") == self.width) & (F.col("height") == self.height)
+        n = F.length("payload")
+        if compressed:
+            known = F.substring("payload", 1, 1).isin(*[F.lit(bytes([k])) for k in (blobs.GENERAL, blobs.GREY, blobs.COLOUR)])
+        else:
+            known = n.isin(3 * self.width * self.height, 4 * self.width * self.height)
+        found = frames.agg(F.min("frame_idx").alias("low"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("other"), F.count_if(~F.coalesce(known, F.lit(False))).alias("odd")).first()
+        if found.other:
             raise ValueError("a frame has other dimensions")
-        shift = self.count() - F.lit(frames.agg(F.min("frame_idx")).first()[0] or 0)
-        return replace(self, frames=self.frames.unionByName(frames.withColumn("frame_idx", (F.col("frame_idx") + shift).cast("long"))))
+        if found.odd:
+            raise ValueError("a frame is no blob" if compressed else "a frame's bytes do not fit its dimensions")
+        if compressed and not self.compressed:
+            frames = codec.decompress(frames, bpp=self.bpp)
+        elif self.compressed and not compressed:
+            frames = codec.compress(frames)
+        elif not compressed:
+            frames = codec.transcode(frames, self.bpp)
+        shift = self.count() - (found.low or 0)
+        new = _sized(frames.withColumn("frame_idx", (F.col("frame_idx") + shift).cast("long"))).select(*T.StructType.fromDDL(FRAMES).names)
+        return replace(self, frames=self.frames.unionByName(new))
 
     def frame(self, k: int) -> DataFrame:
         """One frame's row; none if k is out of range."""
         return self.frames.filter(F.col("frame_idx") == k)
 
-    def decoded(self) -> ClipSequence:
-        return replace(self, frames=_sized(codec.decompress(self.frames)), compressed=False) if self.compressed else self
+    def raster_frame(self, k: int) -> DataFrame | None:
+        """One frame's row; None if this is a sequence of blobs."""
+        return None if self.compressed else self.frame(k)
+
+    def compressed_frame(self, k: int) -> DataFrame | None:
+        """One blob's row; None if this is a sequence of rasters."""
+        return self.frame(k) if self.compressed else None
+
+    def decode(self, k: int, bpp: int = 24) -> DataFrame:
+        """One frame's raster with the caller's number of bits a pixel, whatever the sequence's form."""
+        return _sized(codec.decompress(self.frame(k), bpp=bpp) if self.compressed else codec.transcode(self.frame(k), bpp))
+
+    def decoded(self, bpp: int | None = None) -> ClipSequence:
+        """The sequence as rasters, of ``bpp`` bits a pixel or its own."""
+        bpp = bpp or self.bpp
+        if self.compressed:
+            return replace(self, frames=_sized(codec.decompress(self.frames, bpp=bpp)), compressed=False, bpp=bpp)
+        return self if bpp == self.bpp else replace(self, frames=_sized(codec.transcode(self.frames, bpp)), bpp=bpp)
 
     def encoded(self) -> ClipSequence:
         return self if self.compressed else replace(self, frames=_sized(codec.compress(self.frames)), compressed=True)
@@ -71,9 +116,8 @@ class ClipSequence:
         """Adds n raster frames of zero bytes."""
         if self.compressed:
             raise ValueError("a sequence of blobs has no raster frames")
-        spark = self.frames.sparkSession
-        row = F.unhex(F.lit("00" * (self.width * self.height * 3)))
-        new = spark.range(n).select(F.col("id").alias("frame_idx"), F.lit(self.width).alias("width"), F.lit(self.height).alias("height"), F.lit(self.width * self.height * 3).alias("size"), row.alias("payload"))
+        spark, size = self.frames.sparkSession, self.width * self.height * self.bpp // 8
+        new = spark.range(n).select(F.col("id").alias("frame_idx"), F.lit(self.width).alias("width"), F.lit(self.height).alias("height"), F.lit(size).alias("size"), F.lit(bytes(size)).alias("payload"))
         return self.append(new)
 
     def cache(self) -> ClipSequence:

@@ -27,7 +27,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict.residuals(planes.split(event_pixels(spark, sf_dir)), WIDTH)
+    return predict.pixel_residuals(event_pixels(spark, sf_dir), WIDTH)
 
 
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +218,54 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.pixels(codec.decompress(codec.compress(_frames(spark, sf_dir))))
 
 
+@query
+def codec_roundtrip_rgbx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of 32 bits; X is any byte before, 255 after."""
+    px = event_pixels(spark, sf_dir).withColumn("x", F.col("p") % 256)
+    return codec.pixels(codec.decompress(codec.compress(codec.rasters(px, WIDTH, HEIGHT)), bpp=32), bpp=32)
+
+
+@query
+def append_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs and rasters of both forms appended to a sequence of each form; mode 24 or 32: rasters, 0: blobs. Where the events make no
+    frame, there is none to append."""
+    rgb = _frames(spark, sf_dir)
+    rgbx = codec.rasters(event_pixels(spark, sf_dir).withColumn("x", F.lit(7)), WIDTH, HEIGHT)
+    parts = []
+    for mode in (0, 24, 32):
+        clip = ClipSequence.empty(spark, WIDTH, HEIGHT, mode == 0, mode or 24)
+        clip = clip.append(rgb, False).append(rgbx, False).append(codec.compress(rgb), True)
+        bpp = mode or 24
+        rows = codec.pixels(clip.decoded().frames if mode == 0 else clip.frames, bpp=bpp)
+        parts.append(rows.select(F.lit(mode).cast("long").alias("mode"), "frame_idx", "p", "b", "g", "r", (F.col("x") if bpp == 32 else F.lit(None)).cast("long").alias("x")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query
+def raster_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of 24 bits against those of 32, of which some are changed."""
+    a = event_pixels(spark, sf_dir)
+    b = planes.transcode(a, 32).withColumn("g", F.expr("if(p % 7 = 0, (g + p) & 255, g)"))
+    return diff.equal_pixels(a, b)
+
+
+@query
+def incomplete_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views alone: frames with gaps."""
+    views = table(spark, sf_dir, "events").filter("event_type = 'view' or event_id < 1000").select(F.col("event_id").alias("_id"))
+    return planes.incomplete(event_pixels(spark, sf_dir).withColumn("_id", F.expr(f"frame_idx * {SIZE} + p")).join(views, "_id", "left_semi"), SIZE)
+
+
+@query
+def container_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes from a file's index; names of nations stand in for blobs."""
+    container.register(spark)
+    path = shared_path(spark)
+    rows = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as frame_idx", f"{WIDTH} as width", f"{HEIGHT} as height", "octet_length(n_name) as size", "cast(n_name as binary) as payload")
+    rows.write.format("clip").option("width", WIDTH).option("height", HEIGHT).mode("overwrite").save(path)
+    return spark.read.format("clip").option("sizes", True).load(path)
+
+
 @query
 def container_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container.container_index(sizes(spark, sf_dir), "clip", "doc_id", "size")

@@ -80,6 +80,14 @@ select frame_idx, case when solid and {_GREY} then 'grey' when solid then 'colou
     "solid_fill": _FILL,
     "solid_roundtrip": f"select frame_idx, case when {_GREY} then 'grey' else 'colour' end as kind, p, b, g, r from ({_FILL})",
     "codec_roundtrip": _PX,
+    "codec_roundtrip_rgbx": f"select *, cast(255 as bigint) as x from ({_PX})",
+    "append_modes": f"""with px as ({_PX}), n as (select coalesce(max(frame_idx) + 1, 0) as n from px)
+select cast(m.mode as bigint) as mode, px.frame_idx + k.k * n.n as frame_idx, p, b, g, r, cast(case when m.mode <> 32 then null when k.k = 1 then 7 else 255 end as bigint) as x
+from px cross join n cross join (select unnest([0, 24, 32]) as mode) m cross join (select unnest([0, 1, 2]) as k) k""",
+    "raster_equality": f"""select frame_idx, count(*) as n_pixels, count(*) filter (p % 7 <> 0 or p % 256 = 0) as n_equal, count(*) = count(*) filter (p % 7 <> 0 or p % 256 = 0) as equal from ({_PX}) group by frame_idx""",
+    "incomplete_frames": f"""select event_id // 1000 as frame_idx, count(*) as n_pixels, count(distinct event_id % 1000) as n_places from events
+where event_type = 'view' or event_id < 1000 group by 1 having count(distinct event_id % 1000) <> 1000""",
+    "container_sizes": "select cast(n_nationkey as bigint) as frame_idx, cast(50 as integer) as width, cast(20 as integer) as height, cast(octet_length(encode(n_name)) as integer) as size from nation",
     "container_index": """with x as (select source as clip, doc_id, n_chars as size, 4 + coalesce(sum(8 + n_chars + n_chars % 2) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as o from documents)
 select clip, doc_id, size, cast(o as bigint) as rel_offset, cast(o + 228 as bigint) as payload_offset from x""",
     "container_stats": """with x as (select source as clip, count(*) as n, max(n_chars) as m, sum(n_chars + n_chars % 2) as s from documents group by source)
@@ -89,5 +97,5 @@ select clip, n as frame_count, m as suggested_buffer_size, cast(least(m * 60, s)
     "compressed_copy": f"with px as ({_PX}) select * from px union all select frame_idx + (select max(frame_idx) + 1 from px), p, b, g, r from px",
     "compression_factor": "select cast(sum(n_chars) as bigint) as encoded_bytes, cast(count(*) * 3000 as bigint) as raw_bytes, sum(n_chars) / (count(*) * 3000) as factor from documents",
     "frame_diff": f"""with px as ({_PX}), d as (select frame_idx, case when p % 3 = 0 then abs(b - r) else 0 end as x from px)
-select frame_idx, count(*) as n_pixels, count(*) filter (x > 0) as mismatched, max(x) as max_diff, cast(sum(2 * x) as bigint) as sum_diff, count(*) filter (x > 0) * 100.0::double / count(*) as mismatch_pct from d group by frame_idx""",
+select frame_idx, count(*) as n_pixels, count(*) filter (x > 0) as mismatched, max(x) as max_diff, cast(sum(2 * x) as bigint) as sum_diff, cast(0 as bigint) as unmatched, count(*) filter (x > 0) * 100.0::double / count(*) as mismatch_pct from d group by frame_idx""",
 }

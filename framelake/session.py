@@ -8,10 +8,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; where that is unset, a new local folder if all runs in one
+    process, as in tests. Raises RuntimeError on a cluster, whose machines share no local folder."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="framelake-")
+        sc.setCheckpointDir(path)
+    return path
+
+
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; where that is unset, in a new local folder, as for tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="framelake-")
-    path = f"{base}/clip-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the JVM ends."""
+    path = f"{shared_dir(spark)}/clip-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

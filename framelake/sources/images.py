@@ -1,4 +1,9 @@
-"""Frames from image files, and PNG files of frames."""
+"""Frames from image files, and PNG files of frames.
+
+Defined results: files that are no images are left out; images of one name in several folders are in the order of their paths; an empty
+folder gives no rows; frames with a null payload are not written, those that repeat a number replace each other, and further columns are ignored.
+The folder written to is mounted by driver and executors, as image files are read by other programs.
+"""
 
 from __future__ import annotations
 
@@ -50,6 +55,8 @@ def write_images(frames: DataFrame, folder: str) -> None:
 
     def save(rows: Iterator) -> None:
         for r in rows:
+            if r.payload is None:
+                continue
             name = f"{folder}/frame_{r.frame_idx:06d}.png"
             with open(f"{name}.{os.getpid()}", "wb") as f:
                 f.write(png(r.payload, r.width, r.height))

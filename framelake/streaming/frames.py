@@ -1,6 +1,9 @@
 """Encoding a stream of raster frames into a store of blobs.
 
 Frames don't depend on each other, so the stream needs no state and no watermark; a checkpoint makes each frame appear once.
+
+Defined results: those of ``operators.codec``: null payloads stay null, frames that repeat a number are frames of their own, late ones are
+frames like others, and a stream without frames writes none; further columns are carried along.
 """
 
 from __future__ import annotations
