@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; the same bytes that ``bytes.split()`` splits at.
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
@@ -23,26 +24,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="framelake-")
-        sc.setCheckpointDir(path)
-    return path
+_open: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes at its end all scratch tables that were begun meanwhile: what follows reads what was written from them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch.clear()
 
 
 class Scratch:
     """Tables written to the shared folder, so that what follows does not depend on lost executors.
 
-    A table goes when the JVM ends, or at once with ``drop``.
+    A table goes when the JVM ends, or before with ``drop``, ``clear`` or at the end of ``temporary``.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/framelake-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        if _open:
+            _open[-1].append(self)
+
+    def clear(self) -> None:
+        """Deletes all its tables."""
+        fs, at = self._fs(self.base)
+        fs.delete(at, True)
 
     def path(self) -> str:
         p = f"{self.base}/{len(self.paths)}"
@@ -59,7 +71,8 @@ class Scratch:
 
     @contextlib.contextmanager
     def small_batches(self) -> Iterator[None]:
-        """Arrow batches of few rows for what is written meanwhile, as rows hold texts or blobs."""
+        """Arrow batches of few rows for what is written meanwhile, as rows hold texts or blobs. Whatever is run, Spark also ends a
+        batch at ``spark.sql.execution.arrow.maxBytesPerBatch`` bytes (64 MB unless set)."""
         before = self.spark.conf.get(BATCH)
         self.spark.conf.set(BATCH, str(min(int(before), 1000)))
         try:

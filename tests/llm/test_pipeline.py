@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,7 +15,9 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from framelake.llm import queries
 from framelake.llm.common import Scratch
+from framelake.session import shared_dir
 
 from .test_duplicates import near_groups, plain_removal
 from .test_models import BAD
@@ -96,6 +100,41 @@ def test_run(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_run_deletes_what_it_no_longer_reads(spark, sf_dir):
+    from urllib.parse import urlparse
+
+    root = Path(urlparse(shared_dir(spark)).path)
+    before = set(root.glob("framelake-*/*"))
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = set(root.glob("framelake-*/*")) - before
+    assert len([p for p in left if list(p.glob("*.parquet"))]) <= 2  # the last stage's documents and their pieces
+    assert out.count() > 0
+
+
+def plain(frame):
+    frame = frame[sorted(frame.columns)].astype(object)
+    frame = frame.where(frame.notna(), None)
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in frame.itertuples(index=False, name=None)), key=repr)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["op2_minhash_dedup", "op7_embedding_dedup", "op10_mixing"])
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    ours, sql = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(queries.SQL[name]).df()
+    assert sorted(ours.columns) == sorted(sql.columns) and plain(ours) == plain(sql)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["op1_token_output", "op3_token_counts", "op4_toxicity", "op5_packing", "op6_suffix_dedup", "op8_quality"])
+def test_registered_queries_return_whole_tables(spark, name):
+    sf = "/root/testdata/sf0.001"
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in queries.QUERIES[name](spark, sf).select("doc_id").collect()} == ids
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
