@@ -5,6 +5,10 @@ finds common prefixes by increasing value: breadth first, the interval of a stri
 extended backward by each byte in it, and the end of a longer string's interval is a place where neighbouring suffixes
 have that many bytes in common, if none was found there before. It stops at the wanted length; neighbours
 without such a place have at least that many bytes in common.
+
+Defined results: a text of zero bytes alone, or one shorter than the length, has no two suffixes in a group; equal suffixes are
+one group in any order; texts may be as long as 32-bit numbers can count; there are no nulls and no columns here, and an empty text
+is not one (it must end in a zero byte).
 """
 
 from __future__ import annotations

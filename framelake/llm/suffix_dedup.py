@@ -7,9 +7,10 @@ groups its equal windows, and each window learns the smallest document id among
 then lose the bytes of all windows that a smaller id has. Hashes only decide what meets; windows are equal by their bytes.
 
 Text moves in compressed chunks of many documents, and a chunk sends one copy of a segment, however many of its documents
-have it: a passage that a third of all documents share counts once for each chunk.
+have it: a passage that a third of all documents share counts once for each chunk, and where a bucket has very many chunks
+once for each part of them.
 
-Defined results: a null or empty text has no bytes and loses none; a document with a null id loses nothing and takes
+Defined results: a null or empty text has no bytes and loses none; a text of any length is one piece; of equal ids neither is smaller; a document with a null id loses nothing and takes
 nothing from others; of rows that repeat an id, none takes from another, as no id is smaller; an empty table gives no rows;
 further columns don't matter, and those asked for are carried along.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ from .common import Scratch, chunks, mix, ragged
 SHORT = 16
 #: Bytes of text of a chunk, of a piece hashed at once, and of all text to a bucket.
 CHUNK, PIECE, BUCKET = 4 << 20, 1 << 20, 2 << 20
+#: Chunks whose rows of a bucket meet in one task; beyond it the bucket is split.
+MANY = 8192
 #: Tasks that deal with buckets, at most; a task goes through its buckets one by one.
 MOST_PARTS = 20_000
 #: Bytes of a key that tell a bucket's keys apart.
@@ -186,18 +190,11 @@ def _asked(chunked: DataFrame, least: int, buckets: int) -> DataFrame:
     return chunked.mapInArrow(go, "bucket long, chunk long, alone binary, several binary")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """The rows of each value of a column that the batches are sorted by."""
-    held: list[dict] = []
-    for b in batches:
-        for s in range(0, b.num_rows, 64):  # few at once, as rows are large
-            for row in b.slice(s, 64).to_pylist():
-                if held and held[0][key] != row[key]:
-                    yield held
-                    held = []
-                held.append(row)
-    if held:
-        yield held
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[Iterator[dict]]:
+    """The rows of each value of the columns that the batches are sorted by, one after another as they come."""
+    rows = (row for b in batches for s in range(0, b.num_rows, 64) for row in b.slice(s, 64).to_pylist())  # few at once, as they are large
+    for _, run in itertools.groupby(rows, lambda row: [row[k] for k in keys]):
+        yield run
 
 
 def _shared(asked: DataFrame, parts: int) -> DataFrame:
@@ -205,7 +202,12 @@ def _shared(asked: DataFrame, parts: int) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "bucket"):
-            alone, several = [_bytes_key(r["alone"]) for r in rows], [_bytes_key(r["several"]) for r in rows]
+            chunk, alone, several, bucket = [], [], [], None
+            for r in rows:
+                bucket = r["bucket"]
+                chunk.append(r["chunk"])
+                alone.append(_bytes_key(r["alone"]))
+                several.append(_bytes_key(r["several"]))
             n = np.array([len(x) for x in alone], np.int64)
             _, at, many = np.unique(np.concatenate(alone + several), return_inverse=True, return_counts=True)
             common = many > 1
@@ -214,7 +216,7 @@ def _shared(asked: DataFrame, parts: int) -> DataFrame:
             out = [np.concatenate([x[hit[e - k : e]], y]) for x, y, e, k in zip(alone, several, ends.tolist(), n.tolist(), strict=True)]
             pick = [i for i, x in enumerate(out) if len(x)]
             if pick:
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i]["chunk"] for i in pick], pa.int64()), pa.array([rows[i]["bucket"] for i in pick], pa.int64()), pa.array([_key_bytes(out[i]) for i in pick], pa.binary())], ["chunk", "bucket", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[i] for i in pick], pa.int64()), pa.array([bucket] * len(pick), pa.int64()), pa.array([_key_bytes(out[i]) for i in pick], pa.binary())], ["chunk", "bucket", "keys"])
 
     return asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(go, "chunk long, bucket long, keys binary")
 
@@ -281,26 +283,77 @@ def smallest_owners(segments: list[bytes], owners: np.ndarray, least: int) -> tu
     return owner[place], windows
 
 
-def _answered(sent: DataFrame, least: int, parts: int) -> DataFrame:
-    """For each chunk and bucket, the smallest owner of each window of its segments there."""
+class _Collapsed:
+    """The distinct segments of rows of one bucket, their smallest ids, and which of them each row has; texts are held once."""
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "bucket"):
-            names: dict[bytes, int] = {}
-            own, local = [], []
-            for r in rows:
-                raw, n = _unpack(r["first"], np.uint8).tobytes(), _unpack(r["second"], np.int32)
-                ends = np.cumsum(n, dtype=np.int64)
-                local.append(np.array([names.setdefault(raw[e - k : e], len(names)) for e, k in zip(ends.tolist(), n.tolist(), strict=True)], np.int64))
-                own.append(_unpack(r["third"], np.int64))
-            owner = np.full(len(names), np.iinfo(np.int64).max)
-            np.minimum.at(owner, np.concatenate(local), np.concatenate(own))
-            low, windows = smallest_owners(list(names), owner, least)
-            at = np.cumsum(windows) - windows
-            for r, number in zip(rows, local, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()), pa.array([r["bucket"]], pa.int64()), pa.array([r["numbers"]], pa.binary()), pa.array([_pack(low[ragged(at[number], windows[number])])], pa.binary()), pa.array([_pack(windows[number].astype(np.int32))], pa.binary())], ["chunk", "bucket", "numbers", "low", "windows"])
+    def __init__(self, rows: Iterator[dict]):
+        names: dict[bytes, int] = {}
+        self.rows: list[tuple[int, bytes, np.ndarray]] = []
+        self.owner = np.zeros(0, np.int64)
+        for r in rows:
+            self.bucket = r["bucket"]
+            raw, n = _unpack(r["first"], np.uint8).tobytes(), _unpack(r["second"], np.int32)
+            ends = np.cumsum(n, dtype=np.int64)
+            at = np.array([names.setdefault(raw[e - k : e], len(names)) for e, k in zip(ends.tolist(), n.tolist(), strict=True)], np.int64)
+            self.owner = np.concatenate([self.owner, np.full(len(names) - len(self.owner), np.iinfo(np.int64).max)])
+            np.minimum.at(self.owner, at, _unpack(r["third"], np.int64))
+            self.rows.append((r["chunk"], r["numbers"], at.astype(np.int32)))
+        self.segments = list(names)
+
+    def answers(self, low: np.ndarray, windows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """For each row, low for each window of its segments."""
+        at = np.cumsum(windows) - windows
+        for chunk, numbers, number in self.rows:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([self.bucket], pa.int64()), pa.array([numbers], pa.binary()), pa.array([_pack(low[ragged(at[number], windows[number])])], pa.binary()), pa.array([_pack(windows[number].astype(np.int32))], pa.binary())], ANSWER.names)
+
+
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary()), ("low", pa.binary()), ("windows", pa.binary())])
+ANSWERED = "chunk long, bucket long, numbers binary, low binary, windows binary"
+
+
+def _answered(sent: DataFrame, least: int, parts: int, scratch: Scratch) -> DataFrame:
+    """For each chunk and bucket, the smallest owner of each window of its segments there.
+
+    A bucket with rows of more than ``MANY`` chunks is split by chunks; each part's distinct segments are one row to the bucket, and
+    its answer goes back to the part. So a passage that all chunks have counts once for each part.
+    """
 
-    return sent.filter("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(go, "chunk long, bucket long, numbers binary, low binary, windows binary")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "bucket"):
+            c = _Collapsed(rows)
+            yield from c.answers(*smallest_owners(c.segments, c.owner, least))
+
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "bucket", "part"):
+            part: list[int] = []
+            c = _Collapsed(part.append(r["part"]) or r for r in rows)
+            text = np.frombuffer(b"".join(c.segments), np.uint8)
+            row = (c.bucket, part[0], b"", _pack(text), _pack(np.array([len(x) for x in c.segments], np.int32)), _pack(c.owner))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, SENT.types, strict=True)], SENT.names)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "bucket", "part"):
+            answer = next(rows)
+            c = _Collapsed(rows)  # in the order in which they were collapsed
+            yield from c.answers(_unpack(answer["low"], np.int64), _unpack(answer["windows"], np.int32).astype(np.int64))
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(whole, ANSWERED)
+
+    rows = sent.filter("bucket >= 0")
+    large = scratch.cut(rows.groupBy("bucket").count().filter(F.col("count") > MANY).select("bucket", F.ceil(F.col("count") / MANY).cast("int").alias("parts")))
+    if large.isEmpty():
+        return met(rows)
+    rows = rows.join(large, "bucket", "left")
+    split = scratch.cut(rows.filter("parts is not null").withColumn("part", F.pmod(F.xxhash64("chunk"), "parts").cast("long")).drop("parts"))
+    order = ["bucket", "part", F.col("chunk").asc_nulls_first()]
+    names = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary'}" for n, t in zip(SENT.names, SENT.types, strict=True))
+    one = split.repartition("bucket", "part").sortWithinPartitions(*order).mapInArrow(collapse, names)
+    none = lambda c, kind="binary": F.lit(None).cast(kind).alias(c)
+    answers = met(one).select("bucket", F.col("chunk").alias("part"), none("chunk", "long"), none("numbers"), none("first"), none("second"), none("third"), "low", "windows")
+    asked = split.select("bucket", "part", "chunk", "numbers", "first", "second", "third", none("low"), none("windows"))
+    back = answers.union(asked).repartition("bucket", "part").sortWithinPartitions(*order).mapInArrow(spread, ANSWERED)
+    return met(rows.filter("parts is null").select(*SENT.names)).union(back)
 
 
 def _processed(docs: DataFrame, least: int, keep: list[str], with_text: bool) -> DataFrame:
@@ -313,7 +366,7 @@ def _processed(docs: DataFrame, least: int, keep: list[str], with_text: bool) ->
     shared = scratch.cut(_shared(_asked(chunked, least, buckets), parts))
     sent = scratch.cut(_sent(chunked, shared, least, buckets))
     scratch.drop(shared)
-    answered = _answered(sent, least, parts)
+    answered = _answered(sent, least, parts, scratch)
     none = [F.lit(None).cast("binary").alias(c) for c in ("numbers", "places", "low", "windows")]
     left = chunked.select("chunk", F.lit(0).cast("long").alias("bucket"), "text", "off", "rest", *none)
     empty = [F.lit(None).cast("binary").alias(c) for c in ("text", "off", "rest")]
@@ -323,7 +376,7 @@ def _processed(docs: DataFrame, least: int, keep: list[str], with_text: bool) ->
     fields += [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * with_text
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "chunk"):
+        for rows in map(list, _runs(batches, "chunk")):
             c = _Chunk(next(r for r in rows if r["text"] is not None))
             hit = np.zeros(len(c.data) + 1, bool)  # windows that a smaller id has, by their first bytes
             where = [r for r in rows if r["bucket"] == -1]

@@ -203,6 +203,32 @@ def test_suffix_removal(spark, monkeypatch, piece):
     assert sorted((r.doc_id, r.text, r.n_bytes, r.first) for r in left.collect()) == sorted((w[0], w[5], w[0] % 3, "x") for w in want)
 
 
+@pytest.mark.parametrize("many", [2, 5])
+def test_suffix_removal_with_split_buckets(spark, monkeypatch, many):
+    """A passage in every document, and buckets with rows of more chunks than meet in a task."""
+    for name, value in (("PIECE", 300), ("CHUNK", 600), ("BUCKET", 2000), ("MANY", many)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    common = "this passage is in each and every document of the whole table, whatever else there is; "
+    docs = [(i, f"{t[: 3 * i]} {common} {t[3 * i : 200]}") for i, t in passages(5)]
+    asked = []
+    collapsed = suffix_dedup._answered
+    monkeypatch.setattr(suffix_dedup, "_answered", lambda *a: asked.append(a[0]) or collapsed(*a))
+    got = suffix_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), with_text=True).collect()
+    assert asked[0].filter("bucket >= 0").groupBy("bucket").count().agg({"count": "max"}).first()[0] > many
+    want = plain_removal([(i, t.encode()) for i, t in docs], 50)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept_text) for r in got) == sorted(want)
+
+
+def test_suffix_removal_of_very_long_texts(spark):
+    """Texts of 3 MB: an own part, then what the first has, shifted by an odd number of bytes."""
+    rng = np.random.default_rng(6)
+    letters = rng.integers(97, 123, (3, 3_000_000)).astype(np.uint8)
+    letters[1, 1_000_001:2_500_001] = letters[0, 7:1_500_007]
+    docs = [(i, letters[i].tobytes().decode()) for i in range(3)] + [(3, "")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: (3_000_000, 0, 0), 1: (3_000_000, 1_500_000, 1), 2: (3_000_000, 0, 0), 3: (0, 0, 0)}
+
+
 def test_suffix_removal_of_odd_rows(spark):
     long = "the quick brown fox jumps over the lazy dog again and again and again " * 3
     df = spark.createDataFrame([(None, long), (4, long), (2, long), (None, None), (3, None)], "doc_id long, text string")
