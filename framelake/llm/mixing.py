@@ -5,41 +5,56 @@ that is where clamping and resharing the excess by weight comes to rest. A targe
 source's documents and, for the fraction, by the documents first in a seeded order, up to the one whose inclusion
 brings the words nearest to the target.
 
-Defined results: a null text has size 0; a null source is a source of its own, last in order; null and repeated ids
+Defined results: a null or empty text has size 0, and texts of any length count whole; documents with equal places in the seeded order
+(repeated rows) come in the order in which they are read; sources with equal ratios come by name; a null source is a source of its own, last in order; null and repeated ids
 are documents like others; sources without words have target 0; an empty table gives no rows; further columns of
 the input don't matter.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
 
 SEED = 17
-#: Hexadecimal digits of the bucket in which a source's order is cut: 4096 buckets.
-DIGITS = 3
+#: Hexadecimal digits, at least, of the buckets in which a source's order is cut, and rows of a bucket.
+DIGITS, BUCKET = 3, 65_536
 #: Sources up to which their targets are broadcast.
 MOST_SOURCES = 100_000
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0) -> DataFrame:
-    """source, source_size and target for each source of (source, size). The work after the sum is on one row a source."""
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    nth = (F.row_number().over(order) - 1) % len(weights)
-    by = by.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (nth + 1).cast("int")).alias("weight"))
-    fill = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    upto, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    cap = epochs * F.col("source_size")
-    by = by.withColumn("cap", cap)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("weight").over(after)
-    by = by.withColumn("level", level)
+def _running(rows: DataFrame, order: list, sums: dict[str, str], scratch: Scratch) -> DataFrame:
+    """``rows`` with the sums of columns over all rows before each in an order: ``sums`` maps the new columns to those summed.
+
+    Rows are dealt by ranges of the order and summed within them; what goes before a range comes from one row for each range.
+    """
+    ranged = scratch.cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy(F.col("_range").alias("_r")).agg(*[F.sum(c).alias(c) for c in sums.values()])
+    whole = whole.select("_r", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{n}") for n, c in sums.items()])  # as many rows as tasks
+    found = ranged.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).join(whole, F.col("_range") == F.col("_r"))
+    return found.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums}).drop("_range", "_r", *[f"_before_{n}" for n in sums])
+
+
+def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0, scratch: Scratch | None = None) -> DataFrame:
+    """source, source_size and target for each source of (source, size). The work after the sum is on one row a source, dealt by
+    ranges, so that there may be as many sources as documents."""
+    scratch = scratch or Scratch(sizes.sparkSession)
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_one", F.lit(1))
+    by = _running(by, [F.col("source").asc_nulls_last()], {"_nth": "_one"}, scratch)
+    by = by.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (F.col("_nth") % len(weights) + 1).cast("int")).alias("weight"))
+    by = by.withColumns({"cap": epochs * F.col("source_size"), "_ratio": F.col("source_size") / F.col("weight")})
+    by = scratch.cut(_running(by, [F.col("_ratio"), F.col("source").asc_nulls_last()], {"_caps": "cap", "_weights": "weight"}, scratch))
+    size, weight = by.agg(F.sum("source_size"), F.sum("weight")).first()
     # The first source in this order that is not clamped gives the level; those after it would give less.
-    free = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole)
-    return by.select("source", "source_size", F.least(free * F.col("weight"), "cap").alias("target"))
+    level = (F.lit(size) - F.col("_caps")) / (F.lit(weight) - F.col("_weights"))
+    free = by.agg(F.max(F.when(level * F.col("weight") <= F.col("cap"), level))).first()[0]
+    return by.select("source", "source_size", F.least(F.lit(free).cast("double") * F.col("weight"), "cap").alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = 3.0, keep: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
@@ -55,8 +70,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), e
         F.monotonically_increasing_id().alias("_row"),
     )
     sized = scratch.cut(named)
-    bucket = F.substring("_key", 1, DIGITS)
-    goal = targets(sized, weights, epochs).withColumns({
+    # Buckets of a source's order, so many that one has BUCKET rows at most (as expected) if all rows are one source's.
+    bucket = F.substring("_key", 1, max(DIGITS, math.ceil(math.log(max(1, sized.count() / BUCKET), 16))))
+    goal = targets(sized, weights, epochs, scratch).withColumns({
         "_whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"),
     }).withColumn("_need", F.col("target") - F.col("_whole") * F.col("source_size"))
     goal = scratch.cut(goal)
