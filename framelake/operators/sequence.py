@@ -29,12 +29,14 @@ class ClipSequence:
     height: int
     compressed: bool = False
     bpp: int = 24
+    #: How many frames there are, where that is known, so that appending to what was appended does not encode it to count it.
+    known: int | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession, width: int, height: int, compressed: bool = False, bpp: int = 24) -> ClipSequence:
         if not (1 <= width <= LARGEST_SIDE and 1 <= height <= LARGEST_SIDE) or bpp not in (24, 32):
             raise ValueError("no frame has these dimensions")
-        return cls(spark.createDataFrame([], FRAMES), width, height, compressed, bpp)
+        return cls(spark.createDataFrame([], FRAMES), width, height, compressed, bpp, 0)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, compressed: bool = True, bpp: int = 24) -> ClipSequence:
@@ -59,7 +61,7 @@ class ClipSequence:
             raise
 
     def count(self) -> int:
-        return self.frames.count()
+        return self.frames.count() if self.known is None else self.known
 
     def append(self, frames: DataFrame, compressed: bool | None = None) -> ClipSequence:
         """Adds frames in the order of their frame_idx: rasters of 24 or 32 bits, or blobs if ``compressed`` (unless given, as this
@@ -71,7 +73,7 @@ class ClipSequence:
             known = F.substring("payload", 1, 1).isin(*[F.lit(bytes([k])) for k in (blobs.GENERAL, blobs.GREY, blobs.COLOUR)])
         else:
             known = n.isin(3 * self.width * self.height, 4 * self.width * self.height)
-        found = frames.agg(F.min("frame_idx").alias("low"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("other"), F.count_if(~F.coalesce(known, F.lit(False))).alias("odd")).first()
+        found = frames.agg(F.count("*").alias("n"), F.min("frame_idx").alias("low"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("other"), F.count_if(~F.coalesce(known, F.lit(False))).alias("odd")).first()
         if found.other:
             raise ValueError("a frame has other dimensions")
         if found.odd:
@@ -82,9 +84,10 @@ class ClipSequence:
             frames = codec.compress(frames)
         elif not compressed:
             frames = codec.transcode(frames, self.bpp)
-        shift = self.count() - (found.low or 0)
+        own = self.count()
+        shift = own - (found.low or 0)
         new = _sized(frames.withColumn("frame_idx", (F.col("frame_idx") + shift).cast("long"))).select(*T.StructType.fromDDL(FRAMES).names)
-        return replace(self, frames=self.frames.unionByName(new))
+        return replace(self, frames=self.frames.unionByName(new), known=own + found.n)
 
     def frame(self, k: int) -> DataFrame:
         """One frame's row; none if k is out of range."""

@@ -64,6 +64,7 @@ def test_append_takes_the_form_of_the_sequence(spark):
     assert small.raster_frame(0) is None and raster.compressed_frame(0) is None
     assert payloads(small.compressed_frame(1)) == [blobs.compress(data[1], 4)] and raster.raster_frame(7).count() == 0
     for clip in (raster, four, small):
+        assert clip.count() == clip.frames.count()
         assert payloads(clip.decode(1)) == data[1:] and payloads(clip.decode(1, 32))[0][:3] == data[1][:3]
     with pytest.raises(ValueError):
         small.zeros(1)
