@@ -6,8 +6,8 @@ that under the ordinary one, and the same divided by its length; a text's featur
 words and over its most toxic words, and its length. A logistic function turns them into a probability.
 
 The models count the n-grams of all learnable rows: Spark sums in how many texts each distinct word is, then the n-grams of the
-words. The driver has one row for each distinct n-gram and, as every worker, the models: they grow with the vocabulary. Only the
-logistic function is fitted to a bounded sample: the features, worked out by the executors, of at most ``SAMPLE`` rows of each class, those
+words. Up to ``MODEL`` distinct n-grams the driver and every worker hold the models; with more, ``evidence_joins`` gives the same
+evidence and features by joins, and nothing that grows with the vocabulary leaves the executors. Only the logistic function is fitted to a bounded sample: the features, worked out by the executors, of at most ``SAMPLE`` rows of each class, those
 with the smallest hash of one half of the rows, under models of the other half, which have not seen them. Every text is scored whole, each word where it first occurs in a worker.
 
 Defined results: a null or empty text, or one without words, scores as a text without evidence; null labels and null ids
@@ -26,156 +26,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, crc_mod, mix
+from . import evidence_joins
+from .common import Scratch, chunks, crc_mod
+from .kneser_ney import LETTERS, ORDER, Model, counted
 
-ORDER = 6
 SAMPLE = 4000
 THRESHOLD = 0.3
 TOP = (1, 3)
 MOST_WORDS = 300_000
+#: Distinct n-grams, of some 60 bytes at the driver and 24 in a worker, up to which models are sent.
+MODEL = 3_000_000
 #: Distinct words that a task counts at once.
 COUNTED_WORDS = 100_000
 #: Counts of an n-gram: by class, rows of either half.
 CELLS = 4
 GRAMS = "n int, key long, suffix long, context long, begins boolean, " + ", ".join(f"c{i} long" for i in range(CELLS))
-#: Bytes around a word, which no word has.
-BEGIN, END = 2, 3
-_M = np.uint64(0x9FB21C651E98DF25)
-
-
-def _laid(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words' bytes between BEGIN and END, each byte's place in its word, and the words' starts."""
-    data = np.frombuffer(bytes([BEGIN]) + bytes([END, BEGIN]).join(words) + bytes([END]), np.uint8)
-    n = np.array([len(w) + 2 for w in words], np.int64)
-    starts = np.cumsum(n) - n
-    return data, np.arange(len(data)) - np.repeat(starts, n), starts
-
-
-def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
-    """For n = 1 .. ORDER the key of the n bytes that end at each place (of use where the word has as many)."""
-    key = np.zeros(len(data), np.uint64)
-    for n in range(1, ORDER + 1):
-        before = np.append(np.uint64(n), key[:-1]) if n > 1 else np.full(len(data), 11, np.uint64)
-        key = mix(before * _M + data.astype(np.uint64) + np.uint64(1))
-        yield key
-
-
-def counted(words: list[bytes], counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1 .. ORDER: keys of the distinct n-grams, of their last and of their first n - 1 bytes, whether they begin a word, and the sums of ``counts``."""
-    data, place, _ = _laid(words)
-    size = np.array([len(w) + 2 for w in words], np.int64)
-    shorter = np.zeros(len(data), np.uint64)
-    for n, now in enumerate(_grams(data), 1):
-        here = np.flatnonzero(place >= max(1, n - 1))
-        key, first, at = np.unique(now[here], return_index=True, return_inverse=True)
-        count = np.column_stack([np.bincount(at, np.repeat(counts[:, c], size)[here], len(key)) for c in range(counts.shape[1])])
-        some = here[first]
-        yield key, shorter[some], shorter[some - 1], place[some] == n - 1, count
-        shorter = now
-
-
-class Model:
-    """Both classes' Kneser-Ney models in one table by n-gram: shares, and back-off weights as a context."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        """counts: for each word, its number of texts in the ordinary and in the toxic class."""
-        self._estimate(list(counted(words, counts)))
-
-    @classmethod
-    def of(cls, grams: list[tuple], counts: list[np.ndarray]) -> Model:
-        """From what ``counted`` gives, with other counts: for each n, two columns."""
-        model = cls.__new__(cls)
-        model._estimate([(*g[:4], c) for g, c in zip(grams, counts, strict=True)])
-        return model
-
-    def _estimate(self, grams: list[tuple]) -> None:
-        keys, shares, contexts = [], [], []
-        for n, (key, _, context, begins, count) in enumerate(grams, 1):
-            if n < ORDER:  # in how many longer ones it ends, unless it begins a word
-                _, suffix, _, _, longer = grams[n]
-                short = np.searchsorted(key, suffix)
-                kept = np.column_stack([np.bincount(short, longer[:, c] > 0, len(key)) for c in (0, 1)])
-                count = np.where(begins[:, None] & (n > 1), count, kept)
-            names, to = np.unique(context, return_inverse=True)
-            total = np.column_stack([np.bincount(to, count[:, c], len(names)) for c in (0, 1)])
-            kinds = np.column_stack([np.bincount(to, count[:, c] > 0, len(names)) for c in (0, 1)])
-            one, two = (count == 1).sum(0), (count == 2).sum(0)
-            discount = np.clip(np.where(one + two > 0, one / np.maximum(one + 2 * two, 1), 0.5), 0.1, 0.9)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                share = np.where(total[to] > 0, np.maximum(count - discount, 0) / total[to], 0).astype(np.float32)
-                back = np.where(total > 0, discount * kinds / total, 1).astype(np.float32)
-            keys.append(key)
-            shares.append(share)
-            contexts.append((names, back))
-        self.root = contexts[0][1][0] if len(contexts[0][0]) else np.ones(2, np.float32)
-        known = np.concatenate(keys)
-        only = np.setdiff1d(np.concatenate([names for names, _ in contexts[1:]]), known)  # contexts that are nothing else, as BEGIN alone
-        self.key = np.concatenate([known, only])
-        order = np.argsort(self.key)
-        self.key = self.key[order]
-        share = np.concatenate([*shares, np.zeros((len(only), 2), np.float32)])[order]
-        back = np.ones_like(share)
-        for names, b in contexts[1:]:
-            back[np.searchsorted(self.key, names)] = b
-        self.value = np.concatenate([np.concatenate([share, back], 1), [[0, 0, 1, 1]]]).astype(np.float32)  # the last row is for unknown ones
-        self._index()
-
-    def _index(self) -> None:
-        """Where each leading part of the keys begins, so that a look-up takes a few steps."""
-        self.bits = max(8, int(len(self.key)).bit_length())
-        self.first = np.searchsorted(self.key, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("first", "bits")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self._index()
-
-    def _find(self, key: np.ndarray) -> np.ndarray:
-        at = self.first[(key >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
-        todo = np.arange(len(key))
-        out = np.full(len(key), len(self.key))
-        while len(todo):
-            a = at[todo]
-            inside = a < len(self.key)
-            todo, a = todo[inside], a[inside]
-            k = self.key[a]
-            hit = k == key[todo]
-            out[todo[hit]] = a[hit]
-            todo = todo[k < key[todo]]
-            at[todo] += 1
-        return out
-
-    def evidence(self, words: list[bytes]) -> np.ndarray:
-        """For each word the log-likelihood ratio, toxic to ordinary, and the same for each byte."""
-        if not words:
-            return np.zeros((0, 2), np.float32)
-        data, place, starts = _laid(words)
-        p = np.full((len(data), 2), 1 / 256, np.float32)
-        at = None
-        for n, key in enumerate(_grams(data), 1):
-            if n == 1:
-                found = self._find(key)
-                p = self.value[found, :2] + self.root.astype(np.float32) * p
-            else:
-                here = np.flatnonzero(place >= n - 1)
-                found = np.full(len(data), len(self.key))
-                found[here] = self._find(key[here])
-                p[here] = self.value[found[here], :2] + self.value[at[here - 1], 2:] * p[here]
-            at = found
-        ratio = np.log(p[:, 1] + 1e-12) - np.log(p[:, 0] + 1e-12)
-        ratio[starts] = 0
-        total = np.add.reduceat(ratio, starts)
-        return np.column_stack([total, total / np.array([len(w) + 1 for w in words])]).astype(np.float32)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().translate(_LETTERS).split()
-
-
-#: ASCII signs, digits and control bytes become spaces.
-_LETTERS = bytes(c if 97 <= c <= 122 or 65 <= c <= 90 or c >= 128 else 32 for c in range(256))
+def _sums() -> list:
+    return [F.sum(f"c{i}").alias(f"c{i}") for i in range(CELLS)]
 
 
 def features(evidence: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -210,6 +79,34 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+class Joined(Scorer):
+    """The evidence of all words of the documents in a written table, with the logistic function."""
+
+    def __init__(self, evidence: DataFrame, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray):
+        super().__init__(None, mean, scale, weight)
+        self.evidence = evidence
+
+    def scored(self, docs: DataFrame, name: str) -> DataFrame:
+        scratch = Scratch(docs.sparkSession)
+        row = _free("_row", [*docs.columns, name])
+        docs = scratch.cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        x = evidence_joins.features(docs, self.evidence, row, TOP, scratch)
+        z = F.lit(float(self.weight[0]))
+        for i in range(len(self.mean)):
+            z = z + (F.col("x")[i] - float(self.mean[i])) / float(self.scale[i]) * float(self.weight[i + 1])
+        p = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))))
+        without = float(self.probability(np.zeros((1, len(self.mean))))[0])
+        found = docs.join(x.select(row, p.alias(name)), row, "left")
+        return found.select(*[F.col(f"`{c}`") for c in docs.columns if c != row], F.coalesce(name, F.lit(without)).alias(name))
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """The name, with further underscores before it if a column has it."""
+    while name.lower() in [c.lower() for c in columns]:
+        name = f"_{name}"
+    return name
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge-penalised logistic regression by Newton steps."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
@@ -251,16 +148,16 @@ def sampled(docs: DataFrame, known: DataFrame, most: int, scratch: Scratch) -> t
     return rows, counts.get(1, 0) / total if total else 0.0
 
 
-def gram_counts(docs: DataFrame, labels: DataFrame) -> list[tuple]:
-    """What ``counted`` gives for the words of all learnable rows, with CELLS columns. What is shuffled is each text's distinct words,
-    then one row for each word of a task, then the n-grams of the words that are distinct among all."""
+def word_rows(docs: DataFrame, labels: DataFrame, unlabelled: bool = False) -> DataFrame:
+    """The distinct words of all learnable rows and in how many of each of CELLS they are; those of other rows with counts of 0 if
+    ``unlabelled``. What is shuffled is each text's distinct words, then one row for each word of a task."""
     cell = 2 * F.col("y") + _half("h")
     known = learnable(labels, "toxic", 4, 2).select("doc_id", cell.cast("int").alias("cell"))
     kind = "word binary, " + ", ".join(f"c{i} long" for i in range(CELLS))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in chunks(batches):
-            raw = data.tobytes().lower().translate(_LETTERS)
+            raw = data.tobytes().lower().translate(LETTERS)
             words = [b" ".join(dict.fromkeys(raw[b:e].split())) for b, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.binary())], ["doc_id", "words"])
 
@@ -273,8 +170,9 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> list[tuple]:
 
         for b in batches:
             lots = [[names.setdefault(w, len(names)) for w in ws.split()] for ws in b.column("words").to_pylist()]
-            cells = np.repeat(b.column("cell").to_numpy(), [len(x) for x in lots])
+            cells = np.repeat(b.column("cell").fill_null(-1).to_numpy(), [len(x) for x in lots])
             at = np.fromiter((i for x in lots for i in x), np.int64, len(cells))
+            at, cells = at[cells >= 0], cells[cells >= 0]
             counts = np.concatenate([counts, np.zeros((len(names) - len(counts), CELLS), np.int64)])
             counts += np.bincount(at * CELLS + cells, minlength=counts.size).reshape(counts.shape)
             if len(names) > COUNTED_WORDS:
@@ -283,6 +181,16 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> list[tuple]:
         if names:
             yield found()
 
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not unlabelled:
+        few = few.filter(crc_mod("doc_id", 4) != 2)
+    few = few.mapInArrow(distinct, "doc_id long, words binary").join(known.hint("shuffle_hash"), "doc_id", "left" if unlabelled else "inner")
+    return few.select("words", "cell").mapInArrow(count, kind).groupBy("word").agg(*_sums())
+
+
+def gram_rows(words: DataFrame) -> DataFrame:
+    """What ``counted`` gives for ``word_rows``, as a table."""
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = np.column_stack([b.column(f"c{i}").to_numpy() for i in range(CELLS)])
@@ -290,10 +198,12 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> list[tuple]:
                 columns = [np.full(len(key), n, np.int32), *[a.view(np.int64) for a in (key, suffix, context)], begins, *count.astype(np.int64).T]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in columns], [f.split()[0] for f in GRAMS.split(", ")])
 
-    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(CELLS)]
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(crc_mod("doc_id", 4) != 2).mapInArrow(distinct, "doc_id long, words binary")
-    words = few.join(known.hint("shuffle_hash"), "doc_id").select("words", "cell").mapInArrow(count, kind).groupBy("word").agg(*sums)
-    t = words.mapInArrow(grams, GRAMS).groupBy("n", "key", "suffix", "context", "begins").agg(*sums).toArrow()
+    return words.mapInArrow(grams, GRAMS).groupBy("n", "key", "suffix", "context", "begins").agg(*_sums())
+
+
+def gathered(grams: DataFrame) -> list[tuple]:
+    """At most MODEL rows of ``gram_rows`` at the driver, as ``counted`` gives them."""
+    t = grams.toArrow()
     n, (key, suffix, context) = t.column("n").to_numpy(), (t.column(c).to_numpy().view(np.uint64) for c in ("key", "suffix", "context"))
     begins, counts = t.column("begins").to_numpy(), np.column_stack([t.column(f"c{i}").to_numpy().astype(np.int32) for i in range(CELLS)])
     del t
@@ -304,7 +214,7 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> list[tuple]:
 
 def _texts_features(model: Model, known: dict[bytes, int], values: list[np.ndarray], data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The features of a chunk's texts; ``known`` and ``values[0]`` keep the evidence of words met before."""
-    raw = data.tobytes().lower().translate(_LETTERS)
+    raw = data.tobytes().lower().translate(LETTERS)
     lists = [raw[b:e].split() for b, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
     words = [w for ws in lists for w in ws]
     if len(known) > MOST_WORDS:
@@ -329,14 +239,19 @@ def sample_features(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
             yield pa.RecordBatch.from_arrays([part.column(c) for c in "yht"] + [pa.array(list(x), pa.list_(pa.float64()))], ["y", "h", "t", "x"])
 
     rows = sample.select("text", F.col("y").cast("int").alias("y"), "h", "t")
-    t = rows.mapInArrow(go, "y int, h long, t long, x array<double>").toArrow().sort_by([("h", "ascending"), ("t", "ascending")])
+    t = rows.mapInArrow(go, "y int, h long, t long, x array<double>").toArrow()
     shared.destroy()
+    return _in_order(t)
+
+
+def _in_order(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    t = t.sort_by([("h", "ascending"), ("t", "ascending")])
     y = t.column("y").to_numpy()
     return t.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1), y
 
 
-def learnt(docs: DataFrame, labels: DataFrame) -> Scorer | float:
-    """A scorer, or the score of all texts if labels of a class are missing."""
+def learnt(docs: DataFrame, labels: DataFrame) -> Scorer | Joined | float:
+    """A scorer, one by joins if there are more than MODEL n-grams, or the score of all texts if labels of a class are missing."""
     scratch = Scratch(docs.sparkSession)
     known = learnable(labels, "toxic", 4, 2)
     classes = {r.y for r in docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id").select("y").distinct().collect()}
@@ -344,15 +259,34 @@ def learnt(docs: DataFrame, labels: DataFrame) -> Scorer | float:
         return 0.0
     if 0 not in classes:
         return 1.0
-    grams = gram_counts(docs, labels)
+    grams = scratch.cut(gram_rows(word_rows(docs, labels)))
     sample, share = sampled(docs, known.filter(_half("h") == 0), SAMPLE, scratch)
-    unseen = sample_features(sample, Model.of(grams, [g[4][:, 1::2] for g in grams]))
-    scratch.drop(sample)
-    model = Model.of(grams, [g[4][:, ::2] + g[4][:, 1::2] for g in grams])
-    del grams
+    if grams.count() > MODEL:
+        scratch.drop(grams)
+        return _by_joins(docs, labels, sample, share)
+    found = gathered(grams)
+    unseen = sample_features(sample, Model.of(found, [g[4][:, 1::2] for g in found]))
+    scratch.drop(sample, grams)
+    model = Model.of(found, [g[4][:, ::2] + g[4][:, 1::2] for g in found])
+    del found
     return Scorer(model, *calibrated(*unseen, share))
 
 
+def _by_joins(docs: DataFrame, labels: DataFrame, sample: DataFrame, share: float) -> Joined:
+    kept, passing = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    words = passing.cut(word_rows(docs, labels, unlabelled=True))
+    grams = passing.cut(gram_rows(words))
+    sample = passing.cut(sample.withColumn("row", F.monotonically_increasing_id()))
+    unseen = evidence_joins.evidence(words, grams, ("c1", "c3"), passing)
+    x = evidence_joins.features(sample, unseen, "row", TOP, passing)
+    zeros = F.array(*[F.lit(0.0)] * (2 + 2 * len(TOP)))
+    t = sample.join(x, "row", "left").select(F.col("y").cast("int").alias("y"), "h", "t", F.coalesce("x", zeros).alias("x")).toArrow()  # at most 2 * SAMPLE rows
+    logistic = calibrated(*_in_order(t), share)
+    out = Joined(evidence_joins.evidence(words, grams, ("c0 + c1", "c2 + c3"), kept), *logistic)
+    passing.clear()
+    return out
+
+
 def calibrated(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A logistic function of features, with its probabilities set to the share of toxic ones among all labelled rows."""
     if not len(y) or y.all() or not y.any():  # too few labels: the evidence itself, as it is
@@ -369,7 +303,10 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame
     """``docs`` with all its columns and a column of scores, of 0 to 1, under a name it doesn't have."""
     if name in docs.columns:
         raise ValueError(f"the documents have a column {name}")
-    shared = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels))
+    found = learnt(docs, labels)
+    if isinstance(found, Joined):
+        return found.scored(docs, name)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
@@ -394,7 +331,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with their columns."""
-    name = "_toxicity"
-    while name in docs.columns:
-        name = f"_{name}"
+    name = _free("_toxicity", docs.columns)
     return scored(docs, labels, name).filter(F.col(name) < threshold).drop(name)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import mixing, neighbours, quality, toxicity
+from framelake.llm import evidence_joins, kneser_ney, mixing, neighbours, quality, toxicity
 from framelake.llm.common import Scratch
 
 BAD = ["idiot", "moron", "scumbag", "loserly"]
@@ -70,9 +70,9 @@ def test_toxicity_counts_all_learnable_rows(spark, toxic, monkeypatch):
     words: dict[bytes, list[int]] = {}
     for i, t in [*docs, (5, "repeated id")]:
         if truth.get(i) is not None and not held(i, 4, 2):
-            for w in set(toxicity.words_of(t.encode())):
+            for w in set(kneser_ney.words_of(t.encode())):
                 words.setdefault(w, [0, 0])[truth[i]] += 1
-    want = toxicity.Model(list(words), np.array(list(words.values())))
+    want = kneser_ney.Model(list(words), np.array(list(words.values())))
     scorer = toxicity.learnt(df, lab)
     got = scorer.model
     assert np.array_equal(got.key, want.key) and np.allclose(got.value, want.value, atol=1e-7)
@@ -81,7 +81,7 @@ def test_toxicity_counts_all_learnable_rows(spark, toxic, monkeypatch):
     assert len(x) <= 40 and 0 < y.sum() <= 20
 
     def plain_features(text, evidence):
-        words = toxicity.words_of(text.encode())
+        words = kneser_ney.words_of(text.encode())
         e = [evidence(w) for w in words]
         tops = [sum(sorted((v[c] for v in e), reverse=True)[:k]) / k if e else 0 for c in (0, 1) for k in toxicity.TOP]
         return [math.log1p(len(words)), sum(v[1] for v in e) / len(e) if e else 0, *tops]
@@ -96,6 +96,35 @@ def test_toxicity_counts_all_learnable_rows(spark, toxic, monkeypatch):
             assert scores[i] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-5)
 
 
+def test_toxicity_by_joins(spark, toxic, monkeypatch):
+    _, _, df, lab = toxic
+    rows = df.withColumn("_row", F.lit("own")).withColumn("x", F.lit(1))
+    want = sorted((r.doc_id or -1, r.score) for r in toxicity.score(rows, lab).collect())
+    kept = sorted(r.doc_id or -1 for r in toxicity.without_toxic(rows, lab).collect())
+    monkeypatch.setattr(toxicity, "MODEL", 0)
+    monkeypatch.setattr(evidence_joins, "HOT", 50)  # some keys are hot, some aren't
+    assert isinstance(toxicity.learnt(rows, lab), toxicity.Joined)
+    got = sorted((r.doc_id or -1, r.score) for r in toxicity.score(rows, lab).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=2e-4)
+    less = toxicity.without_toxic(rows, lab)
+    assert less.columns == rows.columns and sorted(r.doc_id or -1 for r in less.collect()) == kept
+    assert toxicity.without_toxic(rows.limit(0), lab).count() == 0
+
+
+def test_evidence_by_joins(spark):
+    words = [b"the", b"then", b"ten", b"a", b"hen", b"idiot", b"idiots", b"nth", "é".encode(), b"unseen" * 40]
+    counts = np.array([[5, 1], [2, 0], [1, 1], [4, 2], [3, 3], [0, 4], [0, 1], [1, 0], [0, 0], [0, 0]])
+    seen = counts.sum(1) > 0
+    model = kneser_ney.Model([w for w, s in zip(words, seen, strict=True) if s], counts[seen])
+    scratch = Scratch(spark)
+    rows = [(w, int(a), 0, int(b), 0) for w, (a, b) in zip(words, counts, strict=True)]
+    known = scratch.cut(spark.createDataFrame([(bytearray(w), *c) for w, *c in rows], "word binary, c0 long, c1 long, c2 long, c3 long").repartition(3))
+    got = {bytes(r.word): (r.e0, r.e1) for r in evidence_joins.evidence(known, scratch.cut(toxicity.gram_rows(known)), ("c0 + c1", "c2 + c3"), scratch).collect()}
+    assert set(got) == set(words)
+    for w, e in zip(words, model.evidence(words), strict=True):
+        assert got[w] == pytest.approx(tuple(e.tolist()), abs=2e-3)
+
+
 def test_toxic_documents_go(spark, toxic):
     docs, truth, df, lab = toxic
     kept = {r.doc_id for r in toxicity.without_toxic(df, lab).collect()}
@@ -114,10 +143,10 @@ def test_models_without_a_class(spark, toxic):
 
 def plain_kneser_ney(words, counts):
     """Interpolated Kneser-Ney probabilities of characters, one class, by the textbook sums."""
-    order = toxicity.ORDER
+    order = kneser_ney.ORDER
     raw = [{} for _ in range(order + 1)]
     for w, n in zip(words, counts, strict=True):
-        x = bytes([toxicity.BEGIN]) + w + bytes([toxicity.END])
+        x = bytes([kneser_ney.BEGIN]) + w + bytes([kneser_ney.END])
         for e in range(1, len(x)):
             for k in range(1, order + 1):
                 if e - k + 1 >= 0:
@@ -126,7 +155,7 @@ def plain_kneser_ney(words, counts):
     count = [{} for _ in range(order + 1)]
     for k in range(1, order + 1):
         for g, n in raw[k].items():
-            if k == order or (g[0] == toxicity.BEGIN and k > 1):
+            if k == order or (g[0] == kneser_ney.BEGIN and k > 1):
                 count[k][g] = n
             else:
                 count[k][g] = len({h[0] for h in raw[k + 1] if h[1:] == g and raw[k + 1][h]})
@@ -148,7 +177,7 @@ def plain_kneser_ney(words, counts):
         return max(n - discount[k], 0) / total + discount[k] * sum(v > 0 for v in following.values()) / total * lower
 
     def score(w):
-        x = bytes([toxicity.BEGIN]) + w + bytes([toxicity.END])
+        x = bytes([kneser_ney.BEGIN]) + w + bytes([kneser_ney.END])
         return sum(math.log(p(x[max(0, e - order + 1) : e], x[e : e + 1]) + 1e-12) for e in range(1, len(x)))
 
     return score
@@ -157,7 +186,7 @@ def plain_kneser_ney(words, counts):
 def test_kneser_ney():
     words = [b"the", b"then", b"ten", b"a", b"hen", b"idiot", b"idiots", b"nth"]
     counts = np.array([[5, 1], [2, 0], [1, 1], [4, 2], [3, 3], [0, 4], [0, 1], [1, 0]])
-    model = toxicity.Model(words, counts)
+    model = kneser_ney.Model(words, counts)
     plain = [plain_kneser_ney([w for w, n in zip(words, counts[:, c], strict=True) if n], [n for n in counts[:, c] if n]) for c in (0, 1)]
     for w in [*words, b"idio", b"hent", b"zzz", b"x", b"theidiot", "é".encode()]:
         want = plain[1](w) - plain[0](w)
