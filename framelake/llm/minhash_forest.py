@@ -4,8 +4,9 @@ A shingle is known by 128 bits worked out from BLAKE2b digests of its words, in
 with one name are less likely than a fault of the machine. Documents with equal shingle sets form a class and only
 classes are compared. Each tree of the forest sorts the
 signatures by its own part of the hash values; candidates are neighbours in that order with a common prefix. In
-regions (common prefixes) of few signatures, whatever their depth, all are candidates to each other; a larger region is held
-together by its next neighbours. Documents that candidates connect form a group, whose full sets are then compared:
+regions (common prefixes) of few signatures, whatever their depth, all are candidates to each other whose sizes and hash values
+may fit; in a larger region as many of those pairs are candidates as connect what all would, so that texts that merely have a passage in
+common form no group. Documents that candidates connect form a group, whose full sets are then compared:
 every document with all that links have not joined to it yet, in blocks where a group is large. So no cap drops a link, and all
 links are those of full sets.
 
@@ -161,9 +162,37 @@ def _sizes(values: np.ndarray, key: np.ndarray, depth: int) -> tuple[np.ndarray,
     return at, np.bincount(at)[at]
 
 
+def _held(n: np.ndarray, low: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that hold the rows of a region together as all its pairs that may be similar enough would: each row that is reached is compared with those not reached yet."""
+    by = np.argsort(n, kind="stable")
+    n, low = n[by], low[by]
+    least = _least_equal(percent)
+    # Sizes that fit to each row's are neighbours in this order.
+    begin = np.searchsorted(n, -(-percent * n // 100)).tolist()
+    end = np.searchsorted(n, 100 * n // percent, side="right").tolist()
+    left, a, b = np.arange(len(n)), [], []
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            x = reached.pop()
+            lo, hi = np.searchsorted(left, (begin[x], end[x])).tolist()
+            hit = np.zeros(len(left), bool)
+            for s in range(lo, hi, 65536):
+                hit[s : min(hi, s + 65536)] = np.count_nonzero(low[left[s : min(hi, s + 65536)]] == low[x], axis=1) >= least
+            if hit.any():
+                found = left[hit]
+                left = left[~hit]
+                reached += found.tolist()
+                a.append(np.full(len(found), x))
+                b.append(found)
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return by[np.concatenate(a)], by[np.concatenate(b)]
+
+
 def candidates(trees: DataFrame, percent: int) -> DataFrame:
-    """Neighbours in the trees' orders as pairs (a, b): in small regions, of whatever depth, all that may be similar
-    enough; in larger ones each with the next, which holds the region together."""
+    """Neighbours in the trees' orders that may be similar enough, as pairs (a, b): in small regions, of whatever depth, all;
+    in larger ones as many as connect what all would. Rows that no such pairs connect stay apart, however large their region."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _regions(batches):
@@ -175,12 +204,15 @@ def candidates(trees: DataFrame, percent: int) -> DataFrame:
                 take = np.zeros(n - step, bool)
                 for at, size in depths:
                     take |= (at[:-step] == at[step:]) & (size[:-step] <= FULL)
-                if step == 1:
-                    take |= whole[:-1] == whole[1:]
                 i = i[take]
-                i = i[_near(x, i, i + step, percent) | (step == 1) & (size_of[i] > FULL)]
+                i = i[_near(x, i, i + step, percent)]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(x["rep"][i]), pa.array(x["rep"][i + step])], ["a", "b"])
+            large = np.flatnonzero(size_of > FULL)
+            for at in np.split(large, np.flatnonzero(np.diff(whole[large])) + 1) if len(large) else []:
+                i, j = _held(x["n"][at], x["low"][at], percent)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(x["rep"][at[i]]), pa.array(x["rep"][at[j]])], ["a", "b"])
 
     return trees.repartition("tree", "prefix").sortWithinPartitions("tree", "order", "rep").mapInArrow(find, "a long, b long")
 

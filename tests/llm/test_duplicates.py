@@ -94,6 +94,51 @@ def test_large_groups_lose_no_link(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(df, 3, 85).collect()} == want
 
 
+def test_texts_that_share_a_passage_are_no_group(spark, monkeypatch):
+    """Regions of many texts that have a third in common: only those that may be similar enough are sent to each other."""
+    rng = random.Random(8)
+    passage, docs = [f"p{i}" for i in range(24)], []
+    for _ in range(400):
+        words = passage + [f"w{rng.randrange(99_999)}" for _ in range(36)]
+        docs.append(words)
+        for _ in range(rng.randrange(8) // 6):
+            copy = list(words)
+            copy[rng.randrange(60)] = "x"
+            docs.append(copy)
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    find, pairs = minhash_forest.candidates, []
+
+    def found(trees, percent):
+        assert trees.groupBy("tree", "prefix").count().filter(f"count > {4 * minhash_forest.FULL}").count() > 0
+        out = find(trees, percent)
+        pairs.extend((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(minhash_forest, "candidates", found)
+    want, _ = near_groups(docs, 3, 85)
+    assert 400 <= len(set(want.values())) < len(docs)
+    got = minhash_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 3, 85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    groups = named(set(pairs), [i for i, _ in docs])
+    assert max(list(groups.values()).count(g) for g in set(groups.values())) <= 4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_held_rows_are_those_that_all_pairs_connect(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, (6, minhash_forest.VALUES), dtype=np.uint8)
+    low = base[rng.integers(0, 6, 150)]
+    change = rng.random(low.shape) < rng.choice([0.05, 0.3], (150, 1))
+    low[change] = rng.integers(0, 256, int(change.sum()))
+    n = rng.choice([1, 3, 40, 46, 50, 60], 150).astype(np.int64)
+    i, j = (x.ravel() for x in np.triu_indices(150, 1))
+    near = minhash_forest._near({"n": n, "low": low}, i, j, 85)
+    a, b = minhash_forest._held(n, low, 85)
+    assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} <= set(zip(i[near].tolist(), j[near].tolist()))
+    assert len(a) < near.sum()
+    assert named(zip(a.tolist(), b.tolist()), range(150)) == named(zip(i[near].tolist(), j[near].tolist()), range(150))
+
+
 def test_words_of_equal_hashes_are_no_duplicates(spark):
     t, u = thue_morse()
     rows = [(1, f"{t} x y {t}"), (2, f"{u} x y {u}"), (3, t), (4, u), (5, t.upper())]
