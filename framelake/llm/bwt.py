@@ -18,26 +18,39 @@ import numpy as np
 from .common import ragged
 
 
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys, where the run of equal ones that each is in begins, and which are not alone in theirs."""
+    new = np.append(True, key[1:] != key[:-1])
+    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)), ~(new & np.append(new[1:], True))
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, sorted by their first ``depth`` bytes at least; ``text`` ends in zeros beyond its end."""
+    """Starts of all suffixes, sorted by their first ``depth`` bytes at least; ``text`` ends in zeros beyond its end.
+
+    After the first sort only suffixes that still equal others are sorted again, in the rows that they have together.
+    """
     n = len(text)
-    key = np.zeros(n, np.uint64)
     padded = np.append(text, np.zeros(8, np.uint8))
-    for i in range(8):
-        key |= padded[i : i + n].astype(np.uint64) << np.uint64(56 - 8 * i)
+    key = np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), (n,), (1,), writeable=False).astype(np.uint64)
     known, most = 8, (n + 1).bit_length()
     parts = max(2, min(3, 64 // most))  # ranks that fit in a key
-    while True:
-        order = np.argsort(key)
-        if known >= depth:
-            return order
-        s = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.append(1, 1 + np.cumsum(s[1:] != s[:-1])).astype(np.uint64)
-        key = rank << np.uint64(most * (parts - 1))
+    order = np.argsort(key)
+    begin, several = _groups(key[order])
+    rank = np.zeros(n + 1, np.uint32)  # the last one is that of all places beyond the end
+    rank[order] = begin + 1
+    rows = np.flatnonzero(several)
+    while known < depth and len(rows):
+        at = order[rows]
+        key = rank[at].astype(np.uint64) << np.uint64(most * (parts - 1))
         for i in range(1, parts):
-            key[: max(0, n - i * known)] |= rank[i * known :] << np.uint64(most * (parts - 1 - i))
+            key |= rank[np.minimum(at + i * known, n)].astype(np.uint64) << np.uint64(most * (parts - 1 - i))
+        by = np.argsort(key)
+        begin, several = _groups(key[by])
+        order[rows] = at = at[by]
+        rank[at] = rows[begin] + 1
+        rows = rows[several]
         known *= parts
+    return order
 
 
 def repeats(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:

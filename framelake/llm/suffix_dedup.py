@@ -37,6 +37,8 @@ from .common import Scratch, chunks, mix, ragged
 SHORT = 16
 #: Bytes of text of a chunk, of a piece hashed at once, and of all text to a bucket.
 CHUNK, PIECE, BUCKET = 4 << 20, 1 << 20, 2 << 20
+#: Windows whose hashes are worked out at once.
+CACHED = 1 << 14
 #: Chunks whose rows of a bucket meet in one task; beyond it the bucket is split.
 MANY = 8192
 #: Tasks that deal with buckets, at most; a task goes through its buckets one by one.
@@ -93,6 +95,35 @@ def _chunked(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*columns).mapInArrow(go, "chunk long, raw long, text binary, off binary, rest binary")
 
 
+def _least_hashes(data: np.ndarray, least: int) -> np.ndarray:
+    """Of each window the least hash of its short substrings; worked out for few windows at once, so that what lies between stays in the cache."""
+    out = np.empty(max(0, len(data) - least + 1), np.uint64)
+    span, a, b = least - SHORT + 1, np.empty(CACHED + least, np.uint64), np.empty(CACHED + least, np.uint64)
+    for s in range(0, len(out), CACHED):
+        n = min(CACHED, len(out) - s) + least - 1
+        np.add(data[s : s + n], np.uint64(1), out=a[:n], dtype=np.uint64)
+        step = 1
+        while step < SHORT:
+            n -= step
+            np.multiply(a[step : step + n], np.uint64(0xC2B2AE3D27D4EB4F), out=b[:n])
+            b[:n] += np.uint64(step)
+            a[:n] *= np.uint64(0x9FB21C651E98DF25)
+            a[:n] ^= b[:n]
+            np.right_shift(a[:n], np.uint64(29), out=b[:n])
+            a[:n] ^= b[:n]
+            step *= 2
+        a[:n] = mix(a[:n])
+        step = 1
+        while 2 * step <= span:  # least of ever longer runs
+            n -= step
+            np.minimum(a[:n], a[step : step + n], out=b[:n])
+            a, b = b, a
+            step *= 2
+        n -= span - step
+        np.minimum(a[:n], a[span - step : span - step + n], out=out[s : s + n])
+    return out
+
+
 class _Chunk:
     """A chunk's bytes, offsets, ids and further columns."""
 
@@ -107,21 +138,8 @@ class _Chunk:
         """Key, document, first window and number of windows of each segment."""
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n = len(self.data)
-        span = least - SHORT + 1
         for s in range(0, max(0, n - least + 1), PIECE):
-            x = self.data[s : s + PIECE + least - 1].astype(np.uint64) + np.uint64(1)
-            step = 1
-            while step < SHORT:
-                x = (x[:-step] * np.uint64(0x9FB21C651E98DF25)) ^ (x[step:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(step))
-                x ^= x >> np.uint64(29)
-                step *= 2
-            x = mix(x)
-            step = 1
-            while 2 * step <= span:  # least of ever longer runs
-                x = np.minimum(x[:-step], x[step:])
-                step *= 2
-            if step < span:
-                x = np.minimum(x[: len(x) - (span - step)], x[span - step :])
+            x = _least_hashes(self.data[s : s + PIECE + least - 1], least)
             place = np.arange(s, s + len(x))
             doc = np.searchsorted(self.off, place[[0, -1]], side="right") - 1
             # Windows inside a document: those that begin at least ``least`` bytes before its end.

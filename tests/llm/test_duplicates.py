@@ -139,6 +139,25 @@ def test_held_rows_are_those_that_all_pairs_connect(seed):
     assert named(zip(a.tolist(), b.tolist()), range(150)) == named(zip(i[near].tolist(), j[near].tolist()), range(150))
 
 
+@pytest.mark.parametrize("alphabet, n", [(2, 3000), (200, 3000), (1, 300), (3, 1)])
+def test_suffix_order_sorts_again_only_what_is_equal(monkeypatch, alphabet, n):
+    text = np.random.default_rng(n).integers(1, alphabet + 1, n, dtype=np.uint8)
+    text[n // 2 : n // 2 + 80] = text[: len(text[n // 2 : n // 2 + 80])]
+    raw, sort, sizes = text.tobytes() + bytes(100), np.argsort, []
+
+    def counted(a, *args, **kwargs):
+        sizes.append(len(a))
+        return sort(a, *args, **kwargs)
+
+    monkeypatch.setattr(np, "argsort", counted)
+    order = bwt.suffix_order(text, 51)
+    assert sorted(order.tolist()) == list(range(n))
+    keys = [raw[i : i + 51] for i in order.tolist()]
+    assert keys == sorted(keys)
+    if alphabet == 200:
+        assert sum(sizes) < 1.2 * n
+
+
 def test_words_of_equal_hashes_are_no_duplicates(spark):
     t, u = thue_morse()
     rows = [(1, f"{t} x y {t}"), (2, f"{u} x y {u}"), (3, t), (4, u), (5, t.upper())]
