@@ -35,7 +35,8 @@ class TrieCounter:
     def __init__(self, pieces: dict[bytes, int]):
         whole = math.fsum(1 / (r + 2) for r in pieces.values())
         self.score = {p: -math.log(r + 2) - math.log(whole) for p, r in pieces.items()}
-        self.longest = max(map(len, pieces))
+        #: Of each end of a piece its score, which is below 0, or 0 if it is no piece itself.
+        self.ends = {p[i:]: 0.0 for p in pieces for i in range(len(p))} | self.score
         self.clear()
 
     def clear(self) -> None:
@@ -53,16 +54,18 @@ class TrieCounter:
 
     def insert(self, word: bytes) -> int:
         """The terminal node of a word's pre-token; only nodes that are new are scored."""
-        token, score, longest, best, child = b" " + word, self.score, self.longest, self.best, self.child
+        token, score, best, child = b" " + word, self.ends.get, self.best, self.child
         path = [0]
         for end, byte in enumerate(token, 1):
             key = path[-1] << 8 | byte
             node = child.get(key)
             if node is None:
                 top = (-math.inf, 0)
-                for begin in range(max(0, end - longest), end):
-                    s = score.get(token[begin:end])
-                    if s is not None:
+                for begin in range(end - 1, -1, -1):
+                    s = score(token[begin:end])
+                    if s is None:  # no piece ends so, and none that is longer
+                        break
+                    if s:
                         v = best[path[begin]]
                         v = (v[0] + s, v[1] - 1)
                         if v > top:

@@ -235,3 +235,31 @@ def test_trie_begins_anew(monkeypatch):
 
 def test_column_types_are_kept(spark):
     assert token_counts.token_counts(docs(spark), public_tokenizers.path("byte_bpe_50k.tiktoken")).schema["n_tokens"].dataType == T.LongType()
+
+
+def test_trie_looks_only_at_ends_of_pieces():
+    rng = random.Random(6)
+    pieces = {bytes([b]): b for b in range(256)}
+    for p in [b"ab", b"ba", b"abb", b"bab", b" a", b" ab", b"z" * 100, b"yab", b"aab"]:
+        pieces[p] = len(pieces)
+    whole = math.fsum(1 / (r + 2) for r in pieces.values())
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, key, default=None):
+            Counted.looks += 1
+            return super().get(key, default)
+
+    counter = token_counts.TrieCounter(pieces)
+    name = "ends" if hasattr(counter, "ends") else "score"
+    setattr(counter, name, Counted(getattr(counter, name)))
+    for n in (1, 2, 7, 60, 200):
+        word = bytes(rng.choice(b"abz") for _ in range(n))
+        token = b" " + word
+        best = [(0.0, 0)]
+        for end in range(1, len(token) + 1):
+            each = [(best[b], pieces.get(token[b:end])) for b in range(end)]
+            best.append(max((v[0] + (-math.log(r + 2) - math.log(whole)), v[1] - 1) for v, r in each if r is not None))
+        assert counter.counts[counter.insert(word)] == -best[-1][1]
+    assert Counted.looks < 8 * len(counter.best)
