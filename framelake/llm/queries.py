@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, minhash_forest, mixing, neighbours, packing, quality, suffix_dedup, token_counts, token_shards, toxicity
+from . import decontamination, divergence, embedding_dedup, fill_middle, minhash_forest, mixing, neighbours, packing, quality, suffix_dedup, token_counts, token_shards, toxicity
 from .common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -51,7 +51,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_packing, op6_suffix_dedup, op7_embedding_dedup, op8_quality, op9_neighbours, op10_mixing)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_output, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_packing, op6_suffix_dedup, op7_embedding_dedup, op8_quality, op9_neighbours, op10_mixing,
+    op11_fill_middle, op12_divergence, op13_decontamination,
+)}
 
 SQL = {
     "op2_minhash_dedup": r"""
@@ -113,4 +128,53 @@ picked as (
   select *, need > 0 and (upto <= need or (upto - size < need and upto - need < need - (upto - size))) as extra from needs)
 select doc_id, size, source_size, target, cast(size * (whole + case when extra then 1 else 0 end) as bigint) as taken
 from picked""",
+    "op11_fill_middle": r"""
+with drawn as (
+  select doc_id, coalesce(text, '') as t, cast(length(coalesce(text, '')) as bigint) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+cuts as (
+  select doc_id, t, n, least(cast('0x' || h[1:8] as bigint) % (n + 1), cast('0x' || h[9:16] as bigint) % (n + 1)) as a,
+         greatest(cast('0x' || h[1:8] as bigint) % (n + 1), cast('0x' || h[9:16] as bigint) % (n + 1)) as b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or cast('0x' || h[17:24] as bigint) % 100 >= 90 then 'plain'
+              when cast('0x' || h[25:32] as bigint) % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn),
+parts as (select *, substring(t, 1, a) as pre, substring(t, a + 1, b - a) as mid, substring(t, b + 1, n - b) as suf from cuts)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(t) as restored_sha256
+from parts""",
+    "op12_divergence": r"""
+with docs as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+each as (select d, lang, source, unnest(w) as term from docs),
+kept as (select lang, term, count(*) as c from each group by lang, term having count(distinct d) >= 3),
+cells as (select e.lang, e.source, e.term, count(*) as c from each e join kept k on e.lang = k.lang and e.term = k.term group by all),
+groups as (select distinct lang, source from docs),
+sizes as (select g.lang, g.source, coalesce(sum(c.c), 0)::hugeint as n from groups g left join cells c on c.lang = g.lang and c.source = g.source group by all),
+langs as (select l.lang, count(k.term)::hugeint as v, coalesce(sum(k.c), 0)::hugeint as n from (select distinct lang from groups) l left join kept k on k.lang = l.lang group by all),
+p as (select s.lang, s.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000 * (coalesce(c.c, 0) + 1)::hugeint) // (s.n + l.v) as p,
+    1 + (1000000000 * (k.c + 1)::hugeint) // (l.n + l.v) as q
+  from sizes s join langs l on s.lang = l.lang join kept k on k.lang = s.lang left join cells c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+pairs as (select g.lang, g.source, h.source as item, coalesce(x.value, 0) as value from groups g join groups h on g.lang = h.lang and g.source <> h.source
+  left join (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all) x
+  on x.lang = g.lang and x.source = g.source and x.item = h.source),
+terms as (select lang, source, term as item, (p - q) * (p - q) // q as value from p where c > 0 and p > q),
+ranked as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all select * from (select lang, source, 'term' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from terms) where rank <= 200)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked""",
+    "op13_decontamination": r"""
+with words as (
+  select row_number() over () as d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select coalesce(cast(item_id as varchar), '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+wins as (
+  select distinct item, least(len(w), 10) as k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as g
+  from (select item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from items where len(w) > 0)),
+grams as (
+  select d, i, k, array_to_string(w[i:i + k - 1], ' ') as g
+  from (select d, w, k, unnest(range(1, len(w) - k + 2)) as i from words cross join (select distinct k from wins) where len(w) >= k)),
+met as (select g.d, g.i, g.k, w.item from grams g join wins w on g.g = w.g and g.k = w.k),
+hit as (select d, count(distinct p) as n_hit from (select d, unnest(range(i, i + k)) as p from (select distinct d, i, k from met)) group by d),
+named as (select d, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct d, item from met) group by d)
+select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(n.n_items, 0) as n_items, sha256(coalesce(n.s, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from words w left join hit h on w.d = h.d left join named n on w.d = n.d""",
 }
