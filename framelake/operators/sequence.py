@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import blobs
 from ..schema import FRAMES, LARGEST_SIDE
-from ..sources.container import NO_FRAMES
+from ..sources import placed
 from . import codec
 
 
@@ -41,24 +41,19 @@ class ClipSequence:
     @classmethod
     def load(cls, spark: SparkSession, path: str, compressed: bool = True, bpp: int = 24) -> ClipSequence:
         """A container's frames, as blobs or decoded to ``bpp`` bits a pixel."""
-        rows = spark.read.format("clip").load(path)
-        first = spark.read.format("clip").option("sizes", True).load(path).select("width", "height").first()
-        if first is None:
+        first = placed.clips(spark, path, None).first()
+        if first is None or first.problem:
+            raise ValueError(first.problem if first else f"there is no {path}")
+        if not first.frames:
             raise ValueError(f"{path} has no frames")
         if bpp not in (24, 32):
             raise ValueError("no frame has these dimensions")
-        out = cls(rows, first.width, first.height, True, bpp)
+        out = cls(placed.read_clip(spark, path), first.width, first.height, True, bpp, first.frames)
         return out if compressed else out.decoded()
 
     def save(self, path: str) -> None:
         """Writes a container; a sequence without frames has none."""
-        rows = self.encoded().frames
-        try:
-            rows.write.format("clip").option("width", self.width).option("height", self.height).mode("overwrite").save(path)
-        except Exception as e:
-            if NO_FRAMES in str(e):  # found when the write is committed, so frames are encoded once
-                raise ValueError(NO_FRAMES) from e
-            raise
+        placed.write_clip(self.encoded().frames, path)
 
     def count(self) -> int:
         return self.frames.count() if self.known is None else self.known

@@ -11,8 +11,8 @@ from ..operators import classify, codec, diff, freqs, planes, predict, runs
 from ..operators.sequence import ClipSequence
 from ..schema import is_valid, max_compressed_size
 from ..session import shared_path
-from ..sources import container
-from .inputs import HEIGHT, SIZE, WIDTH, dimensions, event_pixels, sizes, solid_frames, sparse_planes, table
+from ..sources import container, placed
+from .inputs import CLIPS, HEIGHT, SIZE, SMALL_HEIGHT, SMALL_WIDTH, WIDTH, dimensions, event_pixels, sizes, small_pixels, solid_frames, sparse_planes, table
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -304,6 +304,37 @@ def compressed_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.pixels(clip.append(clip.frames).decoded().frames)
 
 
+def _small_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.compress(codec.rasters(small_pixels(spark, sf_dir), SMALL_WIDTH, SMALL_HEIGHT))
+
+
+@query
+def container_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small frames, written to one file by all tasks at planned places, and read by ranges of its index."""
+    path = shared_path(spark)
+    placed.write_clip(_small_blobs(spark, sf_dir), path)
+    return codec.pixels(codec.decompress(placed.read_clip(spark, path)))
+
+
+@query
+def container_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh frame of a file, found by joining the numbers with its index."""
+    path = shared_path(spark)
+    placed.write_clip(_small_blobs(spark, sf_dir), path)
+    wanted = table(spark, sf_dir, "events").filter("event_id % 7 = 0").select(F.col("event_id").alias("frame_idx"))  # most are out of range
+    return codec.pixels(codec.decompress(placed.read_clip(spark, path, wanted)))
+
+
+@query
+def container_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames dealt to 25 files of a folder, and the folder read as one table."""
+    folder = shared_path(spark)
+    dealt = _small_blobs(spark, sf_dir).withColumns({"clip": F.format_string("clip%02d", F.expr(f"frame_idx % {CLIPS}")), "frame_idx": F.expr(f"frame_idx div {CLIPS}")})
+    placed.write_clips(dealt, folder)
+    rows = placed.read_clips(spark, folder).withColumn("clip", F.regexp_extract("clip", r"([^/]*)\.avi$", 1))
+    return codec.pixels(codec.decompress(rows.drop("problem")), ("clip", "frame_idx"))
+
+
 @query
 def compression_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.compression_factor(sizes(spark, sf_dir).withColumn("raw", F.lit(SIZE * 3).cast("long")))

@@ -22,6 +22,19 @@ def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Smaller frames of events, so that there are many of them, and how many clips they are dealt to.
+SMALL_WIDTH, SMALL_HEIGHT, CLIPS = 4, 2, 25
+SMALL = SMALL_WIDTH * SMALL_HEIGHT
+
+
+def small_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame_idx, p, b, g, r: event i is pixel i mod 8 of frame i div 8."""
+    return table(spark, sf_dir, "events").selectExpr(
+        f"event_id div {SMALL} as frame_idx", f"event_id % {SMALL} as p",
+        "cast(floor(value) as bigint) & 255 as b", "user_id & 255 as g", "cast(floor(value * 100) as bigint) & 255 as r",
+    )
+
+
 def sparse_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One plane a frame, about four fifths zeros: the values of purchases."""
     return table(spark, sf_dir, "events").selectExpr(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 _PX = "select event_id // 1000 as frame_idx, event_id % 1000 as p, cast(floor(value) as bigint) & 255 as b, user_id & 255 as g, cast(floor(value * 100) as bigint) & 255 as r from events"
+_SMALL = "select event_id // 8 as frame_idx, event_id % 8 as p, cast(floor(value) as bigint) & 255 as b, user_id & 255 as g, cast(floor(value * 100) as bigint) & 255 as r from events"
 _PL = f"""px as ({_PX}), dc as (select frame_idx, p, (b - g) & 255 as b, g, (r - g) & 255 as r from px),
 pl as (select frame_idx, 0 as ch, p, b as v from dc union all select frame_idx, 1, p, g from dc union all select frame_idx, 2, p, r from dc)"""
 _MEDIAN = "greatest(least(l, u), least(greatest(l, u), l + u - c))"
@@ -95,6 +96,9 @@ select clip, n as frame_count, m as suggested_buffer_size, cast(least(m * 60, s)
     "container_roundtrip": _PX,
     "container_lookup": f"select * from ({_PX}) where frame_idx = 0",
     "compressed_copy": f"with px as ({_PX}) select * from px union all select frame_idx + (select max(frame_idx) + 1 from px), p, b, g, r from px",
+    "container_parallel": _SMALL,
+    "container_frames": f"select * from ({_SMALL}) where frame_idx % 7 = 0",
+    "container_folder": f"select printf('clip%02d', frame_idx % 25) as clip, frame_idx // 25 as frame_idx, p, b, g, r from ({_SMALL})",
     "compression_factor": "select cast(sum(n_chars) as bigint) as encoded_bytes, cast(count(*) * 3000 as bigint) as raw_bytes, sum(n_chars) / (count(*) * 3000) as factor from documents",
     "frame_diff": f"""with px as ({_PX}), d as (select frame_idx, case when p % 3 = 0 then abs(b - r) else 0 end as x from px)
 select frame_idx, count(*) as n_pixels, count(*) filter (x > 0) as mismatched, max(x) as max_diff, cast(sum(2 * x) as bigint) as sum_diff, cast(0 as bigint) as unmatched, count(*) filter (x > 0) * 100.0::double / count(*) as mismatch_pct from d group by frame_idx""",

@@ -1,8 +1,9 @@
 """The frame container: a video-only RIFF/AVI file with a frame index, as a data source named ``clip``, and its index and
 statistics as queries.
 
-The file is one, so a write gathers its parts in the commit: tasks write their frames beside it, and the driver
-joins the parts and adds headers and index. As the headers come first and hold sums over all frames, and readers seek, the path must
+``placed.write_clip`` and ``placed.read_clips`` write and read by all tasks at once; sequences are saved and loaded by them. The data source is for
+small clips: its write gathers its parts in the commit, where the driver joins them and adds headers and index, as a data source's tasks can't know
+their frames' places, and its reader parses the index at the driver. As the headers come first and hold sums over all frames, and readers seek, the path must
 be on a file system that driver and executors mount; object stores and Hadoop's write-once streams don't do. A file that would
 go beyond the format's 32-bit offsets is refused. For larger stores keep frames as Parquet.
 
@@ -38,7 +39,7 @@ LARGEST_FILE = (1 << 32) - 1
 NO_FRAMES = "a container has one frame at least"
 
 
-def _local(path: str) -> str:
+def local(path: str) -> str:
     u = urlparse(path)
     if u.scheme not in ("", "file"):
         raise ValueError(f"a container is on a shared file system, not {u.scheme}://")
@@ -51,12 +52,16 @@ def _asked(options: dict[str, str], name: str) -> bool:
 
 def header(width: int, height: int, sizes: list[int]) -> bytes:
     """The 224 bytes before the first frame's chunk."""
-    data = sum(8 + s + s % 2 for s in sizes)
-    largest = max(sizes, default=0)
-    rate = min(largest * FPS, sum(s + s % 2 for s in sizes))
-    total = HEADER + data + 8 + 16 * len(sizes)
-    avih = struct.pack("<14I", 1_000_000 // FPS, rate, 0, INDEXED, len(sizes), 0, 1, largest, width, height, 0, 0, 0, 0)
-    strh = struct.pack("<4s4sIHHIIIIIIIIhhhh", b"vids", CODEC, 0, 0, 0, 0, 1, FPS, 0, len(sizes), largest, 0, 0, 0, 0, width if width < 32768 else 0, height if height < 32768 else 0)
+    return headed(width, height, len(sizes), max(sizes, default=0), sum(s + s % 2 for s in sizes))
+
+
+def headed(width: int, height: int, count: int, largest: int, padded_bytes: int) -> bytes:
+    """The 224 bytes before the first of ``count`` frames, from the largest size and the sum of all, each made even."""
+    data = padded_bytes + 8 * count
+    rate = min(largest * FPS, padded_bytes)
+    total = HEADER + data + 8 + 16 * count
+    avih = struct.pack("<14I", 1_000_000 // FPS, rate, 0, INDEXED, count, 0, 1, largest, width, height, 0, 0, 0, 0)
+    strh = struct.pack("<4s4sIHHIIIIIIIIhhhh", b"vids", CODEC, 0, 0, 0, 0, 1, FPS, 0, count, largest, 0, 0, 0, 0, width if width < 32768 else 0, height if height < 32768 else 0)
     strf = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, CODEC, width * height * 3, 0, 0, 0, 0)
     parts = struct.pack("<4sI4s", b"RIFF", total - 8, b"AVI ") + struct.pack("<4sI4s", b"LIST", 192, b"hdrl")
     parts += struct.pack("<4sI", b"avih", 56) + avih + struct.pack("<4sI4s", b"LIST", 116, b"strl")
@@ -64,36 +69,75 @@ def header(width: int, height: int, sizes: list[int]) -> bytes:
     return parts + struct.pack("<4sI4s", b"LIST", 4 + data, b"movi")
 
 
+def chunk(size: int) -> bytes:
+    """The 8 bytes before a frame's payload."""
+    return struct.pack("<4sI", b"00dc", size)
+
+
+def index_head(count: int) -> bytes:
+    """The 8 bytes before the index."""
+    return struct.pack("<4sI", b"idx1", 16 * count)
+
+
+def index_entry(payload_offset: int, size: int) -> bytes:
+    """A frame's 16 bytes in the index."""
+    return struct.pack("<4sIII", b"00dc", KEY_FRAME, payload_offset - 8 - (HEADER - 4), size)
+
+
+@dataclass(frozen=True)
+class Heading:
+    """What a file's first bytes say: dimensions, number of frames, and where the index begins."""
+
+    width: int
+    height: int
+    frames: int
+    index: int
+
+
+def heading(head: bytes, end: int, path: str) -> Heading:
+    """From the first 224 bytes of a file of ``end`` bytes; raises ValueError for other files."""
+    names = {0: b"RIFF", 8: b"AVI ", 12: b"LIST", 20: b"hdrl", 24: b"avih", 88: b"LIST", 96: b"strl", 100: b"strh", 108: b"vids", 112: CODEC, 164: b"strf", 188: CODEC, 212: b"LIST", 220: b"movi"}
+    lengths = {28: 56, 104: 56, 168: 40}  # of the chunks avih, strh and strf
+    if len(head) < HEADER or any(head[at : at + 4] != name for at, name in names.items()) or any(struct.unpack_from("<I", head, at)[0] != n for at, n in lengths.items()):
+        raise ValueError(f"{path} is not a clip")
+    flags = struct.unpack_from("<I", head, 24 + 8 + 12)[0]
+    frames = struct.unpack_from("<I", head, 100 + 8 + 32)[0]
+    width, height = struct.unpack_from("<ii", head, 164 + 8 + 4)
+    if flags != INDEXED or struct.unpack_from("<H", head, 164 + 8 + 14)[0] != 24:
+        raise ValueError(f"{path} is not indexed, or not of 24 bits")
+    if not (1 <= width <= LARGEST_SIDE and 1 <= height <= LARGEST_SIDE):
+        raise ValueError(f"{path} has frames of {width} x {height}")
+    at = 220 + struct.unpack_from("<I", head, 216)[0]
+    if at + 8 + 16 * frames > end:
+        raise ValueError(f"{path} ends before its index")
+    return Heading(width, height, frames, at)
+
+
+def check_index(head: bytes, frames: int, path: str) -> None:
+    """Raises ValueError if these 8 bytes don't begin an index of so many frames."""
+    if head != index_head(frames):
+        raise ValueError(f"{path} has no index of its frames")
+
+
+def entries(raw: bytes, first: int, index: int, path: str) -> list[tuple[int, int]]:
+    """(payload offset, size) of each of the frames from ``first`` on, from their part of the index; ``index`` is where that begins."""
+    found = list(struct.iter_unpack("<4sIII", raw))
+    if first == 0 and found and found[0][2] != 4:
+        raise ValueError(f"{path} has an index from another place")
+    places = [(HEADER - 4 + offset + 8, size) for _, _, offset, size in found]
+    if any(name != b"00dc" for name, *_ in found) or any(begin + size > index for begin, size in places):
+        raise ValueError(f"{path} has an index of other chunks, or of places beyond its frames")
+    return places
+
+
 def parse(path: str) -> tuple[int, int, list[tuple[int, int]]]:
     """width, height and (payload offset, size) of each frame; raises ValueError for other files."""
     end = os.path.getsize(path)
     with open(path, "rb") as f:
-        head = f.read(HEADER)
-        names = {0: b"RIFF", 8: b"AVI ", 12: b"LIST", 20: b"hdrl", 24: b"avih", 88: b"LIST", 96: b"strl", 100: b"strh", 108: b"vids", 112: CODEC, 164: b"strf", 188: CODEC, 212: b"LIST", 220: b"movi"}
-        lengths = {28: 56, 104: 56, 168: 40}  # of the chunks avih, strh and strf
-        if len(head) < HEADER or any(head[at : at + 4] != name for at, name in names.items()) or any(struct.unpack_from("<I", head, at)[0] != n for at, n in lengths.items()):
-            raise ValueError(f"{path} is not a clip")
-        flags = struct.unpack_from("<I", head, 24 + 8 + 12)[0]
-        frames = struct.unpack_from("<I", head, 100 + 8 + 32)[0]
-        width, height = struct.unpack_from("<ii", head, 164 + 8 + 4)
-        if flags != INDEXED or struct.unpack_from("<H", head, 164 + 8 + 14)[0] != 24:
-            raise ValueError(f"{path} is not indexed, or not of 24 bits")
-        if not (1 <= width <= LARGEST_SIDE and 1 <= height <= LARGEST_SIDE):
-            raise ValueError(f"{path} has frames of {width} x {height}")
-        at = 220 + struct.unpack_from("<I", head, 216)[0]
-        if at + 8 + 16 * frames > end:
-            raise ValueError(f"{path} ends before its index")
-        f.seek(at)
-        name, size = struct.unpack("<4sI", f.read(8))
-        if name != b"idx1" or size != 16 * frames:
-            raise ValueError(f"{path} has no index of its frames")
-        index = list(struct.iter_unpack("<4sIII", f.read(size)))
-    if index and index[0][2] != 4:
-        raise ValueError(f"{path} has an index from another place")
-    places = [(220 + offset + 8, size) for _, _, offset, size in index]
-    if any(name != b"00dc" for name, *_ in index) or any(begin + size > at for begin, size in places):
-        raise ValueError(f"{path} has an index of other chunks, or of places beyond its frames")
-    return width, height, places
+        found = heading(f.read(HEADER), end, path)
+        f.seek(found.index)
+        check_index(f.read(8), found.frames, path)
+        return found.width, found.height, entries(f.read(16 * found.frames), 0, found.index, path)
 
 
 @dataclass
@@ -105,7 +149,7 @@ class Frames(InputPartition):
 
 class ClipReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
-        self.path = _local(options["path"])
+        self.path = local(options["path"])
         self.width, self.height, self.places = parse(self.path)
         self.chosen = range(len(self.places)) if options.get("frame") is None else [int(options["frame"])]  # one frame: the others are not read
         self.step = max(1, int(options.get("framesPerPartition", "64")))
@@ -135,7 +179,7 @@ class Part(WriterCommitMessage):
 
 class ClipWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
-        self.path, self.width, self.height, self.overwrite = _local(options["path"]), int(options["width"]), int(options["height"]), overwrite
+        self.path, self.width, self.height, self.overwrite = local(options["path"]), int(options["width"]), int(options["height"]), overwrite
         self.beside = f"{self.path}.parts-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[Row]) -> Part:
