@@ -19,7 +19,7 @@ def run_extra(byte: int) -> int:
 
 
 @lru_cache(maxsize=64)
-def _length_bits(n: int) -> str:
+def length_bits(n: int) -> str:
     """The number ``n`` as a sum of non-adjacent Fibonacci numbers, lowest first, ended by a second 1 in a row."""
     series = [1, 2]
     while series[-1] <= n:
@@ -33,7 +33,7 @@ def _length_bits(n: int) -> str:
 
 def _bits(x: int) -> str:
     """x >= 1: its bit length, then its bits below the leading one."""
-    return _length_bits(x.bit_length()) + bin(x)[3:]
+    return length_bits(x.bit_length()) + bin(x)[3:]
 
 
 def encode_counts(counts: np.ndarray) -> bytes:

@@ -14,10 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import coder
+from ..functions import coder, codes
 from .planes import FRAME
 
 
+#: Bits of the largest number coded, and bytes of the longest header.
+MOST_BITS, MOST_HEADER = 32, 1200
+
+
 def histogram(planes: DataFrame, value: str, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """symbol and freq for each plane; counted before the shuffle."""
     return planes.groupBy(*keys, "ch", F.col(value).cast("int").alias("symbol")).agg(F.count("*").alias("freq"))
@@ -47,19 +51,29 @@ def clamped(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """Frequencies of planes whose total is above the coder's limit, scaled down to it; others as they are.
 
     Scaled in double precision and truncated, but not to zero; the difference to the limit then goes one by one round the symbols
-    that still count more than one. A plane's at most 256 rows meet for that.
+    that still count more than one, in their order. Rounds up are a quotient and a remainder. Rounds down stop at one for each symbol, so the number
+    of full rounds is a level: by ascending counts, the first at which all symbols lose more than is to go gives it; the remainder goes to the
+    first symbols above it.
     """
-
-    def go(t: pa.Table) -> pa.Table:
-        counts = np.zeros(256, np.int64)
-        symbol = t.column("symbol").to_numpy()
-        counts[symbol] = t.column("freq").to_numpy()
-        at = t.schema.get_field_index("freq")
-        return t.set_column(at, "freq", pa.array(coder.clamped(counts)[symbol]))
-
-    kinds = dict(freqs.dtypes)
-    names = [*keys, "ch", "symbol", "freq"]
-    return freqs.select(*names).groupBy(*keys, "ch").applyInArrow(go, ", ".join(f"{c} {kinds[c]}" for c in names))
+    plane = Window.partitionBy(*keys, "ch")
+    in_turn, by_count = plane.orderBy("symbol"), plane.orderBy("_over", "symbol")
+    t = freqs.select(*keys, "ch", "symbol", F.col("freq").cast("long").alias("freq")).withColumn("_n", F.sum("freq").over(plane))
+    large = F.col("_n") > coder.MOST
+    scaled = F.floor(F.col("freq") * (F.lit(float(coder.MOST)) / F.col("_n").cast("double"))).cast("long")
+    t = t.withColumn("_f", F.when(large, F.greatest(F.least("freq", F.lit(1).cast("long")), scaled)).otherwise(F.col("freq")))
+    t = t.withColumns({"_left": F.when(large, F.lit(coder.MOST) - F.sum("_f").over(plane)).otherwise(F.lit(0)).cast("long"), "_over": F.greatest(F.col("_f") - 1, F.lit(0).cast("long"))})
+    t = t.withColumns({
+        "_some": F.count_if(F.col("_over") > 0).over(plane), "_turn": F.count_if(F.col("_over") > 0).over(in_turn),
+        "_less": F.sum("_over").over(by_count) - F.col("_over"), "_from": F.count("*").over(plane) - F.row_number().over(by_count) + 1,
+    })
+    # _from: symbols with at least this one's count; _less: what those with smaller ones can lose.
+    full = F.when(F.col("_less") + F.col("_over") * F.col("_from") > -F.col("_left"), F.struct(-F.col("_from"), F.expr("(-_left - _less) div _from").alias("rounds")))
+    t = t.withColumn("_rounds", F.coalesce(F.min(full).over(plane)["rounds"], F.lit(0).cast("long")))
+    t = t.withColumns({"_rest": -F.col("_left") - F.sum(F.least("_over", "_rounds")).over(plane), "_last": F.count_if(F.col("_over") > F.col("_rounds")).over(in_turn)})
+    up = F.expr("_left div _some + if(_turn <= _left % _some, 1, 0)")
+    down = F.least("_over", "_rounds") + F.when((F.col("_over") > F.col("_rounds")) & (F.col("_last") <= F.col("_rest")), 1).otherwise(0)
+    moved = F.when((F.col("_left") > 0) & (F.col("_over") > 0), up).when(F.col("_left") < 0, -down).otherwise(0)
+    return t.select(*keys, "ch", "symbol", (F.col("_f") + moved).cast("long").alias("freq"))
 
 
 def rescaled(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
@@ -101,6 +115,51 @@ def code_bits(x: Column) -> Column:
     return z + n - 1
 
 
+def _code(x: Column) -> Column:
+    """The code of a number x >= 1 as text of 0 and 1: its bit length, then its bits below the leading one."""
+    lengths = F.array(*[F.lit(codes.length_bits(n)) for n in range(1, MOST_BITS + 1)])
+    return F.concat(F.element_at(lengths, F.length(F.bin(x))), F.substring(F.bin(x), F.lit(2), F.lit(MOST_BITS)))
+
+
+def headers(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """The header of each plane's frequencies, as bytes: every count that is not 0, and, for each run of zeros between them, a count
+    of 0 and the run's length. Runs are the gaps between the symbols that occur; a plane's at most 256 pieces are joined in their order."""
+    w = Window.partitionBy(*keys, "ch").orderBy("symbol")
+    gap = lambda n: F.when(n > 0, F.concat(_code(F.lit(1)), _code(n))).otherwise("")
+    some = freqs.filter("freq > 0").withColumns({"_before": F.lag("symbol").over(w), "_after": F.coalesce(F.lead("symbol").over(w), F.lit(256)) - F.col("symbol") - 1})
+    piece = F.concat(F.when(F.col("_before").isNull(), gap(F.col("symbol"))).otherwise(""), _code(F.col("freq") + 1), gap(F.col("_after")))
+    one = some.withColumn("_s", F.struct("symbol", piece.alias("bits"))).groupBy(*keys, "ch").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    bits = F.array_join(F.transform("_s", lambda x: x["bits"]), "")
+    rows = one.select(*keys, "ch", bits.alias("_bits")).withColumn("_n", F.expr("(length(_bits) + 7) div 8"))
+    digits = F.expr("transform(sequence(0, cast(_n as int) - 1), i -> lpad(conv(rpad(substring(_bits, 8 * i + 1, 8), 8, '0'), 2, 16), 2, '0'))")
+    return rows.select(*keys, "ch", F.unhex(F.array_join(digits, "")).alias("values"))
+
+
+def header_counts(rows: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """What the headers at the beginning of ``values`` say: symbols and counts (arrays, without those that are 0), and used, the header's bytes.
+
+    A fold over at most 384 codes, each of which begins where the one before ends. Null symbols, counts and used if a header is damaged."""
+    digits = F.expr(f"transform(sequence(0, greatest(least(length(values), {MOST_HEADER}), 1) - 1), i -> lpad(conv(hex(substring(values, i + 1, 1)), 16, 2), 8, '0'))")
+    lengths = F.create_map(*[F.lit(x) for n in range(1, MOST_BITS + 1) for x in (codes.length_bits(n), n)])
+    t = rows.withColumns({"_bits": F.array_join(digits, ""), "_lengths": lengths})
+    # at: the next code's first bit; gap: whether it is the length of a run of zeros; each code is (its end, its number).
+    step = """transform(transform(array(locate('11', _bits, s.at)),
+        e -> named_struct('e', e, 'n', if(e > 0, try_element_at(_lengths, substring(_bits, s.at, e - s.at + 2)), null))),
+        c -> named_struct('at', c.e + 1 + c.n, 'x', cast(conv(concat('1', substring(_bits, c.e + 2, c.n - 1)), 2, 10) as bigint)))"""
+    fold = f"""aggregate(sequence(1, 384),
+        named_struct('at', 1, 'symbol', 0, 'gap', false, 'symbols', cast(array() as array<int>), 'counts', cast(array() as array<bigint>)),
+        (s, _) -> if(s.symbol >= 256 or s.at is null, s, transform({step}, c -> named_struct(
+          'at', cast(c.at as int),
+          'symbol', cast(s.symbol + if(s.gap, c.x, if(c.x = 1, 0, 1)) as int),
+          'gap', not s.gap and c.x = 1,
+          'symbols', if(s.gap or c.x = 1, s.symbols, concat(s.symbols, array(s.symbol))),
+          'counts', if(s.gap or c.x = 1, s.counts, concat(s.counts, array(c.x - 1)))))[0]))"""
+    t = t.withColumn("_read", F.expr(fold))
+    sound = (F.col("_read.symbol") == 256) & F.col("_read.at").isNotNull() & ((F.col("_read.at") + 6) / 8 <= F.length("values"))
+    others = [c for c in rows.columns if c not in (*keys, "ch", "values")]
+    return t.select(*keys, "ch", *others, *[F.when(sound, c).alias(n) for c, n in ((F.col("_read.symbols"), "symbols"), (F.col("_read.counts"), "counts"), (F.expr("cast((_read.at + 6) div 8 as int)"), "used"))], "values")
+
+
 def header_bits(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """The size of each plane's frequency header: every count, and after the first zero of a run the run's length."""
     w = Window.partitionBy(*keys, "ch").orderBy("symbol")

@@ -8,14 +8,9 @@ further columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blobs import restored
 from .planes import FRAME, decorrelated, exploded, packed
 
 
@@ -63,23 +58,36 @@ def residuals_mixed(planes: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFra
     return rows.select(*keys, "ch", F.col("p").cast("long").alias("p"), (F.col("v") - guess).bitwiseAND(255).alias("d"))
 
 
+#: Values that a fold puts together before it adds them to its row: no array grows by one for each value of a row or plane.
+STEPS = 32
+_RESTORED = f"""aggregate(sequence(0, greatest((size(_d) - 1) div width, 0)),
+  named_struct('up', cast(null as array<int>), 'c', 0, 'out', cast(array() as array<array<int>>)),
+  (row, y) -> transform(array(flatten(aggregate(sequence(0, (least(width, size(_d) - y * width) - 1) div {STEPS}),
+      named_struct('l', if(y = 0, 0, row.up[width - 1]), 'out', cast(array() as array<array<int>>)),
+      (part, k) -> transform(array(aggregate(slice(_d, y * width + k * {STEPS} + 1, least({STEPS}, least(width, size(_d) - y * width) - k * {STEPS})),
+          named_struct('l', part.l, 'x', k * {STEPS}, 'out', cast(array() as array<int>)),
+          (s, d) -> transform(array((d + if(row.up is null, s.l, if(s.x = 0 and y = 1, row.up[0],
+              transform(array(named_struct('u', row.up[s.x], 'c', if(s.x > 0, row.up[s.x - 1], row.c))),
+                n -> greatest(least(s.l, n.u), least(greatest(s.l, n.u), s.l + n.u - n.c)))[0]))) & 255),
+            v -> named_struct('l', v, 'x', s.x + 1, 'out', concat(s.out, array(v))))[0])),
+        b -> named_struct('l', b.l, 'out', concat(part.out, array(b.out))))[0],
+      part -> part.out))),
+    v -> named_struct('up', v, 'c', if(y = 0, 0, row.up[width - 1]), 'out', concat(row.out, array(v))))[0],
+  row -> flatten(row.out))"""
+
+
+def restore_packed(rows: DataFrame) -> DataFrame:
+    """Packed residuals (.., values, width) as packed planes: a fold over a plane's rows, whose state is the row above, and within it over
+    the row's values, whose state is the value to the left."""
+    names = [c for c in rows.columns if c != "values"]
+    some = rows.select(*names, F.col("values").cast("array<int>").alias("_d"))
+    out = F.when(F.size("_d") == 0, F.array().cast("array<int>")).otherwise(F.expr(_RESTORED))
+    return some.select(*names, out.alias("values"))
+
+
 def restore(resid: DataFrame, width: int, keys: tuple[str, ...] = FRAME) -> DataFrame:
-    """Planes from residuals. Each value needs the one before it, so whole planes go to Arrow; those of one batch run side by side."""
-    rows = packed(resid, "d", keys)
-    kind = rows.schema
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("values")
-            size = lists.value_lengths().to_numpy()
-            for n in np.unique(size):
-                some = b.filter(pa.array(size == n))
-                d = some.column("values").flatten().to_numpy().reshape(-1, n)
-                v = pa.array(restored(d, width).astype(np.int32).ravel())
-                off = pa.array(np.arange(0, n * (len(d) + 1), n, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.ListArray.from_arrays(off, v)], b.schema.names)
-
-    return exploded(rows.mapInArrow(go, kind), "v", keys)
+    """Planes from residuals, by built-in functions. Each value needs the one before it, so a plane is one row's work."""
+    return exploded(restore_packed(packed(resid, "d", keys).withColumn("width", F.lit(width))), "v", keys)
 
 
 def restore_first_row(resid: DataFrame, width: int, keys: tuple[str, ...] = FRAME) -> DataFrame:
