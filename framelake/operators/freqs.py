@@ -122,17 +122,16 @@ def _code(x: Column) -> Column:
 
 
 def headers(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
-    """The header of each plane's frequencies, as bytes: every count that is not 0, and, for each run of zeros between them, a count
+    """The header of each plane's frequencies, as bytes in ``values``, beside its symbols and counts: every count that is not 0, and, for each run of zeros between them, a count
     of 0 and the run's length. Runs are the gaps between the symbols that occur; a plane's at most 256 pieces are joined in their order."""
     w = Window.partitionBy(*keys, "ch").orderBy("symbol")
     gap = lambda n: F.when(n > 0, F.concat(_code(F.lit(1)), _code(n))).otherwise("")
     some = freqs.filter("freq > 0").withColumns({"_before": F.lag("symbol").over(w), "_after": F.coalesce(F.lead("symbol").over(w), F.lit(256)) - F.col("symbol") - 1})
     piece = F.concat(F.when(F.col("_before").isNull(), gap(F.col("symbol"))).otherwise(""), _code(F.col("freq") + 1), gap(F.col("_after")))
-    one = some.withColumn("_s", F.struct("symbol", piece.alias("bits"))).groupBy(*keys, "ch").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
-    bits = F.array_join(F.transform("_s", lambda x: x["bits"]), "")
-    rows = one.select(*keys, "ch", bits.alias("_bits")).withColumn("_n", F.expr("(length(_bits) + 7) div 8"))
+    one = some.withColumn("_s", F.struct("symbol", "freq", piece.alias("bits"))).groupBy(*keys, "ch").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    rows = one.select(*keys, "ch", F.col("_s.symbol").alias("symbols"), F.col("_s.freq").alias("counts"), F.array_join("_s.bits", "").alias("_bits")).withColumn("_n", F.expr("(length(_bits) + 7) div 8"))
     digits = F.expr("transform(sequence(0, cast(_n as int) - 1), i -> lpad(conv(rpad(substring(_bits, 8 * i + 1, 8), 8, '0'), 2, 16), 2, '0'))")
-    return rows.select(*keys, "ch", F.unhex(F.array_join(digits, "")).alias("values"))
+    return rows.select(*keys, "ch", "symbols", "counts", F.unhex(F.array_join(digits, "")).alias("values"))
 
 
 def header_counts(rows: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
@@ -155,9 +154,10 @@ def header_counts(rows: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
           'symbols', if(s.gap or c.x = 1, s.symbols, concat(s.symbols, array(s.symbol))),
           'counts', if(s.gap or c.x = 1, s.counts, concat(s.counts, array(c.x - 1)))))[0]))"""
     t = t.withColumn("_read", F.expr(fold))
-    sound = (F.col("_read.symbol") == 256) & F.col("_read.at").isNotNull() & ((F.col("_read.at") + 6) / 8 <= F.length("values"))
+    used = F.expr("cast((_read.at + 6) div 8 as int)")
+    sound = (F.col("_read.symbol") == 256) & (used <= F.length("values"))
     others = [c for c in rows.columns if c not in (*keys, "ch", "values")]
-    return t.select(*keys, "ch", *others, *[F.when(sound, c).alias(n) for c, n in ((F.col("_read.symbols"), "symbols"), (F.col("_read.counts"), "counts"), (F.expr("cast((_read.at + 6) div 8 as int)"), "used"))], "values")
+    return t.select(*keys, "ch", *others, *[F.when(sound, c).alias(n) for c, n in ((F.col("_read.symbols"), "symbols"), (F.col("_read.counts"), "counts"), (used, "used"))], "values")
 
 
 def header_bits(freqs: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blobs, coder
+from ..session import cut
 from . import classify, freqs, predict, runs
 from .planes import FRAME, merge, packed
 
@@ -76,14 +77,10 @@ def checked(pixels: DataFrame, size: int, keys: tuple[str, ...] = FRAME) -> Data
     return rows.select(*keys, "p", b.alias("b"), "g", "r")
 
 
-def entropy_coded(lists: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
-    """``runs.token_lists`` with a level, and their body, header and coded bytes at that level."""
-    counts = freqs.clamped(runs.encoded_counts(lists, keys), keys)
-    tables = counts.groupBy(*keys, "ch").agg(F.array_sort(F.collect_list(F.struct("symbol", "freq"))).alias("_t"))
-    tables = tables.join(freqs.headers(counts, keys).withColumnRenamed("values", "header"), [*keys, "ch"])
-    rows = runs.encoded(lists).drop("tokens", "len1", "len3", "tail").join(tables, [*keys, "ch"])
-    rows = rows.withColumns({"symbols": F.transform("_t", lambda x: x["symbol"].cast("int")), "counts": F.transform("_t", lambda x: x["freq"])}).drop("_t")
-    return _mapped(rows, "coded", "binary", lambda r: coder.encode(r["body"], _table(r))).drop("symbols", "counts")
+def entropy_coded(bodies: DataFrame, counts: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """Bodies (.., ch, body) with their header and coded bytes; ``counts`` are the frequencies of their bytes."""
+    tables = freqs.headers(counts, keys).withColumnRenamed("values", "header")
+    return _mapped(bodies.join(tables, [*keys, "ch"]), "coded", "binary", lambda r: coder.encode(r["body"], _table(r))).drop("symbols", "counts")
 
 
 def entropy_decoded(rows: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
@@ -92,12 +89,16 @@ def entropy_decoded(rows: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame
     return _mapped(read, "body", "binary", lambda r: None if not r["symbols"] else coder.decode(r["values"], _table(r), r["length"])).drop("symbols", "counts", "used", "values")
 
 
-def channels(planes: DataFrame, keys: tuple[str, ...] = FRAME, value: str = "v") -> DataFrame:
-    """A blob for each plane, and its length: the smallest of its representations, as the rule on levels picks them."""
-    level = F.expr(runs.LEVEL)
-    lists = runs.token_lists(planes, keys, value).withColumn("level", level)
+def channels(planes: DataFrame, keys: tuple[str, ...] = FRAME, value: str = "v", most: int | None = None) -> DataFrame:
+    """A blob for each plane, and its length: the smallest of its representations, as the rule on levels picks them. ``most``: the largest
+    plane's size, if it is known; up to the coder's limit, no frequencies are clamped."""
+    lists = cut(runs.encoded(runs.token_lists(planes, keys, value).withColumn("level", F.expr(runs.LEVEL))))
     solid = lists.filter("level = -1").select(*keys, "ch", "length", F.concat(F.unhex(F.lit("FF")), _bytes(F.col("tokens")[0]["v"], 1)).alias("blob"))
-    rows = entropy_coded(lists.filter("level >= 0"), keys)
+    some = lists.filter("level >= 0")
+    counts = runs.encoded_counts(some, keys)
+    if most is None or most > coder.MOST:
+        counts = freqs.clamped(counts, keys)
+    rows = entropy_coded(some.select(*keys, "ch", "length", "level", "body"), counts, keys)
     whole = F.concat(_bytes(F.col("level"), 1), _bytes(F.length("body"), 4), "header", "coded")
     blob = F.when(F.col("level") == 0, F.concat(_bytes(F.lit(0), 1), "header", "coded")).when(F.length("body") >= F.length(whole), whole).otherwise(F.concat(_bytes(F.col("level") + 4, 1), "body"))
     return rows.select(*keys, "ch", "length", blob.alias("blob")).unionByName(solid)
@@ -106,9 +107,9 @@ def channels(planes: DataFrame, keys: tuple[str, ...] = FRAME, value: str = "v")
 def encode(pixels: DataFrame, width: int, height: int, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """Frames (.., width, height, size, payload) of pixels; an X is not kept."""
     px = checked(pixels, width * height, keys)
-    kinds = classify.solid_class(px, keys)
+    kinds = cut(classify.solid_class(px, keys))
     general = px.join(kinds.filter("kind = 'general'").select(*keys), list(keys), "left_semi")
-    parts = channels(predict.pixel_residuals(general, width, keys), keys, "d")
+    parts = channels(predict.pixel_residuals(general, width, keys), keys, "d", width * height)
     of = lambda ch: F.max(F.when(F.col("ch") == ch, F.col("blob")))
     whole = parts.groupBy(*keys).agg(of(0).alias("_b"), of(1).alias("_g"), of(2).alias("_r"))
     at = F.lit(9) + F.length("_b")
@@ -155,9 +156,9 @@ def decode(frames: DataFrame, keys: tuple[str, ...] = FRAME, strict: bool = True
     solid = flat.filter(~broken_flat).select(*keys, F.explode(F.expr("sequence(0L, _area - 1)")).alias("p"), "b", "g", "r")
     general = rows.filter(~is_solid & (F.col("_kind") == blobs.GENERAL)).withColumns({"_g": _number("payload", 2), "_r": _number("payload", 6)})
     fits = F.coalesce((F.col("_g") > 9) & (F.col("_r") > F.col("_g")) & (F.col("_r") < F.length("payload")), F.lit(False))
-    cut = F.expr("array(substring(payload, 10, cast(_g as int) - 9), substring(payload, cast(_g as int) + 1, cast(_r - _g as int)), substring(payload, cast(_r as int) + 1))")
-    parts = general.filter(fits).select(*keys, "width", area.alias("length"), F.posexplode(cut).alias("ch", "blob"))
-    found = channel_planes(parts.select(*keys, "ch", "blob", "length"), keys)
+    pieces = F.expr("array(substring(payload, 10, cast(_g as int) - 9), substring(payload, cast(_g as int) + 1, cast(_r - _g as int)), substring(payload, cast(_r as int) + 1))")
+    parts = general.filter(fits).select(*keys, "width", area.alias("length"), F.posexplode(pieces).alias("ch", "blob"))
+    found = cut(channel_planes(parts.select(*keys, "ch", "blob", "length"), keys))
     bad = found.groupBy(*keys).agg(F.min("problem").alias("problem")).filter("problem is not null")
     named = found.join(general.select(*keys, "width"), list(keys))
     sound = named.join(bad.select(*keys), list(keys), "left_anti").select(*keys, "ch", "width", "values")

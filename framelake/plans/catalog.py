@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify, codec, diff, freqs, planes, predict, runs
+from ..operators import classify, codec, diff, freqs, planes, predict, runs, staged
 from ..operators.sequence import ClipSequence
 from ..schema import is_valid, max_compressed_size
 from ..session import shared_path
@@ -132,13 +132,25 @@ def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequencies(spark, sf_dir)
 
 
-@query
-def freq_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of the documents of each language, as one plane."""
     docs = table(spark, sf_dir, "documents")
     by_doc = freqs.byte_histogram(docs, "doc_id", "text")
-    rows = by_doc.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "symbol").agg(F.sum("freq").alias("freq"))
-    return freqs.clamped(rows.withColumn("ch", F.lit(0)), ("lang",))
+    return by_doc.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", F.lit(0).alias("ch"), "symbol").agg(F.sum("freq").alias("freq"))
+
+
+@query
+def freq_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freqs.clamped(_by_language(spark, sf_dir), ("lang",))
+
+
+@query
+def freq_clamp_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same a thousandfold, and each of the 256 symbols once: so many counts are raised to one that others have to go down."""
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    once = langs.select("lang", F.lit(0).alias("ch"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("symbol"), F.lit(1).cast("long").alias("freq"))
+    many = _by_language(spark, sf_dir).withColumn("freq", F.col("freq") * 1000)
+    return freqs.clamped(many.unionByName(once).groupBy("lang", "ch", "symbol").agg(F.sum("freq").alias("freq")), ("lang",))
 
 
 @query
@@ -158,7 +170,8 @@ def header_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def header_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec.header_counts(codec.headers(_frequencies(spark, sf_dir)))
+    read = freqs.header_counts(freqs.headers(_frequencies(spark, sf_dir)).select("frame_idx", "ch", "values"))
+    return read.select("frame_idx", "ch", F.explode(F.arrays_zip("symbols", "counts")).alias("x")).select("frame_idx", "ch", F.col("x.symbols").alias("symbol"), F.col("x.counts").alias("freq"))
 
 
 @query
@@ -178,19 +191,22 @@ def rle_level_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = planes.packed(sparse_planes(spark, sf_dir)).withColumn("level", F.explode(F.array(F.lit(1), F.lit(3))))
-    return planes.exploded(codec.run_decoded(codec.run_encoded(both)), "v", ("frame_idx", "level"))
+    both = runs.token_lists(sparse_planes(spark, sf_dir)).withColumn("level", F.explode(F.array(F.lit(1), F.lit(3))))
+    coded = runs.encoded(both).withColumn("of", F.col("level"))
+    return runs.decoded(coded, ("frame_idx", "of")).withColumnRenamed("of", "level")
 
 
 @query
 def range_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = codec.range_coded(planes.packed(_residuals(spark, sf_dir), "d"))
-    return planes.exploded(codec.range_decoded(coded), "d")
+    bodies = runs.encoded(runs.token_lists(_residuals(spark, sf_dir), value="d").withColumn("level", F.lit(0))).select("frame_idx", "ch", "length", "body")
+    coded = staged.entropy_coded(bodies, freqs.clamped(_frequencies(spark, sf_dir)))
+    back = staged.entropy_decoded(coded.select("frame_idx", "ch", "length", F.concat("header", "coded").alias("values")))
+    return planes.exploded(back.withColumn("values", runs.byte_values("body")), "d")
 
 
 @query
 def channel_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planes.exploded(codec.uncompacted(codec.compacted(planes.packed(sparse_planes(spark, sf_dir)))))
+    return planes.exploded(staged.channel_planes(staged.channels(sparse_planes(spark, sf_dir))))
 
 
 @query
@@ -208,21 +224,36 @@ def solid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def solid_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of one colour through the codec, with the kinds of their blobs."""
-    rows = codec.rasters(classify.solid_fill(solid_frames(spark, sf_dir), 16), 4, 4)
-    kinds = codec.kinds(codec.compress(rows))
-    return codec.pixels(codec.decompress(kinds), ("frame_idx", "kind"))
+    coded = staged.encode(classify.solid_fill(solid_frames(spark, sf_dir), 16), 4, 4)
+    return staged.decode(codec.kinds(coded), ("frame_idx", "kind"))
 
 
 @query
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec.pixels(codec.decompress(codec.compress(_frames(spark, sf_dir))))
+    return staged.decode(staged.encode(event_pixels(spark, sf_dir), WIDTH, HEIGHT))
 
 
 @query
 def codec_roundtrip_rgbx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rasters of 32 bits; X is any byte before, 255 after."""
     px = event_pixels(spark, sf_dir).withColumn("x", F.col("p") % 256)
-    return codec.pixels(codec.decompress(codec.compress(codec.rasters(px, WIDTH, HEIGHT)), bpp=32), bpp=32)
+    return staged.decode(staged.encode(px, WIDTH, HEIGHT), bpp=32)
+
+
+@query
+def codec_whole_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by whole frames in Arrow batches, as for streams."""
+    return codec.pixels(codec.decompress(codec.compress(_frames(spark, sf_dir))))
+
+
+@query
+def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each blob: 0 sound, 1 of another type, 2 with a channel beyond its end, 3 with an empty first channel, 4 cut short."""
+    zeros = "unhex(repeat('00', length(payload) - 9))"
+    kinds = ["payload", "concat(unhex('4D'), substring(payload, 2))", "concat(substring(payload, 1, 1), unhex('FFFFFF7F'), substring(payload, 6))", f"concat(substring(payload, 1, 9), {zeros})", "substring(payload, 1, 12)"]
+    copies = _blobs(spark, sf_dir).select("frame_idx", "width", "height", F.posexplode(F.expr(f"array({', '.join(kinds)})")).alias("copy", "payload"))
+    found = staged.decode(copies, ("frame_idx", "copy"), strict=False)
+    return found.select("frame_idx", F.col("copy").cast("long").alias("copy"), "p", "b", "g", "r", F.col("problem").isNotNull().alias("damaged"))
 
 
 @query

@@ -34,6 +34,19 @@ _SOLID = """select cast(n_nationkey as bigint) as frame_idx, cast(n_regionkey as
 _FILL = f"select frame_idx, b, g, r, p from ({_SOLID}) cross join (select unnest(range(16)) as p)"
 _GREY = "b = g and g = r"
 
+_BYTES = """b as (select lang, unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents),
+counted as (select lang, cast('0x' || h as integer) as symbol, count(*) as freq from b group by all)"""
+_CLAMPED = """n as (select *, sum(freq) over (partition by lang) as n from fq),
+f as (select *, case when n <= 524288 then freq else greatest(1, cast(floor(freq * (524288 / cast(n as double))) as bigint)) end as f from n),
+k as (select *, case when n > 524288 then 524288 - sum(f) over (partition by lang) else 0 end as rest, count(*) filter (f > 1) over (partition by lang) as m,
+  count(*) filter (f > 1) over (partition by lang order by symbol) as j, f - 1 as e from f),
+o as (select *, coalesce(sum(e) over (partition by lang order by e, symbol rows between unbounded preceding and 1 preceding), 0) as less,
+  count(*) over (partition by lang order by e, symbol rows between current row and unbounded following) as here from k),
+q as (select *, coalesce((select arg_max((-x.rest - x.less) // x.here, x.here) from o x where x.lang is not distinct from o.lang and x.rest < 0 and x.less + x.e * x.here > -x.rest), 0) as level from o),
+t as (select *, -rest - sum(least(e, level)) over (partition by lang) as left_over, count(*) filter (e > level) over (partition by lang order by symbol) as turn from q)
+select lang, cast(0 as integer) as ch, symbol, cast(f + case when f > 1 and rest > 0 then rest // m + case when j <= rest % m then 1 else 0 end
+  when rest < 0 then -least(e, level) - case when e > level and turn <= left_over then 1 else 0 end else 0 end as bigint) as freq from t"""
+
 SQL: dict[str, str] = {
     "frame_catalog": f"select frame_idx, cast(50 as bigint) as width, cast(20 as bigint) as height, count(*) as n_pixels from ({_PX}) group by frame_idx",
     "frame_lookup": f"select * from ({_PX}) where frame_idx = 0",
@@ -54,13 +67,9 @@ select frame_idx, ch, p, (v - (case when p = 0 then 0 when p < w then l when p =
     "restore_first_row": f"with {_PL} select * from pl where p < 50",
     "byte_histogram": "select doc_id, cast('0x' || h as integer) as symbol, count(*) as freq from (select doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents) group by all",
     "residual_histogram": f"with {_FQ} select * from fq",
-    "freq_clamp": """with b as (select lang, unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents),
-fq as (select lang, cast('0x' || h as integer) as symbol, count(*) as freq from b group by all),
-n as (select *, sum(freq) over (partition by lang) as n from fq),
-f as (select *, case when n <= 524288 then freq else greatest(1, cast(floor(freq * (524288 / cast(n as double))) as bigint)) end as f from n),
-k as (select *, case when n > 524288 then 524288 - sum(f) over (partition by lang) else 0 end as rest, count(*) filter (f > 1) over (partition by lang) as m,
-  count(*) filter (f > 1) over (partition by lang order by symbol) as j from f)
-select lang, cast(0 as integer) as ch, symbol, cast(f + case when f > 1 and rest > 0 then rest // m + case when j <= rest % m then 1 else 0 end else 0 end as bigint) as freq from k""",
+    "freq_clamp": f"with {_BYTES}, fq as (select * from counted), {_CLAMPED}",
+    "freq_clamp_rare": f"""with {_BYTES}, fq as (select l.lang, s.symbol, cast(coalesce(c.freq, 0) * 1000 + 1 as bigint) as freq
+  from (select distinct lang from documents) l cross join (select cast(unnest(range(256)) as integer) as symbol) s left join counted c on c.lang is not distinct from l.lang and c.symbol = s.symbol), {_CLAMPED}""",
     "freq_rescale": f"with {_RS} select * from rs",
     "freq_cumulative": f"with {_RS}, dn as ({_DENSE.format('rs')}) select frame_idx, ch, symbol, freq, cast(coalesce(sum(freq) over (partition by frame_idx, ch order by symbol rows between unbounded preceding and 1 preceding), 0) as bigint) as cum from dn",
     "header_bits": f"""with {_FQ}, dn as ({_DENSE.format('fq')}), z as (select frame_idx, ch, symbol - row_number() over (partition by frame_idx, ch order by symbol) as i from dn where freq = 0),
@@ -82,6 +91,9 @@ select frame_idx, case when solid and {_GREY} then 'grey' when solid then 'colou
     "solid_roundtrip": f"select frame_idx, case when {_GREY} then 'grey' else 'colour' end as kind, p, b, g, r from ({_FILL})",
     "codec_roundtrip": _PX,
     "codec_roundtrip_rgbx": f"select *, cast(255 as bigint) as x from ({_PX})",
+    "codec_whole_frames": _PX,
+    "damaged_frames": f"""select frame_idx, cast(0 as bigint) as copy, p, b, g, r, false as damaged from ({_PX})
+union all select frame_idx, copy, null, null, null, null, true from (select distinct frame_idx from ({_PX})) cross join (select unnest(range(1, 5)) as copy)""",
     "append_modes": f"""with px as ({_PX}), n as (select coalesce(max(frame_idx) + 1, 0) as n from px)
 select cast(m.mode as bigint) as mode, px.frame_idx + k.k * n.n as frame_idx, p, b, g, r, cast(case when m.mode <> 32 then null when k.k = 1 then 7 else 255 end as bigint) as x
 from px cross join n cross join (select unnest([0, 24, 32]) as mode) m cross join (select unnest([0, 1, 2]) as k) k""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +30,10 @@ def shared_path(spark: SparkSession) -> str:
     fs.mkdirs(at.getParent())
     fs.deleteOnExit(at)
     return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read back, so that what uses it several times works it out once, whatever executors are lost."""
+    path = shared_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
