@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import blobs, coder
 from ..session import cut
 from . import classify, freqs, predict, runs
-from .planes import FRAME, merge, packed
+from .planes import FRAME, exploded, merge, packed
 
 CODED = (ValueError, IndexError, OverflowError, ZeroDivisionError)
 
@@ -68,6 +68,11 @@ def _table(row: dict) -> np.ndarray:
     return counts
 
 
+def _dealt(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows dealt by (frame, channel) to as many tasks as shuffles have: few bytes are much work, so they are not to be put together by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "ch")
+
+
 def checked(pixels: DataFrame, size: int, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """The pixels; fails if a frame does not have each of its ``size`` pixels once, with all channels, as all later ones would move."""
     w = Window.partitionBy(*keys)
@@ -80,12 +85,12 @@ def checked(pixels: DataFrame, size: int, keys: tuple[str, ...] = FRAME) -> Data
 def entropy_coded(bodies: DataFrame, counts: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """Bodies (.., ch, body) with their header and coded bytes; ``counts`` are the frequencies of their bytes."""
     tables = freqs.headers(counts, keys).withColumnRenamed("values", "header")
-    return _mapped(bodies.join(tables, [*keys, "ch"]), "coded", "binary", lambda r: coder.encode(r["body"], _table(r))).drop("symbols", "counts")
+    return _mapped(_dealt(bodies.join(tables, [*keys, "ch"]), keys), "coded", "binary", lambda r: coder.encode(r["body"], _table(r))).drop("symbols", "counts")
 
 
 def entropy_decoded(rows: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """``values`` (a header and coded bytes) and ``length``: the bytes they stand for in ``body``, null if they are damaged."""
-    read = freqs.header_counts(rows, keys).withColumn("values", F.expr("substring(values, used + 1)"))
+    read = freqs.header_counts(_dealt(rows, keys), keys).withColumn("values", F.expr("substring(values, used + 1)"))
     return _mapped(read, "body", "binary", lambda r: None if not r["symbols"] else coder.decode(r["values"], _table(r), r["length"])).drop("symbols", "counts", "used", "values")
 
 
@@ -117,7 +122,7 @@ def encode(pixels: DataFrame, width: int, height: int, keys: tuple[str, ...] = F
     grey = F.concat(_bytes(F.lit(blobs.GREY), 1), _bytes(F.col("b"), 1))
     colour = F.concat(_bytes(F.lit(blobs.COLOUR), 1), *[_bytes(F.col(c), 1) for c in "bgr"])
     solid = kinds.filter("kind <> 'general'").select(*keys, F.when(F.col("kind") == "grey", grey).otherwise(colour).alias("payload"))
-    return coded.unionByName(solid).select(*keys, F.lit(width).alias("width"), F.lit(height).alias("height"), F.length("payload").alias("size"), "payload")
+    return cut(coded.unionByName(solid).select(*keys, F.lit(width).alias("width"), F.lit(height).alias("height"), F.length("payload").alias("size"), "payload"))
 
 
 def channel_planes(rows: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
@@ -158,12 +163,10 @@ def decode(frames: DataFrame, keys: tuple[str, ...] = FRAME, strict: bool = True
     fits = F.coalesce((F.col("_g") > 9) & (F.col("_r") > F.col("_g")) & (F.col("_r") < F.length("payload")), F.lit(False))
     pieces = F.expr("array(substring(payload, 10, cast(_g as int) - 9), substring(payload, cast(_g as int) + 1, cast(_r - _g as int)), substring(payload, cast(_r as int) + 1))")
     parts = general.filter(fits).select(*keys, "width", area.alias("length"), F.posexplode(pieces).alias("ch", "blob"))
-    found = cut(channel_planes(parts.select(*keys, "ch", "blob", "length"), keys))
-    bad = found.groupBy(*keys).agg(F.min("problem").alias("problem")).filter("problem is not null")
-    named = found.join(general.select(*keys, "width"), list(keys))
-    sound = named.join(bad.select(*keys), list(keys), "left_anti").select(*keys, "ch", "width", "values")
-    restored = predict.restore_packed(sound).select(*keys, "ch", F.posexplode("values").alias("p", "v"))
-    px = merge(restored.select(*keys, "ch", F.col("p").cast("long").alias("p"), F.col("v").cast("long").alias("v")), keys).unionByName(solid)
+    found = cut(channel_planes(parts, (*keys, "width")))  # a frame has one width
+    bad = found.filter("problem is not null").groupBy(*keys).agg(F.min("problem").alias("problem"))
+    sound = found.join(bad.select(*keys), list(keys), "left_anti").select(*keys, "ch", "width", "values")
+    px = merge(exploded(predict.restore_packed(sound), "v", keys), keys).unionByName(solid)
     if bpp == 32:
         px = px.withColumn("x", F.lit(255).cast("long"))
     reason = F.when(F.col("_kind") == blobs.GENERAL, "channels that begin beyond the frame").otherwise(F.format_string("a frame of type %d", "_kind"))
