@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import blobs
 from ..schema import FRAMES, LARGEST_SIDE
+from ..session import cut
 from ..sources import placed
 from . import codec
 
@@ -60,7 +61,9 @@ class ClipSequence:
 
     def append(self, frames: DataFrame, compressed: bool | None = None) -> ClipSequence:
         """Adds frames in the order of their frame_idx: rasters of 24 or 32 bits, or blobs if ``compressed`` (unless given, as this
-        sequence's are). They take the form of the sequence: rasters are encoded or transcoded, blobs decoded."""
+        sequence's are). They take the form of the sequence: rasters are encoded or transcoded, blobs decoded.
+
+        In one pass: the frames are checked, counted and converted as they are written to the shared folder, and worked out never again."""
         compressed = self.compressed if compressed is None else compressed
         fits = (F.col("width") == self.width) & (F.col("height") == self.height)
         n = F.length("payload")
@@ -68,21 +71,25 @@ class ClipSequence:
             known = F.substring("payload", 1, 1).isin(*[F.lit(bytes([k])) for k in (blobs.GENERAL, blobs.GREY, blobs.COLOUR)])
         else:
             known = n.isin(3 * self.width * self.height, 4 * self.width * self.height)
-        found = frames.agg(F.count("*").alias("n"), F.min("frame_idx").alias("low"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("other"), F.count_if(~F.coalesce(known, F.lit(False))).alias("odd")).first()
-        if found.other:
-            raise ValueError("a frame has other dimensions")
-        if found.odd:
-            raise ValueError("a frame is no blob" if compressed else "a frame's bytes do not fit its dimensions")
+        fits, known = F.coalesce(fits, F.lit(False)), F.coalesce(known, F.lit(False))
+        seen = Observation()
+        rows = frames.observe(seen, F.count("*").alias("n"), F.min("frame_idx").alias("low"), F.count_if(~fits).alias("other"), F.count_if(~known).alias("odd"))
+        rows = rows.select("frame_idx", "width", "height", F.when(fits & known, F.col("payload")).alias("payload"))
         if compressed and not self.compressed:
-            frames = codec.decompress(frames, bpp=self.bpp)
+            rows = codec.decompress(rows, bpp=self.bpp)
         elif self.compressed and not compressed:
-            frames = codec.compress(frames)
+            rows = codec.compress(rows)
         elif not compressed:
-            frames = codec.transcode(frames, self.bpp)
+            rows = codec.transcode(rows, self.bpp)
+        kept = cut(_sized(rows).select(*T.StructType.fromDDL(FRAMES).names))
+        found = seen.get
+        if found["other"]:
+            raise ValueError("a frame has other dimensions")
+        if found["odd"]:
+            raise ValueError("a frame is no blob" if compressed else "a frame's bytes do not fit its dimensions")
         own = self.count()
-        shift = own - (found.low or 0)
-        new = _sized(frames.withColumn("frame_idx", (F.col("frame_idx") + shift).cast("long"))).select(*T.StructType.fromDDL(FRAMES).names)
-        return replace(self, frames=self.frames.unionByName(new), known=own + found.n)
+        new = kept.withColumn("frame_idx", (F.col("frame_idx") + (own - (found["low"] or 0))).cast("long"))
+        return replace(self, frames=self.frames.unionByName(new), known=own + found["n"])
 
     def frame(self, k: int) -> DataFrame:
         """One frame's row; none if k is out of range."""

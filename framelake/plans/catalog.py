@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import classify, codec, diff, freqs, planes, predict, runs, staged
 from ..operators.sequence import ClipSequence
 from ..schema import is_valid, max_compressed_size
-from ..session import shared_path
+from ..session import cut, shared_path
 from ..sources import container, placed
 from .inputs import CLIPS, HEIGHT, SIZE, SMALL_HEIGHT, SMALL_WIDTH, WIDTH, dimensions, event_pixels, sizes, small_pixels, solid_frames, sparse_planes, table
 from .sql import SQL
@@ -260,12 +260,12 @@ def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs and rasters of both forms appended to a sequence of each form; mode 24 or 32: rasters, 0: blobs. Where the events make no
     frame, there is none to append."""
-    rgb = _frames(spark, sf_dir)
-    rgbx = codec.rasters(event_pixels(spark, sf_dir).withColumn("x", F.lit(7)), WIDTH, HEIGHT)
-    parts = []
+    rgb = cut(_frames(spark, sf_dir))
+    rgbx = cut(codec.rasters(event_pixels(spark, sf_dir).withColumn("x", F.lit(7)), WIDTH, HEIGHT))
+    coded, parts = cut(codec.compress(rgb)), []
     for mode in (0, 24, 32):
         clip = ClipSequence.empty(spark, WIDTH, HEIGHT, mode == 0, mode or 24)
-        clip = clip.append(rgb, False).append(rgbx, False).append(codec.compress(rgb), True)
+        clip = clip.append(rgb, False).append(rgbx, False).append(coded, True)
         bpp = mode or 24
         rows = codec.pixels(clip.decoded().frames if mode == 0 else clip.frames, bpp=bpp)
         parts.append(rows.select(F.lit(mode).cast("long").alias("mode"), "frame_idx", "p", "b", "g", "r", (F.col("x") if bpp == 32 else F.lit(None)).cast("long").alias("x")))

@@ -271,3 +271,24 @@ def test_entry_without_what_the_models_need(monkeypatch):
     found = entry_module.queries()
     assert "codec_roundtrip" in found and not any(n.startswith("op") or n == "pipeline" for n in found)
     assert set(entry_module.oracle_sql()) == set(found)
+
+
+def test_append_works_frames_out_once(spark):
+    """One job an append, and none of the frames' sources is read again when the sequence is used."""
+    _, data = frames(spark, 3)
+    once = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            once.add(b.num_rows)
+            yield b
+
+    source = rows_of(spark, data).mapInArrow(counting, FRAMES)
+    spark.sparkContext.setJobGroup("append", "append")
+    clip = ClipSequence.empty(spark, 4, 3, compressed=True).append(source, compressed=False).append(source, compressed=False)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("append"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert payloads(clip.frames) == [blobs.compress(d, 4) for d in data] * 2 and clip.count() == 6
+    assert payloads(clip.decoded().frames) == data * 2
+    assert once.value == 6 and jobs == 2
+    assert ClipSequence.empty(spark, 4, 3).append(source.limit(0)).append(source).count() == 3
