@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -263,3 +264,31 @@ def test_trie_looks_only_at_ends_of_pieces():
             best.append(max((v[0] + (-math.log(r + 2) - math.log(whole)), v[1] - 1) for v, r in each if r is not None))
         assert counter.counts[counter.insert(word)] == -best[-1][1]
     assert Counted.looks < 8 * len(counter.best)
+
+
+def test_long_words_need_no_more_than_their_bytes():
+    """Words of more than LONG bytes keep out of the trie; their counts are those of the plain recurrence."""
+    counter = token_counts.TrieCounter.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(8)
+    words = [bytes(rng.choices(b"abcdeth", k=n)) for n in (255, 256, 257, 258, 3000)] + [b"=" * 700, "中".encode() * 200]
+    words += [words[3], b"x", words[3][:100]]
+    ends = np.cumsum([len(w) for w in words])
+    got = counter.count(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends).tolist()
+    assert got == [plain_count(w, counter.score) for w in words]
+    nodes, large = len(counter.best), bytes(rng.choices(b"qwertyuiopasdfgh", k=1 << 18))
+    tracemalloc.start()
+    counter.count(np.frombuffer(large, np.uint8), np.array([0]), np.array([len(large)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(large) + (1 << 18) and len(counter.best) == nodes
+
+
+def test_trie_is_cleared_within_a_chunk(monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST_NODES", 50)
+    counter = token_counts.TrieCounter({bytes([b]): b for b in range(256)} | {b"ab": 300, b" a": 301})
+    rng = random.Random(2)
+    words = [bytes(rng.choices(b"abc", k=rng.randrange(1, 12))) for _ in range(500)]
+    ends = np.cumsum([len(w) for w in words])
+    for _ in range(2):
+        assert counter.count(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends).tolist() == [plain_count(w, counter.score) for w in words]
+        assert len(counter.best) < 80
