@@ -289,12 +289,11 @@ def incomplete_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def container_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes from a file's index; names of nations stand in for blobs."""
-    container.register(spark)
+    """Sizes from a file's index; texts of documents stand in for blobs."""
     path = shared_path(spark)
-    rows = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as frame_idx", f"{WIDTH} as width", f"{HEIGHT} as height", "octet_length(n_name) as size", "cast(n_name as binary) as payload")
-    rows.write.format("clip").option("width", WIDTH).option("height", HEIGHT).mode("overwrite").save(path)
-    return spark.read.format("clip").option("sizes", True).load(path)
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id as frame_idx", f"{WIDTH} as width", f"{HEIGHT} as height", "cast(text as binary) as payload")
+    placed.write_clip(rows, path)
+    return placed.clip_index(placed.clips(spark, path, None)).select("frame_idx", "width", "height", F.col("size").cast("int").alias("size"))
 
 
 @query
@@ -308,7 +307,6 @@ def container_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
-    container.register(spark)
     path = shared_path(spark)
     ClipSequence(_blobs(spark, sf_dir), WIDTH, HEIGHT, True).save(path)
     return path
@@ -324,7 +322,8 @@ def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def container_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame of a file, found by its index."""
     path = _written(spark, sf_dir)
-    return codec.pixels(codec.decompress(spark.read.format("clip").option("frame", FRAME).load(path)))
+    wanted = spark.range(FRAME, FRAME + 1).withColumnRenamed("id", "frame_idx")
+    return codec.pixels(codec.decompress(placed.read_clip(spark, path, wanted)))
 
 
 @query

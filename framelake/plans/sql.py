@@ -100,7 +100,7 @@ from px cross join n cross join (select unnest([0, 24, 32]) as mode) m cross joi
     "raster_equality": f"""select frame_idx, count(*) as n_pixels, count(*) filter (p % 7 <> 0 or p % 256 = 0) as n_equal, count(*) = count(*) filter (p % 7 <> 0 or p % 256 = 0) as equal from ({_PX}) group by frame_idx""",
     "incomplete_frames": f"""select event_id // 1000 as frame_idx, count(*) as n_pixels, count(distinct event_id % 1000) as n_places from events
 where event_type = 'view' or event_id < 1000 group by 1 having count(distinct event_id % 1000) <> 1000""",
-    "container_sizes": "select cast(n_nationkey as bigint) as frame_idx, cast(50 as integer) as width, cast(20 as integer) as height, cast(octet_length(encode(n_name)) as integer) as size from nation",
+    "container_sizes": "select doc_id as frame_idx, cast(50 as integer) as width, cast(20 as integer) as height, cast(octet_length(encode(text)) as integer) as size from documents",
     "container_index": """with x as (select source as clip, doc_id, n_chars as size, 4 + coalesce(sum(8 + n_chars + n_chars % 2) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as o from documents)
 select clip, doc_id, size, cast(o as bigint) as rel_offset, cast(o + 228 as bigint) as payload_offset from x""",
     "container_stats": """with x as (select source as clip, count(*) as n, max(n_chars) as m, sum(n_chars + n_chars % 2) as s from documents group by source)
