@@ -47,12 +47,17 @@ def _mapped(rows: DataFrame, column: str, kind: str, f: Callable) -> DataFrame:
     return rows.mapInArrow(go, ", ".join(f"`{c}` {t}" for c, t in fields))
 
 
+def _spread(frames: DataFrame) -> DataFrame:
+    """Frames dealt to as many tasks as shuffles have: coding takes far longer than moving a frame, so tasks are not to be sized by bytes."""
+    return frames.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def compress(frames: DataFrame) -> DataFrame:
     """Encodes rasters (width, height, payload of 24 or 32 bits a pixel, told by its length); also works on a stream of frames.
 
     A null payload stays null; one of another length raises.
     """
-    return _mapped(frames, "payload", "binary", lambda v, o: blobs.compress(v, o["width"], o["height"]))
+    return _mapped(_spread(frames), "payload", "binary", lambda v, o: blobs.compress(v, o["width"], o["height"]))
 
 
 def transcode(frames: DataFrame, bpp: int) -> DataFrame:
@@ -72,7 +77,7 @@ def decompress(frames: DataFrame, strict: bool = True, bpp: int = 24) -> DataFra
                 raise
             return None
 
-    return _mapped(frames, "payload", "binary", one)
+    return _mapped(_spread(frames), "payload", "binary", one)
 
 
 def pixels(frames: DataFrame, keys: tuple[str, ...] = FRAME, bpp: int = 24) -> DataFrame:
