@@ -118,10 +118,10 @@ def plain(frame):
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["op2_minhash_dedup", "op7_embedding_dedup", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op2_minhash_dedup", "op7_embedding_dedup", "op10_mixing", "op11_fill_middle", "op12_divergence", "op13_decontamination"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     ours, sql = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(queries.SQL[name]).df()
     assert sorted(ours.columns) == sorted(sql.columns) and plain(ours) == plain(sql)
@@ -137,10 +137,10 @@ def test_registered_queries_return_whole_tables(spark, name):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
     sql = __spark_entry__.oracle_sql()
-    assert {"op2_minhash_dedup", "op7_embedding_dedup", "op10_mixing"} <= set(sql) and set(sql) <= names
+    assert {"op2_minhash_dedup", "op7_embedding_dedup", "op10_mixing", "op11_fill_middle", "op12_divergence", "op13_decontamination"} <= set(sql) and set(sql) <= names
 
 
 def test_stages_keep_other_columns(spark, sf_dir):
