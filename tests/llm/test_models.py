@@ -218,16 +218,16 @@ def test_quality(spark):
 def test_quality_matches_a_plain_version(spark, monkeypatch):
     """Context vectors summed token by token, means of them, and the network's formula."""
     monkeypatch.setattr(quality, "SAMPLE", 40)
-    monkeypatch.setattr(quality, "VOCABULARY", 25)
+    monkeypatch.setattr(quality, "SHARE", 150)
+    monkeypatch.setattr(quality, "PAIRS", 7)
     rng = random.Random(9)
     docs = [(i, " ".join(rng.choices(["a", "Be", "CC", "12", "!", "dd", "a a", "q%d" % (i % 50)], k=rng.randrange(0, 30)))) for i in range(150)]
     labels = [(i, int(t.count("a") > t.count("dd"))) for i, t in docs]
     df, lab = spark.createDataFrame(docs + [(None, None)], "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int")
     net = quality.learnt(df, lab)
     known = net.known.tolist()
-    assert quality.OTHER < len(known) <= 25 + quality.OTHER + 1
     of = lambda t: quality.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist()
-    row = lambda n: known.index(n) if n in known else quality.OTHER
+    assert len(quality.SHAPES) < len(known) < len({n for _, t in docs for n in of(t)})  # common and rare words
     index = {}
 
     def vector(n):
@@ -238,17 +238,24 @@ def test_quality_matches_a_plain_version(spark, monkeypatch):
             index[n] = np.array(v)
         return index[n]
 
-    total = np.zeros((len(known), quality.DIMENSIONS))
-    for _, t in docs:
-        names = of(t)
+    def contexts(names):
+        out = {}
         for i, n in enumerate(names):
             for j in range(max(0, i - 2), min(len(names), i + 3)):
-                total[row(n)] += {0: 4, 1: 2, 2: 1}[abs(i - j)] * vector(names[j])
-    unit = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    assert np.allclose(quality.context_table(df, net.known, Scratch(spark)), unit, atol=1e-6)
+                out[n] = out.get(n, 0) + {0: 4, 1: 2, 2: 1}[abs(i - j)] * vector(names[j])
+        return out
+
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    total = {n: np.zeros(quality.DIMENSIONS) for n in known}
+    for _, t in docs:
+        for n, v in contexts(of(t)).items():
+            if n in total:
+                total[n] += v
+    assert np.allclose(quality.context_table(df, net.known, Scratch(spark)), [unit(total[n]) for n in known], atol=1e-6)
     scores = {r.doc_id: r.score for r in quality.score(df, lab).collect()}
     for i, t in docs:
-        rows = [net.table[row(n)] for n in of(t)]
+        here = contexts(of(t))
+        rows = [net.table[known.index(n)] if n in total else unit(here[n]) @ net.first for n in of(t)]
         z = np.tanh((np.mean(rows, 0) if rows else 0) + net.bias) @ net.out + net.shift
         assert scores[i] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z / net.temperature)))), abs=1e-4)
 
@@ -262,6 +269,25 @@ def test_tokens_do_not_depend_on_the_chunk():
     assert quality.AGAIN in alone[0] and quality.SAME in alone[2]
 
 
+def test_lines_are_repeated_only_if_their_bytes_are(monkeypatch):
+    """Hashes that all collide change nothing."""
+    text = b"one\ntwo\nONE\nthree\ntwo\n\nfour\none"
+    monkeypatch.setattr(quality, "word_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    lines, doc = quality._lines(np.frombuffer(text + b"four", np.uint8), np.array([0, len(text), len(text), len(text) + 4]))
+    assert lines.tolist() == [quality.AGAIN if i in (2, 4, 6) else quality.LINE for i in range(8)] and doc.tolist() == [0] * 7 + [2]
+
+
+def test_quality_of_a_long_text_of_unlike_words():
+    """Sums of rarer words don't depend on how many are looked at at once, nor on other texts of the chunk."""
+    text = " ".join("w%d" % (i * i % 90_001) for i in range(120_000)).encode()
+    both = np.frombuffer(text + b"a b a", np.uint8)
+    names, n = quality.tokens(both, np.array([0, len(text), len(text), len(both)]))
+    got = quality.rare_sums(names, n, np.where(names < 6, 0, -1))
+    alone, m = quality.tokens(both[len(text) :], np.array([0, 5]))
+    assert np.allclose(got[2], quality.rare_sums(alone, m, np.where(alone < 6, 0, -1))[0], atol=1e-5)
+    assert not got[1].any() and np.isfinite(got).all() and np.linalg.norm(got[0]) > 0
+
+
 def plain_nearest(ids, x, every, top):
     out = {}
     for q in sorted({i for i in ids if i % every == 0}):
