@@ -11,7 +11,7 @@ from ..operators import classify, codec, diff, freqs, planes, predict, runs, sta
 from ..operators.sequence import ClipSequence
 from ..schema import is_valid, max_compressed_size
 from ..session import cut, shared_path
-from ..sources import container, placed
+from ..sources import container, images, placed
 from .inputs import CLIPS, HEIGHT, SIZE, SMALL_HEIGHT, SMALL_WIDTH, WIDTH, dimensions, event_pixels, sizes, small_pixels, solid_frames, sparse_planes, table
 from .sql import SQL
 
@@ -318,6 +318,14 @@ def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.pixels(ClipSequence.load(spark, path).decoded().frames)
 
 
+@query
+def image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as PNG files, read back in the order of the files' names."""
+    path = shared_path(spark)
+    images.write_images(codec.rasters(event_pixels(spark, sf_dir), WIDTH, HEIGHT), path)
+    return codec.pixels(images.read_images(spark, path))
+
+
 @query
 def container_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame of a file, found by its index."""

@@ -106,6 +106,7 @@ select clip, doc_id, size, cast(o as bigint) as rel_offset, cast(o + 228 as bigi
     "container_stats": """with x as (select source as clip, count(*) as n, max(n_chars) as m, sum(n_chars + n_chars % 2) as s from documents group by source)
 select clip, n as frame_count, m as suggested_buffer_size, cast(least(m * 60, s) as bigint) as max_bytes_per_sec, cast(s + 8 * n + 4 as bigint) as movi_size, cast(s + 8 * n + 224 + 16 * n as bigint) as riff_size from x""",
     "container_roundtrip": _PX,
+    "image_roundtrip": _PX,
     "container_lookup": f"select * from ({_PX}) where frame_idx = 0",
     "compressed_copy": f"with px as ({_PX}) select * from px union all select frame_idx + (select max(frame_idx) + 1 from px), p, b, g, r from px",
     "container_parallel": _SMALL,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import FRAMES
+from ..session import cut
+from .container import local
+
+
+def numbered(names: DataFrame) -> DataFrame:
+    """(origin, frame_idx): distinct names numbered from 0 in their order. Names are dealt to tasks by ranges and ranked within
+    theirs; what comes before a range is known from the number of names in each, a row a task. Null names and an empty table: no rows."""
+    ranged = cut(names.filter("origin is not null").distinct().repartitionByRange("origin").withColumn("part", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("part").agg(F.count("origin").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("origin"))
+    return ranged.join(F.broadcast(starts), "part").select("origin", (F.col("start") + nth - 1).cast("long").alias("frame_idx"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -33,8 +46,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("frame_idx", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("size", pa.int32()), ("payload", pa.binary())]))
 
     images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    names = images.select("origin").withColumn("frame_idx", F.row_number().over(Window.orderBy("origin")).cast("long") - 1)  # names alone meet in one task
-    rows = images.join(names, "origin").select("frame_idx", "height", "width", "nChannels", "data")
+    rows = images.join(numbered(images.select("origin")), "origin").select("frame_idx", "height", "width", "nChannels", "data")
     return rows.mapInArrow(go, FRAMES)
 
 
@@ -51,15 +63,16 @@ def png(raster: bytes, width: int, height: int) -> bytes:
 
 def write_images(frames: DataFrame, folder: str) -> None:
     """Writes frame_000000.png and so on to a folder that driver and executors share; a file appears whole or not at all."""
+    folder = local(folder)
     os.makedirs(folder, exist_ok=True)
 
     def save(rows: Iterator) -> None:
         for r in rows:
             if r.payload is None:
                 continue
-            name = f"{folder}/frame_{r.frame_idx:06d}.png"
-            with open(f"{name}.{os.getpid()}", "wb") as f:
+            begun = f"{folder}/.{uuid.uuid4().hex}"  # what a lost executor leaves is hidden, and no reader takes it for an image
+            with open(begun, "wb") as f:
                 f.write(png(r.payload, r.width, r.height))
-            os.replace(f"{name}.{os.getpid()}", name)
+            os.replace(begun, f"{folder}/frame_{r.frame_idx:06d}.png")
 
     frames.select("frame_idx", "width", "height", "payload").foreachPartition(save)

@@ -157,10 +157,25 @@ def test_flip_is_its_own_inverse(spark):
     assert planes.transcode(planes.transcode(px, 32), 24).columns == px.columns
 
 
+def test_names_are_numbered_in_ranges(spark):
+    from framelake.sources.images import numbered
+
+    names = [f"{x}/é{i % 7}{i}" for i in range(300) for x in ("a", "b")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.createDataFrame([(n,) for n in [*names, names[0], None]], "origin string").repartition(5)
+        got = numbered(rows)
+        assert sorted((r.frame_idx, r.origin) for r in got.collect()) == list(enumerate(sorted(names, key=str.encode)))
+        assert numbered(rows.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_images(spark, tmp_path):
     from framelake.sources.images import read_images, write_images
 
     rows, data = frames(spark, 3, 5, 4)
-    write_images(rows, f"{tmp_path}/png")
+    write_images(rows, f"file://{tmp_path}/png")
+    (tmp_path / "png" / ".begun").write_bytes((tmp_path / "png" / "frame_000000.png").read_bytes())
     got = read_images(spark, f"{tmp_path}/png").orderBy("frame_idx").collect()
     assert [bytes(r.payload) for r in got] == data and [(r.width, r.height) for r in got] == [(5, 4)] * 3
