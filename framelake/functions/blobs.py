@@ -1,4 +1,9 @@
-"""Blobs of channels and frames: how a plane of residuals, and three of them, are stored."""
+"""Blobs of channels and frames: how a plane of residuals, and three of them, are stored.
+
+Defined results: a plane or raster without bytes has no blob (ValueError); an empty blob has no raster (None); damaged blobs, cut short or
+changed anywhere, raise ValueError or give another raster of the right length, and what they claim to hold sets no memory aside
+beyond twice the plane; frames of any valid dimensions are handled, in memory in proportion to their pixels. Nulls stay with the callers.
+"""
 
 from __future__ import annotations
 
@@ -32,6 +37,13 @@ def compact(plane: bytes) -> bytes:
 
 def uncompact(blob: bytes, length: int) -> bytes:
     """The plane of ``length`` bytes; raises ValueError if the blob isn't one's."""
+    try:
+        return _uncompacted(blob, length)
+    except (IndexError, OverflowError, ZeroDivisionError, struct.error) as e:
+        raise ValueError("a damaged channel") from e
+
+
+def _uncompacted(blob: bytes, length: int) -> bytes:
     kind = blob[0]
     if kind == SOLID:
         return bytes([blob[1]]) + bytes(length - 1)
@@ -40,6 +52,8 @@ def uncompact(blob: bytes, length: int) -> bytes:
     else:
         level = kind if kind in (1, 2, 3) else 0
         size, at = (struct.unpack_from("<I", blob, 1)[0], 5) if level else (length, 1)
+        if size > 2 * length + 8:  # a run-encoded body is no longer than 4/3 of its plane
+            raise ValueError(f"{size} bytes for a channel of {length}")
         counts, used = codes.decode_counts(blob[at:])
         if not counts.any():
             raise ValueError("a channel without frequencies")
@@ -122,6 +136,8 @@ def _raster(blob: bytes, width: int, height: int) -> bytes | None:
     n = width * height
     if not blob:
         return None
+    if len(blob) < {GREY: 2, COLOUR: 4, GENERAL: 10}.get(blob[0], 0):
+        raise ValueError("a frame cut short")
     if blob[0] == GREY:
         return bytes([blob[1]] * 3) * n
     if blob[0] == COLOUR:
@@ -132,6 +148,8 @@ def _raster(blob: bytes, width: int, height: int) -> bytes | None:
         g = blob[12]
         return bytes([blob[10] + g & 255, g, blob[14] + g & 255]) * n
     at_g, at_r = struct.unpack_from("<II", blob, 1)
+    if not 9 < at_g < at_r < len(blob):
+        raise ValueError("channels that begin beyond the frame")
     residuals = np.stack([np.frombuffer(uncompact(part, n), np.uint8) for part in (blob[9:at_g], blob[at_g:at_r], blob[at_r:])])
     b, g, r = restored(residuals, width)
     return np.stack([b + g, g, r + g], axis=1).astype(np.uint8).tobytes()

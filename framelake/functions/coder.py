@@ -1,4 +1,9 @@
-"""Frequency tables and the range coder."""
+"""Frequency tables and the range coder.
+
+Defined results: no data gives the four bytes of the coder's end, and no bytes back; counts that are all zero stay so and code nothing, and decoding bytes
+with them, or with a total beyond the coder's smallest range, raises ValueError;
+data cut short decodes as if zeros followed; lengths are not bounded. Symbols with a count of zero can't be encoded.
+"""
 
 from __future__ import annotations
 
@@ -34,6 +39,8 @@ def rescaled(counts: np.ndarray) -> tuple[np.ndarray, int]:
     What truncation leaves goes round the symbols below 128 that occur; where there are none, round all that occur.
     """
     n = int(counts.sum())
+    if not n:
+        return counts.astype(np.int64), 0
     scale = max(0, (n - 1).bit_length())
     t = 1 << scale
     if t == n:
@@ -78,6 +85,9 @@ def encode(data: bytes, counts: np.ndarray) -> bytes:
 
 
 def decode(data: bytes, counts: np.ndarray, length: int) -> bytes:
+    """``length`` bytes; raises ValueError for counts that nothing can have been coded with."""
+    if length and not 0 < sum(counts.tolist()) <= BOTTOM:
+        raise ValueError("frequencies that code nothing")
     freq, scale = rescaled(counts)
     cum = [0, *np.cumsum(freq).tolist()]
     starts = cum[:256]

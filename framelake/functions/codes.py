@@ -1,4 +1,8 @@
-"""Integer codes: run bytes, and the bit code of frequency headers."""
+"""Integer codes: run bytes, and the bit code of frequency headers.
+
+Defined results: counts that are all zero are a header like others; a header cut short, or empty, raises ValueError, one with a count beyond
+63 bits OverflowError; what follows a header is ignored.
+"""
 
 from __future__ import annotations
 

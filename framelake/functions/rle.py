@@ -2,6 +2,9 @@
 
 At level L a run of n >= L zeros is written as L zeros and the run byte of n - L; runs longer than L + 255 are written in
 pieces. Shorter runs stay as they are.
+
+Defined results: no bytes give none, both ways, and level -1; runs and streams of any length are encoded whole; a stream that ends within a
+run's zeros decodes to those that are there.
 """
 
 from __future__ import annotations

@@ -89,6 +89,39 @@ def test_large_channel_is_clamped():
     assert coder.decode(coder.encode(x.tobytes(), counts), counts, len(x)) == x.tobytes()
 
 
+def test_nothing_at_all():
+    none = np.zeros(256, np.int64)
+    assert rle.encode(b"", 3) == rle.decode(b"", 3) == b"" and rle.choose_level(np.zeros(0, np.uint8)) == -1
+    assert coder.decode(coder.encode(b"", none), none, 0) == b"" and len(coder.encode(b"", none)) == 4
+    assert not codes.decode_counts(codes.encode_counts(none))[0].any() and not coder.clamped(none).any()
+    assert blobs.decompress(b"", 2, 2) is None and rle.decode(b"a\0\0", 3) == b"a\0\0"
+    for f in (lambda: blobs.compact(b""), lambda: blobs.compress(b"", 1), lambda: codes.decode_counts(b""), lambda: blobs.uncompact(b"", 4)):
+        with pytest.raises(ValueError):
+            f()
+
+
+@pytest.mark.parametrize("zeros", [0, 60, 95])
+def test_blobs_damaged_anywhere_raise_one_error_or_give_a_raster(zeros):
+    rng = np.random.default_rng(zeros)
+    raster = (rng.integers(0, 256, 12 * 9 * 3) * (rng.integers(0, 100, 12 * 9 * 3) >= zeros)).astype(np.uint8).tobytes()
+    blob = blobs.compress(raster, 12)
+    damaged = [blob[:n] for n in range(1, len(blob), 3)] + [bytes([k]) for k in range(8)]
+    for at in range(0, len(blob), 2):
+        damaged += [blob[:at] + bytes([blob[at] ^ x]) + blob[at + 1 :] for x in (1, 128, 255)]
+    for b in damaged:
+        try:
+            assert len(blobs.decompress(b, 12, 9)) == len(raster)
+        except ValueError:
+            pass
+
+
+def test_a_channel_that_claims_four_gigabytes():
+    with pytest.raises(ValueError):
+        coder.decode(bytes(9), np.full(256, 1 << 62), 5)  # a total that does not fit in 64 bits
+    with pytest.raises(ValueError):
+        blobs.uncompact(b"\1" + b"\xff" * 4 + codes.encode_counts(np.ones(256, np.int64)) + bytes(8), 100)
+
+
 def test_damaged_blobs():
     with pytest.raises(ValueError):
         blobs.decompress(bytes([9, 1]), 2, 2)
