@@ -3,7 +3,8 @@
 ``repeats`` sorts the suffixes of a text to a depth beyond the wanted length, takes the transform of that order, and
 finds common prefixes by increasing value: breadth first, the interval of a string on the transform is
 extended backward by each byte in it, and the end of a longer string's interval is a place where neighbouring suffixes
-have that many bytes in common, if none was found there before. It stops at the wanted length; neighbours
+have that many bytes in common, if none was found there before. The first eight bytes, by which suffixes are sorted first, show
+neighbours' shorter common prefixes, so the search begins with strings of that length. It stops at the wanted length; neighbours
 without such a place have at least that many bytes in common.
 
 Defined results: a text of zero bytes alone, or one shorter than the length, has no two suffixes in a group; equal suffixes are
@@ -24,14 +25,19 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)), ~(new & np.append(new[1:], True))
 
 
+def _first_bytes(text: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as numbers; zeros beyond the end."""
+    padded = np.append(text, np.zeros(8, np.uint8))
+    return np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), (len(text),), (1,), writeable=False).astype(np.uint64)
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes, sorted by their first ``depth`` bytes at least; ``text`` ends in zeros beyond its end.
 
     After the first sort only suffixes that still equal others are sorted again, in the rows that they have together.
     """
     n = len(text)
-    padded = np.append(text, np.zeros(8, np.uint8))
-    key = np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), (n,), (1,), writeable=False).astype(np.uint64)
+    key = _first_bytes(text)
     known, most = 8, (n + 1).bit_length()
     parts = max(2, min(3, 64 // most))  # ranks that fit in a key
     order = np.argsort(key)
@@ -72,16 +78,18 @@ def repeats(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     # Extending by a zero byte is of no use: rows with one are as if they were the same byte's only ones, nowhere.
     zero = transform == 0
     after[zero], before[zero] = -1, n
-    found = np.zeros(n + 1, bool)
-    found[[0, n]] = True
-    counts = np.append(0, np.cumsum(np.bincount(text, minlength=256)))
-    some = np.flatnonzero(np.diff(counts))
-    begin, end = counts[some], counts[some + 1]
-    fresh = ~found[end]
-    found[end] = True
-    fresh[-1] = True  # the last byte's interval ends where nothing is left to find, but others may be found from it
+    known = min(8, least)
+    key = _first_bytes(text)[order] >> np.uint64(8 * (8 - known))
+    differ = np.append(key[1:] ^ key[:-1], np.uint64(1 << 63))
+    found = np.append(True, differ > 0)
+    # Strings of ``known`` bytes whose next neighbour has all but the last of them; what is found later is found from these.
+    edges = np.flatnonzero(found)
+    begin, end = edges[:-1], edges[1:]
+    fresh = differ[end - 1] < 256
+    for i in range(known):
+        fresh &= (key[begin] >> np.uint64(8 * i)) & np.uint64(255) > 0
     begin, end = begin[fresh], end[fresh]
-    for _ in range(1, least):
+    for _ in range(known, least):
         if not len(begin):
             break
         row = ragged(begin, end - begin)

@@ -2,8 +2,8 @@
 
 Every window of ``least`` bytes is known by the smallest hash among its short substrings, which equal windows share. A run
 of windows of one such key is a segment. Keys that only one document has end there; of the others, the segments of
-one key meet in one bucket, whatever documents they are from. A bucket's distinct segments form one text; ``bwt.repeats``
-groups its equal windows, and each window learns the smallest document id among its equals. Documents
+one key meet in one bucket, whatever documents they are from. A bucket's distinct segments, but for those that are all copies of one under their
+key, form one text; ``bwt.repeats`` groups its equal windows, and each window learns the smallest document id among its equals. Documents
 then lose the bytes of all windows that a smaller id has. Hashes only decide what meets; windows are equal by their bytes.
 
 Text moves in compressed chunks of many documents, and a chunk sends one copy of a segment, however many of its documents
@@ -301,6 +301,23 @@ def smallest_owners(segments: list[bytes], owners: np.ndarray, least: int) -> tu
     return owner[place], windows
 
 
+def _keys_of(segments: list[bytes], least: int) -> np.ndarray:
+    """The least hash of each segment's windows, which share it: that of its first window."""
+    return _least_hashes(np.frombuffer(b"".join(x[:least] for x in segments), np.uint8), least)[::least]
+
+
+def met_owners(segments: list[bytes], owners: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``smallest_owners``, for segments whose windows share one key each: those whose key no other has keep their own
+    owner, and only the others go to the transform."""
+    windows = np.array([len(s) - least + 1 for s in segments], np.int64)
+    low = np.repeat(owners, windows)
+    _, at, many = np.unique(_keys_of(segments, least), return_inverse=True, return_counts=True)
+    several = many[at] > 1
+    if several.any():
+        low[np.repeat(several, windows)] = smallest_owners([segments[i] for i in np.flatnonzero(several).tolist()], owners[several], least)[0]
+    return low, windows
+
+
 class _Collapsed:
     """The distinct segments of rows of one bucket, their smallest ids, and which of them each row has; texts are held once."""
 
@@ -339,7 +356,7 @@ def _answered(sent: DataFrame, least: int, parts: int, scratch: Scratch) -> Data
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "bucket"):
             c = _Collapsed(rows)
-            yield from c.answers(*smallest_owners(c.segments, c.owner, least))
+            yield from c.answers(*met_owners(c.segments, c.owner, least))
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "bucket", "part"):

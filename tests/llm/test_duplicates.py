@@ -224,6 +224,25 @@ def test_repeats(seed):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_only_segments_that_meet_go_to_the_transform(monkeypatch):
+    """Copies of one segment under a key keep their own owner; the others' windows learn the least, as by the transform of all."""
+    rng, least, sent = random.Random(3), 50, []
+    shared = [bytes(rng.choices(b"abcd ", k=60)) for _ in range(30)]
+    raw = [bytes(rng.choices(b"abcd ", k=300)) for _ in range(40)] + [rng.choice(shared)[: rng.randrange(51, 61)] + bytes(rng.choices(b"xyz", k=20)) for _ in range(60)]
+    segments = []
+    for text in raw:  # runs of windows of one key
+        key = suffix_dedup._least_hashes(np.frombuffer(text, np.uint8), least)
+        cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        segments += [text[b : e + least - 1] for b, e in zip(cut, cut[1:])]
+    segments = list(dict.fromkeys(segments))
+    owners, plain = np.array([rng.randrange(1000) for _ in segments]), suffix_dedup.smallest_owners
+    want = plain(segments, owners, least)
+    monkeypatch.setattr(suffix_dedup, "smallest_owners", lambda *a: sent.append(len(a[0])) or plain(*a))
+    got = suffix_dedup.met_owners(segments, owners, least)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+    assert len(sent) == 1 and 0 < sent[0] < len(segments) / 2
+
+
 def plain_removal(docs, least):
     first = {}
     for i, b in docs:
