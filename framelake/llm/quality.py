@@ -7,12 +7,12 @@ the random vectors of itself and of its neighbours. A document is the mean of it
 two-layer network, written in numpy, scores it; a temperature fitted on texts held back from training calibrates
 the probabilities.
 
-Every word has a vector of its own and there is no vocabulary to be outside of. Words that are at least one in ``SHARE`` of the
-sample's tokens, which at any size are at most ``SHARE`` words, have context vectors from all documents: tasks add up theirs in whole
+Every word has a vector of its own and there is no vocabulary to be outside of. Words that are at least one in ``SHARE`` of all
+documents' tokens, which at any size are at most ``SHARE`` words, have context vectors from all documents: tasks add up theirs in whole
 numbers, and parts of the table are summed apart. A rarer word's context vector is that of its places in the document at hand, which for
-a word that one document has is the same. The network is fitted to a bounded sample of labelled rows: at most ``SAMPLE`` of each class,
-those with the smallest hash. Every text is scored whole. As pooling and the first layer are linear, common words need one row of a table
-for each token. What the driver holds is bounded by these parameters, whatever the input.
+a word that one document has is the same. Each document's vector is written once. The network is fitted to all learnable rows: they are dealt to
+groups by the hash of their ids, each of ``ROUNDS`` rounds trains every group from the same weights, and the next begins with the mean, by
+rows, of what came out; the temperature is that of all rows held back. What the driver holds is bounded by these parameters, whatever the input.
 
 Defined results: a null or empty text scores as one without tokens; null labels and null ids are not learnt from; repeated ids
 are rows like others; words exactly at the bound have vectors from all documents; texts of any length count whole; if
@@ -21,7 +21,7 @@ labels of a class are missing, all scores are 0 (no good ones) or 1; an empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, crc_mod, mix, word_hashes, word_names
-from .toxicity import learnable, sampled
+from .toxicity import learnable
 
 DIMENSIONS, NONZERO, REACH = 96, 4, 2
-HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 0.01, 1e-4
+HIDDEN, ROUNDS, EPOCHS, RATE, DECAY = 24, 6, 10, 0.01, 1e-4
+#: Learnable rows of a group that is trained on at once (all rows are in some group), and tokens that a common word is one of.
 SAMPLE, SHARE = 3000, 1 << 17
+TEMPERATURES = np.geomspace(0.25, 8, 61)
 #: Parts of the table of context vectors that are summed apart.
 PARTS = 64
 
@@ -200,18 +202,19 @@ def context_table(docs: DataFrame, known: np.ndarray, scratch: Scratch) -> np.nd
     return (out / np.maximum(norm, 1e-9)).astype(np.float32)
 
 
-def common_words(sample: DataFrame, share: int) -> np.ndarray:
-    """The sorted names of the tokens that aren't words and of the words that are at least one in ``share`` of the sample's tokens."""
+def common_words(docs: DataFrame, share: int, scratch: Scratch) -> np.ndarray:
+    """The sorted names of the tokens that aren't words and of the words that are at least one in ``share`` of all documents' tokens."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in chunks(batches):
             name, many = np.unique(tokens(data, off)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(many)], ["name", "n"])
 
-    words = sample.select("text").mapInArrow(go, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    total = F.broadcast(words.agg(F.sum("n").alias("total")))  # one row
-    common = words.filter("name < 0").crossJoin(total).filter(F.col("n") * share >= F.col("total")).select("name")
+    words = scratch.cut(docs.select("text").mapInArrow(go, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    common = words.filter("name < 0").filter(F.col("n") * share >= total).select("name")
     found = common.toArrow().column("name").to_numpy().view(np.uint64)  # at most ``share`` names
+    scratch.drop(words)
     return np.sort(np.append(np.array(SHAPES, np.uint64), found))
 
 
@@ -238,19 +241,83 @@ class Network:
     def __init__(self, known: np.ndarray, table: np.ndarray, first: np.ndarray, bias: np.ndarray, out: np.ndarray, shift: float, temperature: float):
         self.known, self.table, self.first, self.bias, self.out, self.shift, self.temperature = known, table, first, bias, out, shift, temperature
 
-    def probability(self, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        rows = numbers(names, self.known)
-        layer = (pooled(self.table, rows, counts) + rare_sums(names, counts, rows) @ self.first) / np.maximum(counts, 1)[:, None]
-        z = np.tanh(layer + self.bias) @ self.out + self.shift
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64) / self.temperature, -40, 40)))
 
+def document_vectors(docs: DataFrame, known: np.ndarray, table: np.ndarray) -> DataFrame:
+    """doc_id, whether a document has tokens (some), and the mean x of its tokens' context vectors, as bytes of 32-bit floats."""
+    shared = docs.sparkSession.sparkContext.broadcast((known, table))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in chunks(batches):
+            names, n = tokens(data, off)
+            row = numbers(names, shared.value[0])
+            x = (pooled(shared.value[1], row, n) + rare_sums(names, n, row)) / np.maximum(n, 1)[:, None].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n > 0), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], ["doc_id", "some", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, some boolean, x binary")
+
+
+def _floats(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+
+
+def groups(vectors: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """All learnable rows' labels, vectors and whether they have tokens, in the order of the hashes of their ids: ``SAMPLE`` of them to a row."""
+    size, kind = SAMPLE, pa.schema([("y", pa.binary()), ("some", pa.binary()), ("x", pa.binary())])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(t: pa.Table) -> pa.RecordBatch:
+            y, some = (t.column(c).to_numpy().astype(np.uint8).tobytes() for c in ("y", "some"))
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (y, some, b"".join(t.column("x").to_pylist()))], schema=kind)
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            while sum(h.num_rows for h in held) + b.num_rows >= size:
+                n = size - sum(h.num_rows for h in held)
+                yield row(pa.Table.from_batches([*held, b.slice(0, n)]))
+                held, b = [], b.slice(n)
+            held.append(b)
+        if sum(h.num_rows for h in held):
+            yield row(pa.Table.from_batches(held))
+
+    met = vectors.join(known, "doc_id").select(F.col("y").cast("int").alias("y"), "h", "some", "x")
+    parts = max(1, rows // (8 * SAMPLE))
+    return met.repartition(parts, "h", "x").sortWithinPartitions("h", "x").mapInArrow(go, "y binary, some binary, x binary")
+
+
+def _summed(dealt: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of f(x, y, some) over all groups; a task adds up its own, so the driver gets one row of numbers from each."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for i in range(b.num_rows):
+                y, some = (np.frombuffer(b.column(c)[i].as_py(), np.uint8) for c in ("y", "some"))
+                part = f(_floats(b.column("x").slice(i, 1)).astype(np.float64), y.astype(np.float64), some > 0)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    return np.sum([np.frombuffer(r.total) for r in dealt.mapInArrow(go, "total binary").toLocalIterator()], axis=0)
 
-def _trained(x: np.ndarray, y: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Weights of the network on inputs x, by Adam on the logistic loss, classes weighted alike."""
+
+def held_back(y: np.ndarray) -> np.ndarray:
+    """Every fifth row of each class, which the temperature is fitted to and the weights are not."""
+    out = np.zeros(len(y), bool)
+    for c in (0, 1):
+        out[np.flatnonzero(y == c)[4::5]] = True
+    return out
+
+
+def _start(seed: int = 1) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
-    w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
+    return [rng.normal(0, 1 / np.sqrt(DIMENSIONS), (DIMENSIONS, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
+
+
+def _trained(x: np.ndarray, y: np.ndarray, begin: list[np.ndarray], mean: float, rate: float, seed: int) -> list[np.ndarray]:
+    """The weights ``begin`` after EPOCHS epochs on inputs x, by Adam on the logistic loss, classes weighted alike by their ``mean`` in all rows."""
+    rng, w = np.random.default_rng(seed), [a.copy() for a in begin]
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    weight = np.where(y == 1, 0.5 / mean, 0.5 / (1 - mean))
     t = 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(x))
@@ -265,77 +332,78 @@ def _trained(x: np.ndarray, y: np.ndarray, seed: int) -> list[np.ndarray]:
             for i in range(4):
                 m[i] = 0.9 * m[i] + 0.1 * g[i]
                 v[i] = 0.999 * v[i] + 0.001 * g[i] ** 2
-                w[i] -= RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+                w[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def fit(known: np.ndarray, table: np.ndarray, x: np.ndarray, some: np.ndarray, good: np.ndarray, share: float) -> Network:
-    """x: the pooled vectors of the sample's texts, in hashed order; some: whether a text has tokens; share: of good ones among all
-    labelled rows, to which the probabilities are set."""
-    good, x = np.asarray(good, np.float64), np.asarray(x, np.float64)
-    scale = x[some].std(0) + 1e-6 if some.any() else np.ones(DIMENSIONS)
-    mean = x[some].mean(0) if some.any() else np.zeros(DIMENSIONS)
-    z = (x - mean) / scale
-    test = np.zeros(len(x), bool)
-    for c in (0, 1):
-        test[np.flatnonzero(good == c)[::5]] = True
-    if not 0 < good[~test].mean() < 1:  # a class of one text
-        test[:] = False
-    w = _trained(z[~test], good[~test], 1)
-    logit = np.tanh(z @ w[0] + w[1]) @ w[2] + w[3]
-    prior = np.log(share / (1 - share))
-    here = np.log(good.mean() / (1 - good.mean()))
-
-    if not test.any():
-        test[:] = True
-
-    def loss(temperature: float) -> float:
-        p = 1 / (1 + np.exp(-np.clip(logit[test] / temperature + here, -40, 40)))
-        return -np.mean(good[test] * np.log(p + 1e-9) + (1 - good[test]) * np.log(1 - p + 1e-9))
-
-    temperature = min(np.geomspace(0.25, 8, 61), key=loss)
+def fit(known: np.ndarray, table: np.ndarray, dealt: DataFrame, share: float) -> Network:
+    """dealt: all learnable rows in groups; share: of good ones among them, to which the probabilities are set."""
+    d, prior = DIMENSIONS, np.log(share / (1 - share))
+    sums = _summed(dealt, lambda x, y, some: np.concatenate([[some.sum()], x[some].sum(0)]))
+    many, mean = max(sums[0], 1), sums[1:] / max(sums[0], 1)
+    scale = np.sqrt(_summed(dealt, lambda x, y, some: ((x[some] - mean) ** 2).sum(0)) / many) + 1e-6 if sums[0] else np.ones(d)
+    w = _start()
+    shapes, cuts = [a.shape for a in w], np.cumsum([a.size for a in w])
+
+    def one(x: np.ndarray, y: np.ndarray, some: np.ndarray) -> np.ndarray:
+        use = ~held_back(y)
+        out = _trained((x[use] - mean) / scale, y[use], w, share, RATE / (1 + turn), turn)
+        return np.append(np.concatenate([a.ravel() for a in out]) * use.sum(), use.sum())
+
+    for turn in range(ROUNDS):
+        total = _summed(dealt, one)
+        w = [a.reshape(k) for a, k in zip(np.split(total[:-1] / total[-1], cuts[:-1]), shapes, strict=True)]
+
+    def losses(x: np.ndarray, y: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """For each temperature the loss on rows held back, and on all."""
+        logit = np.tanh((x - mean) / scale @ w[0] + w[1]) @ w[2] + w[3]
+        p = 1 / (1 + np.exp(-np.clip(logit[:, None] / TEMPERATURES + prior, -40, 40)))
+        each = -(y[:, None] * np.log(p + 1e-9) + (1 - y[:, None]) * np.log(1 - p + 1e-9))
+        return np.concatenate([[held_back(y).sum()], each[held_back(y)].sum(0), each.sum(0)])
+
+    loss = _summed(dealt, losses)
+    temperature = TEMPERATURES[np.argmin(loss[1:].reshape(2, -1)[0 if loss[0] else 1])]
     first = w[0] / scale[:, None]
     return Network(known, (table @ first).astype(np.float32), first.astype(np.float32), (w[1] - mean @ first).astype(np.float32), w[2].astype(np.float32), float(w[3][0] + prior * temperature), float(temperature))
 
 
-def learnt(docs: DataFrame, labels: DataFrame) -> Network | float:
-    """A network, or the score of all texts if labels of a class are missing."""
-    scratch = Scratch(docs.sparkSession)
-    sample, share = sampled(docs, learnable(labels, "quality", 3, 1), SAMPLE, scratch)
-    found = {r.y for r in sample.select("y").distinct().collect()}
-    if 1 not in found:
-        return 0.0
-    if 0 not in found:
-        return 1.0
-    known = common_words(sample, SHARE)
-    table = context_table(docs, known, scratch)
-    shared = docs.sparkSession.sparkContext.broadcast((known, table))
+def _learnt(docs: DataFrame, labels: DataFrame) -> tuple[Network | float, DataFrame | None]:
+    """A network and the documents' vectors, or the score of all texts if labels of a class are missing."""
+    scratch, known = Scratch(docs.sparkSession), learnable(labels, "quality", 3, 1)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    many = {int(r.y): r["count"] for r in ids.join(known, "doc_id").groupBy("y").count().collect()}
+    if 1 not in many:
+        return 0.0, None
+    if 0 not in many:
+        return 1.0, None
+    words = common_words(docs, SHARE, scratch)
+    table = context_table(docs, words, scratch)
+    vectors = scratch.cut(document_vectors(docs, words, table))
+    dealt = scratch.cut(groups(vectors, known, sum(many.values())))
+    network = fit(words, table, dealt, many[1] / sum(many.values()))
+    scratch.drop(dealt)
+    return network, vectors
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in chunks(batches):
-            names, n = tokens(data, off)
-            row = numbers(names, shared.value[0])
-            x = (pooled(shared.value[1], row, n) + rare_sums(names, n, row)) / np.maximum(n, 1)[:, None].astype(np.float32)
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in "yht"] + [pa.array(n > 0), pa.array(list(x), pa.list_(pa.float32()))], ["y", "h", "t", "some", "x"])
 
-    rows = sample.select("text", F.col("y").cast("int").alias("y"), "h", "t").mapInArrow(go, "y int, h long, t long, some boolean, x array<float>")
-    t = rows.toArrow().sort_by([("h", "ascending"), ("t", "ascending")])  # at most 2 * SAMPLE rows of numbers
-    shared.destroy()
-    scratch.drop(sample)
-    x = t.column("x").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-    return fit(known, table, x, t.column("some").to_numpy(), t.column("y").to_numpy(), share)
+def learnt(docs: DataFrame, labels: DataFrame) -> Network | float:
+    """A network, or the score of all texts if labels of a class are missing."""
+    return _learnt(docs, labels)[0]
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted for each document; rows of remainder 1 by 3 are never learnt from."""
-    shared = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels))
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = shared.value
-        for part, data, off in chunks(batches):
-            p = np.full(len(off) - 1, network) if isinstance(network, float) else network.probability(*tokens(data, off))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], ["doc_id", "score"])
-
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, score double")
+    network, vectors = _learnt(docs, labels)
+    if vectors is None:
+        scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(float(network)).alias("score"))
+    else:
+        first, bias, out, shift, temperature = network.first, network.bias, network.out, network.shift, network.temperature
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                z = np.tanh(_floats(b.column("x")) @ first + bias) @ out + shift
+                p = 1 / (1 + np.exp(-np.clip(z.astype(np.float64) / temperature, -40, 40)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p)], ["doc_id", "score"])
+
+        scored = vectors.select("doc_id", "x").mapInArrow(go, "doc_id long, score double")
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

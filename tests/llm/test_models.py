@@ -215,6 +215,21 @@ def test_quality(spark):
     assert sum((r.score - truth[r.doc_id]) ** 2 for r in known) / len(known) < 0.05
 
 
+def test_quality_counts_and_learns_from_all_rows(spark, monkeypatch):
+    """A word is common by its share of all documents, labelled or not, and every learnable row is in one of the groups trained on."""
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    docs = [(i, f"w{i % 7} common" if i < 90 else "elsewhere " * 9) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    name = lambda t: int(quality.tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0][0])
+    net = quality.learnt(df, lab)
+    assert {name(b"elsewhere"), name(b"common")} <= set(net.known.tolist())  # no labelled row has the first
+    known = quality.learnable(lab, "quality", 3, 1)
+    rows = quality.groups(quality.document_vectors(df, net.known, np.ones((len(net.known), quality.DIMENSIONS), np.float32)), known, 60).collect()
+    assert sum(len(r.y) for r in rows) == sum(not held(i, 3, 1) for i in range(90)) and max(len(r.y) for r in rows) == 20
+    assert all(len(r.x) == 4 * quality.DIMENSIONS * len(r.y) for r in rows)
+
+
 def test_quality_matches_a_plain_version(spark, monkeypatch):
     """Context vectors summed token by token, means of them, and the network's formula."""
     monkeypatch.setattr(quality, "SAMPLE", 40)
