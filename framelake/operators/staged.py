@@ -1,9 +1,9 @@
-"""Coding of frames in stages: pixels to blobs and back as relations, with Arrow for the range coder alone.
+"""Coding of frames in stages: pixels to blobs and back as relations, with Arrow for the range coder and what is read with it.
 
 Pixels are dealt by frame, once. From there each stage is a projection, a window or an aggregate over (frame, channel): decorrelation
 and prediction, tokens (runs of zeros and other values), the choice of a level, frequencies, their clamp and header. The coder, whose state runs through
 a channel's bytes, gets one channel a row; blobs are put together from the channels' parts. The way back is a blob's parts by their
-offsets, a fold over the header, the coder, runs by running sums, and a fold over a plane's residuals.
+offsets, one pass over channels that reads the header, decodes and puts runs back, and a fold over a plane's residuals.
 
 The blobs are those of ``codec.compress``, byte by byte, which codes whole frames and so also does for streams.
 
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import blobs, coder
+from ..functions import blobs, coder, codes, rle
 from ..session import cut
 from . import classify, freqs, predict, runs
-from .planes import FRAME, exploded, merge, packed
+from .planes import FRAME, exploded, merge
 
 CODED = (ValueError, IndexError, OverflowError, ZeroDivisionError)
 
@@ -57,7 +57,7 @@ def _mapped(rows: DataFrame, name: str, kind: str, f) -> DataFrame:
                     out.append(f(row))
                 except CODED:
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()) if kind == "array<int>" else pa.binary())], [*b.schema.names, name])
 
     return rows.mapInArrow(go, ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, (name, kind)]))
 
@@ -90,8 +90,20 @@ def entropy_coded(bodies: DataFrame, counts: DataFrame, keys: tuple[str, ...] =
 
 def entropy_decoded(rows: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """``values`` (a header and coded bytes) and ``length``: the bytes they stand for in ``body``, null if they are damaged."""
-    read = freqs.header_counts(_dealt(rows, keys), keys).withColumn("values", F.expr("substring(values, used + 1)"))
-    return _mapped(read, "body", "binary", lambda r: None if not r["symbols"] else coder.decode(r["values"], _table(r), r["length"])).drop("symbols", "counts", "used", "values")
+    return _mapped(_dealt(rows, keys), "body", "binary", _body).drop("values")
+
+
+def _body(row: dict) -> bytes | None:
+    """The bytes that a header and what follows it stand for, ``length`` of them; null without either or without frequencies."""
+    values = row["values"]
+    if not values:
+        return None
+    counts, used = codes.decode_counts(values)
+    return coder.decode(values[used:], counts, row["length"]) if counts.any() and used <= len(values) else None
+
+
+def _plane(row: dict) -> np.ndarray:
+    return np.frombuffer(rle.decode(row["body"], row["level"]) if row["level"] else row["body"], np.uint8).astype(np.int32)
 
 
 def channels(planes: DataFrame, keys: tuple[str, ...] = FRAME, value: str = "v", most: int | None = None) -> DataFrame:
@@ -140,8 +152,7 @@ def channel_planes(rows: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     )
     bodies = entropy_decoded(coded, keys).select(*keys, "ch", F.col("_length").alias("length"), "level", "body").unionByName(plain)
     bodies = bodies.withColumn("body", F.coalesce("body", F.unhex(F.lit(""))))
-    values = packed(runs.decoded(bodies, keys), "v", keys)
-    every = bodies.select(*keys, "ch", "length").join(values, [*keys, "ch"], "left")
+    every = _mapped(bodies, "values", "array<int>", _plane).withColumn("values", F.col("values").cast("array<bigint>"))
     size = F.coalesce(F.size("values"), F.lit(0))
     return every.select(*keys, "ch", F.when(size == F.col("length"), F.col("values")).alias("values"), F.when(size != F.col("length"), F.format_string("channel %d has %d values instead of %d", "ch", size, F.col("length"))).alias("problem"))
 

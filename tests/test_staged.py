@@ -179,3 +179,14 @@ def test_damaged_frames_are_told(spark):
     with pytest.raises(Exception, match="type 77"):
         staged.decode(rows.filter("frame_idx in (0, 3)")).collect()
     assert staged.decode(rows.limit(0)).count() == 0
+
+
+def test_channels_are_decoded_in_one_pass(spark):
+    """Blobs of channels become planes without a row for each of their bytes and without a join."""
+    parts = spark.createDataFrame([(0, 0, 4, bytearray(b"\xff\x07")), (0, 1, 3, bytearray(b"\x05\x01\x00\x02")), (0, 2, 3, bytearray(b"\x00\x01"))], "frame_idx long, ch int, length long, blob binary")
+    planes = staged.channel_planes(parts)
+    plan = planes._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Generate" not in plan
+    rows = {r.ch: r for r in planes.collect()}
+    assert rows[0]["values"] == [7, 0, 0, 0] and rows[0].problem is None
+    assert rows[2]["values"] is None and rows[2].problem == "channel 2 has 0 values instead of 3"
