@@ -127,3 +127,23 @@ def test_damaged_blobs():
         blobs.decompress(bytes([9, 1]), 2, 2)
     with pytest.raises(ValueError):
         blobs.uncompact(bytes([5, 1, 2]), 9)
+
+
+def test_headers_look_at_occurring_symbols_alone():
+    """A header of few symbols is that of the plain walk over all 256, without reading the others one by one."""
+
+    class Counts(np.ndarray):
+        reads = 0
+
+        def __getitem__(self, at):
+            Counts.reads += 1
+            return super().__getitem__(at)
+
+    from framelake.functions import codes
+
+    for some in ([0], [255], [3, 4, 200], [], range(256)):
+        plain = np.zeros(256, np.int64)
+        plain[list(some)] = 5
+        Counts.reads = 0
+        header = codes.encode_counts(plain.view(Counts))
+        assert Counts.reads < 10 and codes.decode_counts(header)[0].tolist() == plain.tolist()
